@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, mixing, order_minhash, pii, secret_scan
+from . import decontaminate, embed_dedup, language_id, masked_lm, mixing, order_minhash, pii, secret_scan, url_filter, warc_fixity
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mix(_table(spark, sf_dir, "documents")))
 
@@ -24,6 +29,26 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
+def decayed(records: DataFrame) -> DataFrame:
+    """A replica with planted faults: records of ids 13 modulo 97 have a byte changed, those of 7 modulo 389 are lost."""
+    bad = F.concat(F.substring("record", 1, 9), F.lit("?"), F.substring("record", 11, 1 << 30))
+    rows = records.where("id is null or id % 389 <> 7").withColumn("record", F.when(F.col("id") % 97 == 13, bad).otherwise(F.col("record")))
+    return rows.withColumn("digest", F.sha2("record", 256))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours = Scratch(spark).table(warc_fixity.lay_out(_table(spark, sf_dir, "pages")), "replica")
+    return warc_fixity.audit(ours.drop("record"), decayed(ours).drop("record")).withColumnRenamed("id", "page_id")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_table(spark, sf_dir, "documents"))
 
@@ -36,5 +61,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mixing, op3_pii, op4_order_minhash, op8_language_id, op9_secret_scan, op10_decontamination)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_dedup,
+        op2_source_mixing,
+        op3_pii,
+        op4_order_minhash,
+        op5_masked_lm,
+        op6_warc_fixity,
+        op7_url_filter,
+        op8_language_id,
+        op9_secret_scan,
+        op10_decontamination,
+    )
+}
 ORACLES: dict[str, str] = {}
