@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import findings_queries
+
+QUERIES = {**findings_queries.QUERIES}
+ORACLES = {**findings_queries.ORACLES}
