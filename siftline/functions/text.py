@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def normalize_code(element: Column) -> Column:
     """Whitespace, quotes, separators, variables and literals made alike, lower-cased."""
-    t = F.regexp_replace(F.trim(F.coalesce(element, F.lit(""))), r"\s+", " ")
+    t = F.trim(F.regexp_replace(F.coalesce(element, F.lit("")), r"\s+", " "))
     t = F.replace(F.replace(t, F.lit('"'), F.lit("'")), F.lit("\\"), F.lit("/"))
     t = F.regexp_replace(t, r"\$\{?[a-zA-Z_][a-zA-Z0-9_]*\}?", r"\$X")
     t = F.regexp_replace(t, r"\{\{[a-zA-Z_][a-zA-Z0-9_]*\}\}", "{{X}}")

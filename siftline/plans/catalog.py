@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import findings_queries
+from . import findings_queries, table_queries
 
-QUERIES = {**findings_queries.QUERIES}
-ORACLES = {**findings_queries.ORACLES}
+QUERIES = {**findings_queries.QUERIES, **table_queries.QUERIES}
+ORACLES = {**findings_queries.ORACLES, **table_queries.ORACLES}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def requirements(files: DataFrame) -> DataFrame:
     """(path, name, operator, version, extras) of requirement lines."""
-    line = F.trim(F.regexp_replace("line", r"(^|\s)#.*$", ""))
+    line = F.trim(F.regexp_replace("line", r"(^|\s)#.*$", ""), F.lit(" \t\r"))
     rows = files.select("path", F.explode(F.split("content", "\n")).alias("line")).select("path", line.alias("line")).where("line <> '' and not startswith(line, '-')")
     rx = r"^([A-Za-z0-9][A-Za-z0-9._-]*)\s*(?:\[([^\]]*)\])?\s*(?:(===?|>=|<=|~=|!=|>|<)\s*([^\s,;]+))?"
     part = lambda k: F.nullif(F.regexp_extract("line", rx, k), F.lit(""))
@@ -30,7 +30,7 @@ def npm_manifest(files: DataFrame) -> DataFrame:
 def go_modules(files: DataFrame, sums: DataFrame | None = None) -> DataFrame:
     """(path, name, version, is_direct, confidence) of go.mod requirements; versions of go.sum take precedence."""
     rx = r"^(?:require\s+)?([A-Za-z0-9._~/-]+\.[A-Za-z0-9._~/-]+)\s+(v[^\s]+)(\s*//\s*indirect)?\s*$"
-    rows = files.select("path", F.explode(F.split("content", "\n")).alias("line")).select("path", F.trim("line").alias("line")).where(F.regexp_like("line", F.lit(rx)))
+    rows = files.select("path", F.explode(F.split("content", "\n")).alias("line")).select("path", F.trim("line", F.lit(" \t\r")).alias("line")).where(F.regexp_like("line", F.lit(rx)))
     found = rows.select("path", F.regexp_extract("line", rx, 1).alias("name"), F.regexp_extract("line", rx, 2).alias("version"), (F.regexp_extract("line", rx, 3) == "").alias("is_direct"))
     if sums is None:
         return found.withColumn("confidence", F.lit(0.5))
