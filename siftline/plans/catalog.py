@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import findings_queries, table_queries
+from . import findings_queries, strategy_queries, table_queries
 
-QUERIES = {**findings_queries.QUERIES, **table_queries.QUERIES}
-ORACLES = {**findings_queries.ORACLES, **table_queries.ORACLES}
+QUERIES = {**findings_queries.QUERIES, **table_queries.QUERIES, **strategy_queries.QUERIES}
+ORACLES = {**findings_queries.ORACLES, **table_queries.ORACLES, **strategy_queries.ORACLES}
