@@ -18,12 +18,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bound of the sample: normalised characters a language, and documents asked for a language.
+#: Bounds of the sample: normalised characters a language and in all, and documents asked for a language.
 SAMPLE_CHARS = 24_000
+TOTAL_CHARS = 200_000
 SAMPLE_DOCS = 60
 #: Characters of one document that the sample may take, so that it spans many documents.
 SAMPLE_PART = 1_000
 MAX_LANGUAGES = 200
+#: Letters with a symbol of their own, by frequency; rarer ones share SHARED symbols, so tables stay narrow for any script.
+OWN_SYMBOLS = 128
+SHARED = 64
 PIECE = 1024
 SLICE_CHARS = 1 << 20
 _SPACE = 1
@@ -97,12 +101,12 @@ class Model:
         codes = {}
         for lang in self.languages:
             code, _ = normalise(samples[lang])
-            codes[lang] = code[:SAMPLE_CHARS]
-        known = np.unique(np.concatenate([*codes.values(), np.zeros(1, np.uint32)]))
-        known = known[known > 0]
-        #: Symbol 0 is any unseen letter, 1 a gap.
-        self.known = known
-        self.alphabet = len(known) + 2
+            codes[lang] = code[: min(SAMPLE_CHARS, TOTAL_CHARS // len(self.languages))]
+        every = np.concatenate([*codes.values(), np.zeros(0, np.uint32)])
+        values, counts = np.unique(every[every > 0], return_counts=True)
+        self.known = np.sort(values[np.argsort(-counts, kind="stable")[:OWN_SYMBOLS]])
+        #: Symbol 0 is unused, 1 a gap, then the known letters, then the shared ones.
+        self.alphabet = len(self.known) + 2 + SHARED
         self.tables = []
         for lang in self.languages:
             table = suffix_automaton(self.symbols(codes[lang]).tolist(), self.alphabet)
@@ -111,9 +115,11 @@ class Model:
             self.tables.append(np.where(table >= 0, table, ~restart).astype(np.int32).ravel())
 
     def symbols(self, code: np.ndarray) -> np.ndarray:
-        spot = np.minimum(np.searchsorted(self.known, code), max(len(self.known) - 1, 0))
-        hit = (self.known[spot] == code) if len(self.known) else np.zeros(len(code), bool)
-        return np.where(code == 0, _SPACE, np.where(hit, spot + 2, 0)).astype(np.int32)
+        shared = len(self.known) + 2 + (code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(SHARED)
+        if not len(self.known):
+            return np.where(code == 0, _SPACE, shared).astype(np.int32)
+        spot = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
+        return np.where(code == 0, _SPACE, np.where(self.known[spot] == code, spot + 2, shared)).astype(np.int32)
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (rows x languages) and letters of each text."""

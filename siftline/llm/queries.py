@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, embed_dedup, language_id, masked_lm, mixing, order_minhash, pii, secret_scan, url_filter, warc_fixity
+from .oracles import ORACLES  # noqa: F401
 from .scratch import Scratch
 
 
@@ -76,4 +77,3 @@ QUERIES = {
         op10_decontamination,
     )
 }
-ORACLES: dict[str, str] = {}

@@ -45,7 +45,8 @@ def lay_out(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     rows = pages.select(F.col(id_col).alias("id"), record(F.col(id_col), F.col(url_col).cast("string"), F.col(body_col).cast("string")).alias("record"))
     rows = rows.withColumn("digest", F.sha2("record", 256)).withColumn("length", F.octet_length("record").cast("bigint") + len(END))
     segments = -(-pages.count() // SEGMENT_ROWS) or 1
-    rows = rows.withColumn("segment", F.pmod(F.xxhash64("id", "digest"), F.lit(segments)))
+    spot = F.md5(F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), "digest"))
+    rows = rows.withColumn("segment", F.conv(F.left(spot, F.lit(8)), 16, 10).cast("bigint") % segments)
     order = Window.partitionBy("segment").orderBy("id", "digest")
     rows = rows.withColumn("seq", (F.row_number().over(order) - 1).cast("bigint"))
     offset = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
