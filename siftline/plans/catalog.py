@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import findings_queries, strategy_queries, table_queries
+from . import findings_queries, source_queries, strategy_queries, table_queries
 
-QUERIES = {**findings_queries.QUERIES, **table_queries.QUERIES, **strategy_queries.QUERIES}
-ORACLES = {**findings_queries.ORACLES, **table_queries.ORACLES, **strategy_queries.ORACLES}
+_PARTS = (findings_queries, table_queries, strategy_queries, source_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
