@@ -9,19 +9,10 @@ from ..functions import text as tx
 from ..operators import rounds as rd
 from ..operators import strategy as st
 from . import table_queries
-from .bindings import VIEWS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-VIEWS["targets"] = """
-    SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'http' WHEN 1 THEN 'rpc' WHEN 2 THEN 'mq' WHEN 3 THEN 'cron' WHEN 4 THEN 'smtp' END AS entry_point_type,
-      CASE event_id % 4 WHEN 0 THEN 'post' WHEN 1 THEN 'GET' WHEN 2 THEN 'TRACE' END AS http_method, event_id % 3 = 0 AS auth_required, CAST(event_id % 8 AS INT) AS n_params,
-      concat('/srv/', CASE event_id % 9 WHEN 0 THEN 'auth' WHEN 1 THEN 'crypto' WHEN 2 THEN 'settings' WHEN 3 THEN 'route' WHEN 4 THEN 'tests' ELSE 'core' END, '/', event_type, '.py') AS file_path,
-      CASE event_id % 5 WHEN 0 THEN 'Flask' WHEN 1 THEN 'struts' WHEN 2 THEN 'gin' WHEN 3 THEN 'own' END AS framework, CASE event_id % 4 WHEN 0 THEN 'php' WHEN 1 THEN 'go' ELSE 'python' END AS language,
-      (event_id % 10) / 10.0e0 AS complexity, (event_id % 7) / 7.0e0 AS history
-    FROM {events}"""
-
 
 def query(sql: str | None = None):
     """As in table_queries, registered here."""
