@@ -167,34 +167,46 @@ def _near_blocks(blocks: DataFrame, lead: int, eps: float) -> DataFrame:
 
 
 def _links(blocks: DataFrame, pairs: DataFrame, dim: int, threshold: float) -> DataFrame:
-    """(edge, a, b): edges of the forest where edge is true, else node a and its links b found in one pair of blocks."""
+    """(edge, a, b): edges of the forest where edge is true, else node a and its links b found in one pair of blocks.
+
+    A block travels once to its own task, which holds it, and once to the task
+    of each earlier block near it, which streams it: two blocks are in memory.
+    """
     lead = min(LEADING, dim)
-    one = blocks.select(F.col("seq").alias("a"), F.col("ids").alias("ids_a"), F.col("copies").alias("n_a"), F.col("vectors").alias("x"))
-    two = blocks.select(F.col("seq").alias("b"), F.col("ids").alias("ids_b"), F.col("copies").alias("n_b"), F.col("vectors").alias("y"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ids_a", "n_a", "x", "ids_b", "n_b", "y")
+    columns = ["ids", "copies", "vectors"]
+    own = blocks.select(F.col("seq").alias("target"), F.lit(-1).cast("bigint").alias("other"), *columns)
+    others = pairs.where("a < b").join(blocks.withColumnRenamed("seq", "b"), "b").select(F.col("a").alias("target"), F.col("b").alias("other"), *columns)
+    dealt = own.unionByName(others).repartition("target").sortWithinPartitions("target", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple = ()
         for batch in batches:
             for row in range(batch.num_rows):
-                a, b, *raw = (batch.column(k)[row].as_py() for k in range(8))
-                ids_a, n_a, ids_b, n_b = (np.frombuffer(raw[k], np.int64) for k in (0, 1, 3, 4))
-                x, y = (np.frombuffer(raw[k], np.float64).reshape(-1, dim) for k in (2, 5))
-                count_a, count_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
-                edges = [np.zeros((0, 2), np.int64)]
-                for r, c, links in join_intervals(x, y, a == b, lead, threshold):
-                    count_a[r] += links @ n_b[c]
-                    count_b[c] += links.T @ n_a[r]
-                    u, v = _forest(links)
-                    names = np.concatenate((ids_a[r], ids_b[c]))
-                    edges.append(np.stack((names[u], names[v]), 1))
-                edge = np.unique(np.concatenate(edges), axis=0)
-                i, j = np.flatnonzero(count_a), np.flatnonzero(count_b)
-                first = np.concatenate((edge[:, 0], ids_a[i], ids_b[j]))
-                second = np.concatenate((edge[:, 1], count_a[i], count_b[j]))
-                is_edge = np.arange(len(first)) < len(edge)
-                yield pa.RecordBatch.from_arrays([pa.array(is_edge), pa.array(first), pa.array(second)], names=["edge", "a", "b"])
-
-    return both.mapInArrow(run, "edge boolean, a bigint, b bigint")
+                is_own = batch.column(1)[row].as_py() < 0
+                ids, copies = (np.frombuffer(batch.column(k)[row].as_buffer(), np.int64) for k in (2, 3))
+                y = np.frombuffer(batch.column(4)[row].as_buffer(), np.float64).reshape(-1, dim)
+                if is_own:
+                    held = ids.copy(), copies.copy(), y.copy()
+                yield _leaf_rows(*held, ids, copies, y, is_own, lead, threshold)
+
+    return dealt.mapInArrow(run, "edge boolean, a bigint, b bigint")
+
+
+def _leaf_rows(ids_a: np.ndarray, n_a: np.ndarray, x: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, y: np.ndarray, same: bool, lead: int, threshold: float) -> pa.RecordBatch:
+    """Forest edges and link counts of one pair of blocks."""
+    count_a, count_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
+    edges = [np.zeros((0, 2), np.int64)]
+    for r, c, links in join_intervals(x, y, same, lead, threshold):
+        count_a[r] += links @ n_b[c]
+        count_b[c] += links.T @ n_a[r]
+        u, v = _forest(links)
+        names = np.concatenate((ids_a[r], ids_b[c]))
+        edges.append(np.stack((names[u], names[v]), 1))
+    edge = np.unique(np.concatenate(edges), axis=0)
+    i, j = np.flatnonzero(count_a), np.flatnonzero(count_b)
+    first = np.concatenate((edge[:, 0], ids_a[i], ids_b[j]))
+    second = np.concatenate((edge[:, 1], count_a[i], count_b[j]))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(first)) < len(edge)), pa.array(first), pa.array(second)], names=["edge", "a", "b"])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -205,7 +217,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     that are null, zero or hold null or non-finite components have no link and
     are their own component, as are those with a null id. Vectors of unequal
     length never link. Repeated rows are linked copies. An empty table gives an
-    empty result; other columns are not read.
+    empty result; other columns are not read. Unequal vectors of one id count
+    as one vector that has the links of all.
     """
     scratch = Scratch(vectors.sparkSession)
     value = F.col("embedding")
