@@ -33,8 +33,9 @@ WIDTH = 5
 THRESHOLD = 0.8
 ELL = 4
 SKETCHES = 20
-#: Texts in a block of the comparison across groups.
+#: Texts, and words in all, in a block of the comparison across groups.
 BLOCK = 256
+BLOCK_WORDS = 2_000_000
 #: Expected k-mers below the cut of a hash function; documents with fewer than ELL below it are sketched in full.
 BELOW = 16.0
 
@@ -172,7 +173,7 @@ def _shared_counts(lefts: list[np.ndarray], rights: list[np.ndarray], columns: i
     return out
 
 
-def _across(odd: DataFrame, hot: DataFrame, families: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+def _across(odd: DataFrame, hot: DataFrame, families: DataFrame, nodes: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Verified links (a, b, similarity) between groups that meet in a bucket.
 
     Families are texts that chains of shared buckets join. Inside a family the
@@ -184,11 +185,11 @@ def _across(odd: DataFrame, hot: DataFrame, families: DataFrame, texts: DataFram
     """
     family = families.select(F.col("node").alias("key"), F.col("root").alias("family"))
     rows = hot.select("key", "root").distinct().join(family, "key").join(odd.select("key", F.lit(True).alias("odd")).distinct(), "key", "left")
-    rows = scratch.table(rows.withColumn("odd", F.coalesce("odd", F.lit(False))), "families")
-    sizes = rows.groupBy("family").agg(
-        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("odd") / BLOCK).cast("int").alias("odd_blocks")
-    )
-    rows = rows.join(sizes, "family").join(texts, "key")
+    rows = scratch.table(rows.withColumn("odd", F.coalesce("odd", F.lit(False))).join(nodes.select("key", "n_words"), "key"), "families")
+    parts = lambda n, words: F.ceil(F.greatest(n / BLOCK, words / BLOCK_WORDS)).cast("int")
+    odd_words = F.sum(F.when(F.col("odd"), F.col("n_words")))
+    sizes = rows.groupBy("family").agg(parts(F.count("*"), F.sum("n_words")).alias("blocks"), parts(F.count_if("odd"), odd_words).alias("odd_blocks"))
+    rows = rows.drop("n_words").join(sizes.where("odd_blocks > 0"), "family").join(texts, "key")
     spot = F.xxhash64("key")
     right = rows.withColumn("block", F.pmod(spot, F.col("blocks"))).withColumn("odd_block", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)))
     left = rows.where("odd").withColumn("odd_block", F.pmod(spot, F.col("odd_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -238,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scratch = Scratch(docs.sparkSession)
     rows = scratch.table(sketch_table(docs, id_col, text_col), "sketches")
     nodes = scratch.table(
-        rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches")),
+        rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words")),
         "nodes",
     )
     bucket = nodes.select("key", F.posexplode("sketches").alias("band", "sketch")).select("key", F.xxhash64("band", "sketch").alias("bucket"))
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not odd.isEmpty():
         hot = placed.join(odd.select("bucket").distinct(), "bucket", "left_semi")
         families = connected_components(hot.where("key <> head"), "key", "head")
-        links = scratch.table(_across(odd, hot, families, texts, threshold, scratch).unionByName(links), "all-links")
+        links = scratch.table(_across(odd, hot, families, nodes, texts, threshold, scratch).unionByName(links), "all-links")
         groups = connected_components(links)
 
     named = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", "copies", F.coalesce("root", "key").alias("root"))
