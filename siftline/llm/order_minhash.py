@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -100,7 +100,19 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("tag"))
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), text_tag(text).alias("tag"))
+
+
+def text_tag(text: Column) -> Column:
+    """Tells rows of one id apart by their text."""
+    return F.xxhash64(text)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that :func:`near_duplicates` does not keep; rows of one id are judged by their own text."""
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_siftline_id"), F.col("text_tag").alias("_siftline_tag")).distinct()
+    same = docs[id_col].eqNullSafe(gone["_siftline_id"]) & (text_tag(docs[text_col].cast("string")) == gone["_siftline_tag"])
+    return docs.join(gone, same, "left_anti")
 
 
 def aligned_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -225,7 +237,7 @@ def _across(odd: DataFrame, hot: DataFrame, families: DataFrame, nodes: DataFram
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, class_id, class_size, n_words, kept.
+    """One row per document: id, class_id, class_size, n_words, text_tag (xxhash64 of the text), kept.
 
     ``class_id`` is the least id among documents joined by chains of exact
     copies (equal words in equal order, whatever case and punctuation) and of
@@ -265,11 +277,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", "copies", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
     classes = scratch.table(named.join(names, "root").select("key", "class_id", "class_size"), "classes")
-    out = rows.select("id", "key", "n_words").join(classes, "key", "left").select(
+    out = rows.select("id", "key", "n_words", "tag").join(classes, "key", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
         "n_words",
+        F.col("tag").alias("text_tag"),
     )
     scratch.drop(members, starts, texts, placed, nodes, links)
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))

@@ -88,6 +88,8 @@ def test_near_duplicates_of_ties_and_nothing(spark):
     out = sorted((str(r.doc_id), str(r.class_id), r.kept) for r in order_minhash.near_duplicates(df).collect())
     assert out == [("1", "1", True), ("1", "1", True), ("2", "2", True), ("None", "1", False), ("None", "None", True)]
     assert order_minhash.near_duplicates(df.limit(0)).count() == 0
+    mixed = spark.createDataFrame([(3, "aa bb cc dd ee ff"), (5, "AA bb cc dd ee ff"), (5, "gg hh ii jj kk ll mm"), (None, "aa bb cc dd ee ff")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text[:2]) for r in order_minhash.keep_one(mixed).collect()) == [(3, "aa"), (5, "gg")]
 
 
 @pytest.mark.parametrize("block", [4096, 64])
