@@ -11,6 +11,7 @@ automata; every text is parsed whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,14 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _letters(code: np.ndarray) -> np.ndarray:
-    """Code points as they count: letters themselves, all else 0."""
-    return np.where(_IS_LETTER[np.minimum(code, len(_IS_LETTER) - 1)], code, 0)
+@cache
+def _is_letter() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-_IS_LETTER = np.array([chr(c).isalpha() for c in range(0x3000)] + [True])
+def _letters(code: np.ndarray) -> np.ndarray:
+    """Code points as they count: letters themselves, all else 0."""
+    return np.where(_is_letter()[code], code, 0)
 
 
 def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

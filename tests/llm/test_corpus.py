@@ -74,7 +74,7 @@ def test_language_of_held_out_documents(spark):
 
 def test_language_edges(spark):
     rows = [(k, w * 20, lang, "l") for k, (w, lang) in enumerate([("haus und hof ", "de"), ("house and yard ", "en")] * 20)]
-    rows += [(100, None, None, "l"), (101, "", "de", "l"), (102, "123 !?", "en", "l"), (103, "HAUS UND HOF", None, "l"), (103, "haus und hof", None, "l"), (None, "house and yard", None, "l"), (104, "house and yard " * 3000, None, "l")]
+    rows += [(100, None, None, "l"), (101, "", "de", "l"), (102, "123 !?\U0001f600\u3000", "en", "l"), (103, "HAUS UND HOF", None, "l"), (103, "haus und hof", None, "l"), (None, "house and yard", None, "l"), (104, "house and yard " * 3000, None, "l")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string")
     out = [(r.doc_id, r.lang_pred) for r in language_id.identify(df).collect() if r.doc_id is None or r.doc_id >= 100]
     assert sorted(out, key=str) == sorted([(100, "und"), (101, "und"), (102, "und"), (103, "de"), (103, "de"), (None, "en"), (104, "en")], key=str)
