@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import findings_queries, source_queries, strategy_queries, table_queries
+from . import audit_queries, findings_queries, source_queries, strategy_queries, table_queries
 
-_PARTS = (findings_queries, table_queries, strategy_queries, source_queries)
+_PARTS = (findings_queries, table_queries, strategy_queries, source_queries, audit_queries)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
