@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from siftline.llm import components as components_of
 from siftline.llm import embed_dedup, order_minhash
 from siftline.llm.components import connected_components
 
@@ -23,7 +24,9 @@ def components(nodes, links):
     return {n: find(n) for n in nodes}
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("finish", [0, 20, 100_000])
+def test_components_of_chains_and_stars(spark, finish, monkeypatch):
+    monkeypatch.setattr(components_of, "FINISH", finish)
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len({got[k] for k in range(61)}) == 1 and len({got[k] for k in range(100, 160)}) == 1 and len(set(got.values())) == 2
