@@ -114,7 +114,7 @@ def src15_exploit_rows(t):
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(could not resolve|no matching distribution|module not found|cannot find package)') THEN 'missing_dependency' WHEN regexp_matches(text, '(?i)(permission denied|access is denied)') THEN 'permission' ELSE 'ok' END AS health FROM (SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN 'Could not RESOLVE x ' WHEN 1 THEN 'Permission denied ' ELSE '' END, substr(text, 1, 20)) AS text FROM documents)")
 def exp29_health_classes(t):
     k = F.col("doc_id") % 5
-    text = F.concat(F.when(k == 0, "Could not RESOLVE x ").when(k == 1, "Permission denied ").otherwise(""), F.substring("text", 1, 20))
+    text = F.concat(F.when(k == 0, "Could not RESOLVE x ").when(k == 1, "Permission denied ").otherwise(""), "text")
     return t("documents").select("doc_id", cl.first_match(text, cl.HEALTH, "ok").alias("health"))
 
 

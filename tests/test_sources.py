@@ -3,6 +3,7 @@ import json
 import pytest
 
 from siftline.functions import versions as vs
+from siftline.plans import source_queries
 from siftline.sources import manifests, reports
 
 
@@ -77,3 +78,10 @@ def test_git_changes(spark):
     rows = {r.path: r for r in manifests.git_changes(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
     assert (rows["a.py"].change, rows["a.py"].additions) == ("modified", 3)
     assert (rows["new.py"].change, rows["new.py"].old_path, rows["new.py"].deletions) == ("renamed", "old.py", 0)
+
+
+def test_health_is_read_from_the_whole_text(spark, tmp_path):
+    late = "a long line of other output, and then at last: permission denied"
+    spark.createDataFrame([(2, late), (3, "all went well, as it should")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = source_queries.QUERIES["exp29_health_classes"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.health) for r in out) == [(2, "permission"), (3, "ok")]
