@@ -4,8 +4,9 @@ Word counts over all documents make the vocabulary: the most frequent words
 have an id each, all others share hashed ids. The network predicts every word
 from the two words on either side, never from itself: position-wise embeddings
 are summed, squashed, and feed a softmax over word classes and one over the
-words of the class. It is trained in numpy, in rounds over every document: each
-partition starts from the shared weights, takes steps on its own words, and the
+words of the class. It is trained in numpy, in rounds over every document, each
+on its own share of the words, so that every word is a target once: each
+partition starts from the shared weights, takes steps on its words, and the
 weights are averaged by the words seen. A score is the sum of the conditional
 log-probabilities of all words of a document.
 """
@@ -31,8 +32,6 @@ SHARED_IDS = 32
 DIM = 24
 OFFSETS = (-2, -1, 1, 2)
 ROUNDS = 4
-#: Each round trains on every STRIDE-th word of every document, from a new start.
-STRIDE = 16
 STEP = 0.1
 BATCH = 4096
 CHUNK = 1 << 16
@@ -174,20 +173,26 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(np.uint16).astype(np.int64), (offsets - offsets[0]) // 2
 
 
+def targets(first: np.ndarray, turn: int, rounds: int) -> np.ndarray:
+    """Positions that round ``turn`` predicts: those of each document that are ``turn`` modulo ``rounds``."""
+    at = np.arange(first[-1])
+    within = at - np.repeat(first[:-1], np.diff(first))
+    return at[within % rounds == turn]
+
+
 def train(encoded: DataFrame, rounds: int = ROUNDS) -> Network:
     """Average, round by round, of the weights that each partition reaches on its own words."""
     net = Network()
     for turn in range(rounds):
         shared = encoded.sparkSession.sparkContext.broadcast(net.flat)
-        start = turn * STRIDE // rounds
 
-        def learn(batches: Iterator[pa.RecordBatch], shared=shared, start=start, turn=turn) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, turn=turn) -> Iterator[pa.RecordBatch]:
             own = Network(shared.value)
             speed = np.full(own.length, 0.1, np.float32)
             seen = 0
             for batch in batches:
                 ids, first = _unpack(batch.column(0))
-                where = np.arange(start, len(ids), STRIDE)
+                where = targets(first, turn, rounds)
                 for a in range(0, len(where), BATCH):
                     at = where[a : a + BATCH]
                     g = own.gradient(contexts(ids, first, at), ids[at]).flat
@@ -198,9 +203,9 @@ def train(encoded: DataFrame, rounds: int = ROUNDS) -> Network:
 
         total = treesum.tree_sum(encoded.select("ids").mapInArrow(learn, treesum.SCHEMA), net.length + 1)
         shared.unpersist()
-        if total[-1] == 0:
-            break
-        net = Network(total[:-1] / total[-1])
+        # texts of a word or two give later rounds nothing
+        if total[-1] > 0:
+            net = Network(total[:-1] / total[-1])
     return net
 
 

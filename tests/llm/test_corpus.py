@@ -187,6 +187,13 @@ def test_training_learns_context(spark):
     assert -np.mean([r.mean_log for r in out]) < np.log(21)
 
 
+def test_every_word_is_a_target_of_one_round():
+    first = np.array([0, 1, 3, 3, 6, 25])
+    rounds = [masked_lm.targets(first, turn, masked_lm.ROUNDS) for turn in range(masked_lm.ROUNDS)]
+    assert sorted(np.concatenate(rounds)) == list(range(25))
+    assert {0, 1, 3, 6} <= set(rounds[0])
+
+
 def test_urls(spark, tmp_path):
     urls = ["http://A.example.org/es/x?y#z", "https://example.org/en/19", "https://sub.example.org/en/2", "http://x.com/fr/a", "http://x.com/de/a", "http://x.com/en/", "http://org/", "http://org", "no scheme", None, "", "a://b://c/d", "http://spam-farm.example.net/q", "http://w.spam-farm.example.net", "http://HOST.NET/p/q/r", "http://host.net/p", "http://xorg/"]
     want = []
