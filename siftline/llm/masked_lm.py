@@ -8,7 +8,8 @@ words of the class. It is trained in numpy, in rounds over every document, each
 on its own share of the words, so that every word is a target once: each
 partition starts from the shared weights, takes steps on its words, and the
 weights are averaged by the words seen. A score is the sum of the conditional
-log-probabilities of all words of a document.
+log-probabilities of all words of a document; a word that shares an id adds the
+log-probability of the word within its id, from the counts of the corpus.
 """
 
 from __future__ import annotations
@@ -124,8 +125,8 @@ def contexts(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Hashes of the most frequent words of all documents, most frequent first."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n): hash and count of every distinct word of all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,8 +135,20 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word bigint, n bigint")
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(VOCABULARY - SHARED_IDS).collect()
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> tuple[np.ndarray, DataFrame]:
+    """Hashes of the most frequent words, most frequent first, and (word, log_share) of all others: the log of their share of the id they have in common."""
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHARED_IDS).collect()
+    rest = counts.where(F.lit(False))
+    if top:
+        n, word = F.lit(top[-1]["n"]), F.lit(top[-1]["word"])
+        rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    rest = rest.withColumn("shared", F.pmod(F.shiftrightunsigned("word", 40), F.lit(SHARED_IDS)))
+    sizes = rest.groupBy("shared").agg(F.sum("n").alias("all"))
+    shares = rest.join(F.broadcast(sizes), "shared").select("word", (F.log("n") - F.log("all")).alias("log_share"))
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64), shares
 
 
 def encode(hashes: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -148,6 +161,7 @@ def encode(hashes: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarr
 
 
 def _encoded(docs: DataFrame, words: np.ndarray, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, ids, rare) of every row; rare holds the hashes of the words that share an id."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -159,9 +173,14 @@ def _encoded(docs: DataFrame, words: np.ndarray, id_col: str, text_col: str) ->
                 ids = encode(part.hashes, own, order)
                 offsets = (part.first * 2).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), part.rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.row0, part.rows), column], names=["id", "ids"])
+                alike = ids >= VOCABULARY - SHARED_IDS
+                bounds = np.concatenate(([0], np.cumsum(alike)))[part.first].astype(np.int32)
+                rare = pa.ListArray.from_arrays(pa.array(bounds), pa.array(part.hashes[alike].view(np.int64)))
+                own_rows = [batch.column(k).slice(part.row0, part.rows) for k in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*own_rows, column, rare], names=["id", "row", "ids", "rare"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+    columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")]
+    return docs.select(*columns).mapInArrow(run, f"id {kind}, row bigint, ids binary, rare array<bigint>")
 
 
 def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -210,14 +229,14 @@ def train(encoded: DataFrame, rounds: int = ROUNDS) -> Network:
 
 
 def score(encoded: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame:
-    """(id, n_words, log_likelihood) of every encoded document."""
+    """(id, row, n_words, log_likelihood) of every encoded document, by the ids of its words."""
     shared = encoded.sparkSession.sparkContext.broadcast(net.flat)
     kind = encoded.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(shared.value)
         for batch in batches:
-            ids, first = _unpack(batch.column(1))
+            ids, first = _unpack(batch.column(2))
             logs = np.zeros(len(ids) + 1)
             for a in range(0, len(ids), CHUNK):
                 at = np.arange(a, min(a + CHUNK, len(ids)))
@@ -227,21 +246,28 @@ def score(encoded: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame
             sums = np.zeros(len(n))
             if some.any():
                 sums[some] = np.add.reduceat(logs, first[:-1][some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n.astype(np.int64)), pa.array(sums)], names=[id_col, "n_words", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(sums)], names=[id_col, "_siftline_row", "n_words", "log_likelihood"])
 
-    return encoded.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, log_likelihood double")
+    return encoded.select("id", "row", "ids").mapInArrow(run, f"`{id_col}` {kind}, _siftline_row bigint, n_words bigint, log_likelihood double")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, log_likelihood, mean_log, perplexity.
-
-    Null texts and texts without words have 0 words, likelihood 0 and null
-    means. Equal texts have equal scores, up to rounding. Repeated rows are
-    scored each; an empty table gives an empty result; other columns are not
-    read.
+    """One row per document: id, n_words, log_likelihood, word_log_likelihood, mean_log, perplexity.
+
+    ``log_likelihood`` is of the ids of the network, where rare words share
+    some. ``word_log_likelihood`` is of the words themselves: it adds the log of
+    each rare word's share of its id, by counts of all documents, which leave no
+    word unseen. Means are of the words. Null texts and texts without words
+    have 0 words, likelihood 0 and null means. Equal texts have equal scores,
+    up to rounding. Repeated rows are scored each; an empty table gives an empty
+    result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    encoded = scratch.table(_encoded(docs, vocabulary(docs, text_col), id_col, text_col), "ids")
-    out = score(encoded, train(encoded), id_col)
-    mean = F.col("log_likelihood") / F.nullif(F.col("n_words"), F.lit(0))
+    words, shares = vocabulary(scratch.table(word_counts(docs, text_col), "words"))
+    encoded = scratch.table(_encoded(docs, words, id_col, text_col), "ids")
+    rare = encoded.select(F.col("row").alias("_siftline_row"), F.explode("rare").alias("word")).join(shares, "word")
+    rare = rare.groupBy("_siftline_row").agg(F.sum("log_share").alias("_siftline_rare"))
+    out = score(encoded, train(encoded), id_col).join(rare, "_siftline_row", "left")
+    out = out.withColumn("word_log_likelihood", F.col("log_likelihood") + F.coalesce("_siftline_rare", F.lit(0.0))).drop("_siftline_row", "_siftline_rare")
+    mean = F.col("word_log_likelihood") / F.nullif(F.col("n_words"), F.lit(0))
     return out.withColumn("mean_log", mean).withColumn("perplexity", F.exp(-mean))

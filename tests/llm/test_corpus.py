@@ -3,10 +3,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from siftline.llm import decontaminate, language_id, masked_lm, mixing, queries, url_filter, warc_fixity
+from siftline.llm import decontaminate, language_id, masked_lm, mixing, queries, textscan, url_filter, warc_fixity
 
 from . import brute
 
@@ -194,6 +195,25 @@ def test_every_word_is_a_target_of_one_round():
     assert {0, 1, 3, 6} <= set(rounds[0])
 
 
+def test_rare_words_are_told_apart_within_their_id(spark):
+    common = " ".join(f"c{k}" for k in range(masked_lm.VOCABULARY - masked_lm.SHARED_IDS))
+    rare = [f"x{k}" for k in range(200)]
+    docs = spark.createDataFrame([(k, common) for k in range(9)] + [(10, " ".join(rare)), (11, "x0 x0 x0 x0"), (12, "x0"), (12, "x1"), (13, "c1")], "doc_id long, text string")
+    counts = collections.Counter(rare + ["x0"] * 5 + ["x1"])
+    hashes = {w: next(textscan.scan_words(pa.array([w]))).hashes[0] for w in counts}
+    shared = {w: int(h >> np.uint64(40)) % masked_lm.SHARED_IDS for w, h in hashes.items()}
+    total = collections.Counter()
+    for w, n in counts.items():
+        total[shared[w]] += n
+    share = {w: np.log(n / total[shared[w]]) for w, n in counts.items()}
+    out = masked_lm.pseudo_likelihood(docs).collect()
+    got = sorted((r.doc_id, r.word_log_likelihood - r.log_likelihood) for r in out if r.doc_id > 9)
+    want = sorted([(10, sum(share[w] for w in rare)), (11, 4 * share["x0"]), (12, share["x0"]), (12, share["x1"]), (13, 0.0)])
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [v for _, v in got] == pytest.approx([v for _, v in want])
+    assert all(r.word_log_likelihood == pytest.approx(r.mean_log * r.n_words) for r in out)
+
+
 def test_urls(spark, tmp_path):
     urls = ["http://A.example.org/es/x?y#z", "https://example.org/en/19", "https://sub.example.org/en/2", "http://x.com/fr/a", "http://x.com/de/a", "http://x.com/en/", "http://org/", "http://org", "no scheme", None, "", "a://b://c/d", "http://spam-farm.example.net/q", "http://w.spam-farm.example.net", "http://HOST.NET/p/q/r", "http://host.net/p", "http://xorg/"]
     want = []
