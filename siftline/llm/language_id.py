@@ -170,11 +170,13 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the labelled rows of ``docs``: a sample of at most SAMPLE_CHARS characters a language.
 
-    Labels are counted over all rows; then about SAMPLE_DOCS rows a language,
-    chosen by a hash of the text, give their first SAMPLE_PART characters.
+    Distinct texts are counted by label over all rows, so copies do not thin out
+    the sample; then about SAMPLE_DOCS texts a language (all where there are no
+    more), chosen by a hash of the text, give their first SAMPLE_PART characters.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts"))
+    counts = {r["lang"]: r["texts"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return Model({})
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))

@@ -83,6 +83,13 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.identify(df.where("lang is null")).collect()} == {"und"}
 
 
+def test_languages_of_many_copies_are_learned(spark):
+    few = [(f"haus und hof nummer {w}", "de") for w in ("eins", "zwei", "drei")]
+    texts = spark.createDataFrame([*few, ("house and yard", "en")], "text string, lang string")
+    docs = texts.crossJoin(spark.range(5000).select())
+    assert language_id.fit(docs).languages == ["de", "en"]
+
+
 def test_cross_parsing_equals_plain_greedy_phrases():
     sample = "the cat sat on the mat and the dog"
     model = language_id.Model({"x": [sample], "y": ["zebra"]})
