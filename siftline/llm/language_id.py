@@ -2,16 +2,19 @@
 
 Per language a suffix automaton of a bounded sample of labelled text gives
 longest-match lengths: a text is cut greedily into the longest phrases that
-occur in the sample, and the language that needs fewest phrases a character
-wins. Automata become dense transition tables, and texts are parsed in
-lockstep, thousands of pieces at once, in numpy. The sample only bounds the
-automata; every text is parsed whole.
+occur in the sample. A phrase costs the logarithm of the sample's length, so
+samples of unequal length compare; the language of the least cost wins.
+Automata become dense transition tables, and texts are parsed in lockstep,
+thousands of pieces at once, in numpy. The sample only bounds the automata;
+every text is parsed whole. Only samples travel: each Python worker builds the
+tables once. More languages than PASS_LANGUAGES are parsed in several passes.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +22,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the sample: normalised characters a language and in all, and documents asked for a language.
+from .scratch import Scratch
+
+#: Bounds of the sample: normalised characters and documents a language.
 SAMPLE_CHARS = 24_000
-TOTAL_CHARS = 200_000
 SAMPLE_DOCS = 60
 #: Characters of one document that the sample may take, so that it spans many documents.
 SAMPLE_PART = 1_000
-MAX_LANGUAGES = 200
+#: Languages whose counts may travel to every executor.
+SHIPPED_LANGUAGES = 10_000
+#: Languages whose tables are held at once.
+PASS_LANGUAGES = 8
 #: Letters with a symbol of their own, by frequency; rarer ones share SHARED symbols, so tables stay narrow for any script.
 OWN_SYMBOLS = 128
 SHARED = 64
@@ -97,28 +104,54 @@ def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
 
 
 class Model:
-    """Transition tables by language and the symbol of each code point."""
+    """Sampled code points by language. Tables are built when first asked for and do not travel."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.languages = sorted(samples)
-        codes = {}
-        for lang in self.languages:
-            code, _ = normalise(samples[lang])
-            codes[lang] = code[: min(SAMPLE_CHARS, TOTAL_CHARS // len(self.languages))]
-        every = np.concatenate([*codes.values(), np.zeros(0, np.uint32)])
+        self.codes = {lang: normalise(samples[lang])[0][:SAMPLE_CHARS].astype(np.uint32) for lang in sorted(samples)}
+        every = np.concatenate([*self.codes.values(), np.zeros(0, np.uint32)])
         values, counts = np.unique(every[every > 0], return_counts=True)
         self.known = np.sort(values[np.argsort(-counts, kind="stable")[:OWN_SYMBOLS]])
+        #: Without rarer letters in the sample, all unknown ones match nothing and need one symbol.
+        self.shared = SHARED if len(values) > OWN_SYMBOLS else 1
         #: Symbol 0 is unused, 1 a gap, then the known letters, then the shared ones.
-        self.alphabet = len(self.known) + 2 + SHARED
-        self.tables = []
-        for lang in self.languages:
-            table = suffix_automaton(self.symbols(codes[lang]).tolist(), self.alphabet)
-            # a failing symbol starts the next phrase: bake the restart into the table, marked by its sign
-            restart = np.maximum(table[0], 0)
-            self.tables.append(np.where(table >= 0, table, ~restart).astype(np.int32).ravel())
+        self.alphabet = len(self.known) + 2 + self.shared
+        self._tables: list[np.ndarray] | None = None
+
+    @property
+    def languages(self) -> list[str]:
+        return list(self.codes)
+
+    def passes(self) -> list[Model]:
+        """Models of PASS_LANGUAGES languages each that parse like this one."""
+        out = []
+        for k in range(0, len(self.codes), PASS_LANGUAGES):
+            part = Model({})
+            part.codes = {lang: self.codes[lang] for lang in self.languages[k : k + PASS_LANGUAGES]}
+            part.known, part.shared, part.alphabet = self.known, self.shared, self.alphabet
+            out.append(part)
+        return out or [self]
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "_tables": None}
+
+    @property
+    def tables(self) -> list[np.ndarray]:
+        if self._tables is None:
+            self._tables = []
+            for code in self.codes.values():
+                table = suffix_automaton(self.symbols(code).tolist(), self.alphabet)
+                # a failing symbol starts the next phrase: bake the restart into the table, marked by its sign
+                restart = np.maximum(table[0], 0)
+                self._tables.append(np.where(table >= 0, table, ~restart).astype(np.int32).ravel())
+        return self._tables
+
+    def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases (rows x languages), each at the logarithm of the sample's length, and letters of each text."""
+        phrases, letters = self.phrases(texts)
+        return phrases * np.log2([len(c) + 2.0 for c in self.codes.values()]), letters
 
     def symbols(self, code: np.ndarray) -> np.ndarray:
-        shared = len(self.known) + 2 + (code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(SHARED)
+        shared = len(self.known) + 2 + (code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(self.shared)
         if not len(self.known):
             return np.where(code == 0, _SPACE, shared).astype(np.int32)
         spot = np.minimum(np.searchsorted(self.known, code), len(self.known) - 1)
@@ -154,51 +187,81 @@ class Model:
             out[:, k] = np.bincount(owner, cuts + 1.0, n)
         return out, letters
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text: ``und`` and 0 where it has no letters."""
-        phrases, letters = self.phrases(texts)
-        best = phrases.argmin(axis=1) if self.languages else np.zeros(len(texts), int)
-        if len(self.languages) > 1:
-            two = np.partition(phrases, 1, axis=1)[:, :2]
-            score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9)
-        else:
-            score = np.ones(len(texts))
-        some = (letters > 0) & bool(self.languages)
-        return [self.languages[b] if s else "und" for b, s in zip(best, some)], np.where(some, np.clip(score, 0, 1), 0.0)
+
+def best_two(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first language of least cost, its cost, next cost) of each row; the next is infinite where there is one language."""
+    if not costs.shape[1]:
+        return np.zeros(len(costs), int), np.full(len(costs), np.inf), np.full(len(costs), np.inf)
+    best = costs.argmin(axis=1)
+    two = np.sort(np.concatenate((costs, np.full((len(costs), 1), np.inf)), axis=1), axis=1)[:, :2]
+    return best, two[:, 0], two[:, 1]
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from the labelled rows of ``docs``: a sample of at most SAMPLE_CHARS characters a language.
+    """Learn from the labelled rows of ``docs``: a sample of at most SAMPLE_CHARS characters of every language.
 
     Distinct texts are counted by label over all rows, so copies do not thin out
     the sample; then about SAMPLE_DOCS texts a language (all where there are no
     more), chosen by a hash of the text, give their first SAMPLE_PART characters.
+    A language all of whose labelled texts lack letters is not learned.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct(F.xxhash64("text")).alias("texts"))
-    counts = {r["lang"]: r["texts"] for r in sizes.orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return Model({})
+    sizes = labelled.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("texts")).withColumnRenamed("lang", "name")
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 20))
-    wanted = F.lit(False)
-    for lang, n in counts.items():
-        wanted = wanted | ((F.col("lang") == lang) & (spot < min(1 << 20, -(-SAMPLE_DOCS * (1 << 20) // n))))
-    rows = labelled.where(wanted).select("lang", spot.alias("spot"), F.left("text", F.lit(SAMPLE_PART)).alias("part")).distinct()
-    top = {lang: [] for lang in counts}
-    for r in sorted(rows.orderBy("spot", "lang", "part").limit(4 * SAMPLE_DOCS * len(counts)).collect(), key=lambda r: (r["spot"], r["part"])):
-        top[r["lang"]].append(r["part"])
-    return Model({lang: parts for lang, parts in top.items() if parts})
+    limit = F.ceil(F.lit(SAMPLE_DOCS * (1 << 20)) / F.col("texts"))
+    few = sizes.count() <= SHIPPED_LANGUAGES
+    drawn = labelled.withColumn("spot", spot).join(F.broadcast(sizes) if few else sizes, F.col("lang") == F.col("name")).where(F.col("spot") < limit)
+    parts = drawn.select("lang", "spot", F.left("text", F.lit(SAMPLE_PART)).alias("part")).distinct().groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("spot", "part"))).alias("parts"))
+    rows = parts.select("lang", F.slice("parts", 1, 4 * SAMPLE_DOCS).alias("parts")).collect()
+    samples = {r["lang"]: [p["part"] for p in r["parts"]] for r in rows}
+    return Model({lang: parts for lang, parts in samples.items() if any(_letters(normalise(parts)[0]))})
+
+
+@lru_cache(maxsize=1)
+def _held(raw: bytes) -> Model:
+    """The model of a worker: built once, however many tasks it runs."""
+    return pickle.loads(raw)
 
 
 def predict(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
-    """``id_cols`` with lang_pred and score of every row; ``und`` and 0 for null texts and texts without letters."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    """``id_cols`` with lang_pred, score and n_letters of every row; ``und`` and 0 for null texts, texts without letters, and all texts if no language was learned.
+
+    The score is one less the winner's cost over the runner-up's, 1 if there is
+    no other language. No id column may have one of the three names.
+    """
+    passes = model.passes()
+    if len(passes) == 1:
+        return _costed(docs, passes[0], id_cols, text_col).select(*id_cols, *_verdict(F.col("first"), F.col("cost"), F.col("next"), F.col("n_letters")))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(docs.select(F.struct(*id_cols).alias("ids"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("n")), "texts")
+    found = None
+    for k, part in enumerate(passes):
+        one = scratch.table(_costed(rows, part, ["n"], "text"), f"pass-{k}")
+        found = one if found is None else found.unionByName(one)
+    # the least of the firsts wins; the runner-up is the least of its own next and the other passes' firsts
+    firsts = F.array_sort(F.collect_list(F.struct("cost", "first", "next")))
+    merged = found.groupBy("n").agg(firsts.alias("f"), F.max("n_letters").alias("n_letters"))
+    rest = F.array_min(F.concat(F.array(F.col("f")[0]["next"]), F.transform(F.slice("f", 2, len(passes)), lambda x: x["cost"])))
+    merged = merged.select("n", *_verdict(F.col("f")[0]["first"], F.col("f")[0]["cost"], rest, F.col("n_letters")))
+    return rows.select("n", "ids").join(merged, "n").select("ids.*", "lang_pred", "score", "n_letters")
+
+
+def _verdict(first: Column, cost: Column, following: Column, letters: Column) -> list[Column]:
+    some = (letters > 0) & first.isNotNull()
+    score = F.when(following == float("inf"), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - cost / following))
+    return [F.when(some, first).otherwise("und").alias("lang_pred"), F.when(some, score).otherwise(0.0).alias("score"), letters.alias("n_letters")]
+
+
+def _costed(docs: DataFrame, model: Model, id_cols: list[str], text_col: str) -> DataFrame:
+    """``id_cols`` with first (language of least cost), cost, next (the runner-up's cost) and n_letters."""
+    raw = pickle.dumps(model)
     kinds = [docs.schema[c] for c in id_cols]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", lang_pred string, score double"
-    names = [*id_cols, "lang_pred", "score"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", first string, cost double, next double, n_letters bigint"
+    names = [*id_cols, "first", "cost", "next", "n_letters"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = _held(raw)
+        langs = np.array([*own.languages, None], object)
         for batch in batches:
             texts = pc.fill_null(batch.column(len(id_cols)), "")
             ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -206,18 +269,22 @@ def predict(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "
             while begin < len(texts):
                 base = ends[begin - 1] if begin else 0
                 end = max(int(np.searchsorted(ends, base + SLICE_CHARS, "right")), begin + 1)
-                langs, scores = own.predict(texts.slice(begin, end - begin).to_pylist())
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(begin, end - begin) for k in range(len(id_cols))), pa.array(langs, pa.string()), pa.array(scores)], names=names)
+                costs, letters = own.costs(texts.slice(begin, end - begin).to_pylist())
+                best, cost, following = best_two(costs)
+                first = langs[best] if own.languages else np.full(len(best), None)
+                columns = [batch.column(k).slice(begin, end - begin) for k in range(len(id_cols))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.string()), pa.array(cost), pa.array(following), pa.array(letters.astype(np.int64))], names=names)
                 begin = end
 
     return docs.select(*id_cols, F.col(text_col).cast("string").alias("_siftline_text")).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score) of every row, learned from the rows not held out.
+    """(id, held_out, lang_pred, score, n_letters) of every row, learned from the rows not held out.
 
     Ties between languages go to the first by name. With no labelled rows all
-    are ``und``; an empty table gives an empty result.
+    are ``und``; repeated rows are judged each; an empty table gives an empty
+    result; other columns are not read.
     """
     model = fit(docs.where(~held_out(id_col)), text_col, lang_col)
     return predict(docs.withColumn("held_out", held_out(id_col)), model, [id_col, "held_out"], text_col)

@@ -5,8 +5,10 @@ its occurrence. A sketch takes the ``ELL`` least k-mers under one hash function
 and keeps them in text order, so it agrees only where two texts hold the same
 passages in the same order. Texts that share a sketch are candidates. A banded
 alignment of the two k-mer sequences decides: aligned k-mers over all distinct
-k-mers must reach the threshold. The band of a ninth of both lengths is exact
-at 0.8, as no alignment that reaches it leaves more k-mers unmatched.
+k-mers must reach the threshold. The band follows from it, a ninth of both
+lengths at 0.8, and is exact: no alignment that reaches the threshold leaves
+more k-mers unmatched. Short texts, for which few k-mers decide a sketch, also
+meet by sketches that leave out one k-mer at a time (SHORT).
 
 Exact copies are one node. Members of a bucket are first compared with its
 least member only; then every member outside that member's component meets
@@ -33,6 +35,13 @@ WIDTH = 5
 THRESHOLD = 0.8
 ELL = 4
 SKETCHES = 20
+#: Texts of up to so many k-mers get further sketches: every run of their k-mers but one, which finds all pairs a k-mer apart.
+SHORT = 12
+#: Pairs of one head that a task aligns, and parts that rows of one key are dealt to where they are joined.
+HEAD_PAIRS = 256
+PARTS = 16
+#: Rows of two keys that may travel to every executor.
+SHIPPED_ROWS = 50_000
 #: Texts, and words in all, in a block of the comparison across groups.
 BLOCK = 256
 BLOCK_WORDS = 2_000_000
@@ -78,8 +87,36 @@ def sketch_words(words, n_sketches: int, ell: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def short_sketches(words) -> list[np.ndarray]:
+    """For each row of 2 to SHORT k-mers the hashes of its sequence and of each sequence with one k-mer left out, else none.
+
+    At 0.8 two texts of which the longer has at most nine k-mers differ by one
+    k-mer added or left out, or by one changed where both have nine or more; both
+    cases share one of these sequences.
+    """
+    keys, rows, _ = _parts(words)
+    n = np.bincount(rows, minlength=words.rows)
+    first = np.concatenate(([0], np.cumsum(n)))
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * words.rows
+    for size in range(2, SHORT + 1):
+        own = np.flatnonzero(n == size)
+        if not len(own):
+            continue
+        table = keys[first[own][:, None] + np.arange(size)]
+        found = []
+        for skip in range(-1, size):
+            acc = np.zeros(len(own), np.uint64)
+            for k in range(size):
+                if k != skip:
+                    acc = mix(acc + table[:, k] + np.uint64(17))
+            found.append(acc)
+        for r, row in zip(own.tolist(), np.stack(found, 1).view(np.int64)):
+            out[r] = np.unique(row)
+    return out
+
+
 def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tag, key, n_words, sketches) of every row; tag is a hash of the raw text, key is null where a text has no words."""
+    """(id, tag, key, n_words, buckets) of every row; tag is a hash of the raw text, key is null where a text has no words."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,11 +128,16 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n = words.rows
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(keys))])
                 key = pa.array([k if s else None for k, s in zip(raw.to_pylist(), some.tolist())], pa.binary())
-                lists = pa.ListArray.from_arrays(np.arange(0, (n + 1) * SKETCHES, SKETCHES, dtype=np.int32), sketches.reshape(-1))
+                # a bucket is a hash of the number of a sketch and its value; sketches of short texts share one number
+                numbered = mix(sketches.view(np.uint64) + np.arange(SKETCHES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                short = short_sketches(words)
+                buckets = [np.concatenate(x) for x in zip(numbered, short)]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in buckets]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, np.concatenate(buckets) if buckets else np.zeros(0, np.int64))
                 own = [batch.column(0).slice(words.row0, n), batch.column(2).slice(words.row0, n), key, pa.array(words.counts.astype(np.int64)), lists]
-                yield pa.RecordBatch.from_arrays(own, names=["id", "tag", "key", "n_words", "sketches"])
+                yield pa.RecordBatch.from_arrays(own, names=["id", "tag", "key", "n_words", "buckets"])
 
-    return _tagged(docs, id_col, text_col).mapInArrow(run, f"id {kind}, tag bigint, key binary, n_words bigint, sketches array<bigint>")
+    return _tagged(docs, id_col, text_col).mapInArrow(run, f"id {kind}, tag bigint, key binary, n_words bigint, buckets array<bigint>")
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -109,13 +151,33 @@ def text_tag(text: Column) -> Column:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`near_duplicates` does not keep; rows of one id are judged by their own text."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_siftline_id"), F.col("text_tag").alias("_siftline_tag")).distinct()
-    same = docs[id_col].eqNullSafe(gone["_siftline_id"]) & (text_tag(docs[text_col].cast("string")) == gone["_siftline_tag"])
-    return docs.join(gone, same, "left_anti")
+    """``docs`` with one row of every class of :func:`near_duplicates`, whatever ids repeat or are null.
 
+    Rows alike in id and text are one row in the result, any of them; texts
+    without words are in no class and all stay. Columns keep their names.
+    """
+    own = _named(near_duplicates(docs, id_col, text_col), id_col)
+    gone = own.groupBy("_siftline_id", "_siftline_tag").agg(F.max("kept").alias("kept"), F.count("*").alias("n"), F.max("n_words").alias("words"))
+    gone = Scratch(docs.sparkSession).table(gone.where("not kept or (n > 1 and words > 0)"), "gone")
+    same = lambda other: docs[id_col].eqNullSafe(other["_siftline_id"]) & text_tag(docs[text_col].cast("string")).eqNullSafe(other["_siftline_tag"])
+    out = docs.join(gone, same(gone), "left_anti")
+    again = gone.where("kept")
+    if again.isEmpty():
+        return out
+    row = docs.join(again, same(again), "inner").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "_siftline_id", "_siftline_tag")
+    return out.unionByName(row.groupBy("_siftline_id", "_siftline_tag").agg(F.first("row").alias("row")).select("row.*"))
 
-def aligned_similarity(a: np.ndarray, b: np.ndarray) -> float:
+
+def _named(classes: DataFrame, id_col: str) -> DataFrame:
+    return classes.select(F.col(id_col).alias("_siftline_id"), F.col("text_tag").alias("_siftline_tag"), "kept", "n_words")
+
+
+def band(threshold: float) -> float:
+    """Share of both lengths together that an alignment reaching the threshold may leave unmatched on either side."""
+    return (1 - threshold) / (1 + threshold)
+
+
+def aligned_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Aligned over distinct k-mers of two sequences whose k-mers are unique each, within the band."""
     if not len(a) or not len(b):
         return 0.0
@@ -124,7 +186,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray) -> float:
     hit = order[spot]
     i = np.flatnonzero(b[hit] == a)
     j = hit[i]
-    close = np.abs(i - j) <= (len(a) + len(b)) / 9 + 1
+    close = np.abs(i - j) <= (len(a) + len(b)) * band(threshold) + 1
     j = j[close]
     if len(j) > 1 and (np.diff(j) < 0).any():
         tails: list[int] = []
@@ -143,8 +205,15 @@ def _sequences(column: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
         yield from np.split(keys, np.cumsum(np.bincount(rows, minlength=words.rows))[:-1])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of keys whose texts align to the threshold, with their similarity."""
+def _spread(rows: DataFrame, facts: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``facts`` for a key; rows of one key go to PARTS tasks."""
+    rows = rows.withColumn("part", F.pmod(F.xxhash64(by), F.lit(PARTS)))
+    facts = facts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    return rows.join(facts, [key, "part"]).drop("part")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of keys whose texts align to the threshold, with their similarity; a head b travels once for HEAD_PAIRS pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +222,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             encoded = leaders.dictionary_encode()
             known = list(_sequences(encoded.dictionary))
             which = encoded.indices.to_pylist()
-            sim = [aligned_similarity(x, known[w]) for x, w in zip(_sequences(batch.column(2)), which)]
+            sim = [aligned_similarity(x, known[w], threshold) for x, w in zip(_sequences(batch.column(2)), which)]
             keep = [k for k, s in enumerate(sim) if s >= threshold]
             yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.binary()), pa.array([b[k] for k in keep], pa.binary()), pa.array([sim[k] for k in keep], pa.float64())], names=["a", "b", "similarity"])
 
+    heads = pairs.groupBy("b").agg(F.ceil(F.count("*") / HEAD_PAIRS).cast("int").alias("shares"))
+    heads = scratch.table(heads.where("shares > 1"), "heads")
+    few = heads.count() <= SHIPPED_ROWS
+    shares = F.coalesce("shares", F.lit(1))
+    dealt = pairs.join(F.broadcast(heads) if few else heads, "b", "left").select("a", "b", F.pmod(F.xxhash64("a", F.lit(7)), shares).cast("int").alias("share"))
     one = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")).join(pairs.select("b").distinct(), "b", "left_semi").join(F.broadcast(heads) if few else heads, "b", "left")
+    two = two.select("b", "text_b", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    both = dealt.join(one, "a").join(two, ["b", "share"]).select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
@@ -201,7 +276,8 @@ def _across(odd: DataFrame, hot: DataFrame, families: DataFrame, nodes: DataFram
     parts = lambda n, words: F.ceil(F.greatest(n / BLOCK, words / BLOCK_WORDS)).cast("int")
     odd_words = F.sum(F.when(F.col("odd"), F.col("n_words")))
     sizes = rows.groupBy("family").agg(parts(F.count("*"), F.sum("n_words")).alias("blocks"), parts(F.count_if("odd"), odd_words).alias("odd_blocks"))
-    rows = rows.drop("n_words").join(sizes.where("odd_blocks > 0"), "family").join(texts, "key")
+    sizes = scratch.table(sizes.where("odd_blocks > 0"), "sizes")
+    rows = _spread(rows.drop("n_words"), sizes, "family", "key").join(texts, "key")
     spot = F.xxhash64("key")
     right = rows.withColumn("block", F.pmod(spot, F.col("blocks"))).withColumn("odd_block", F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)))
     left = rows.where("odd").withColumn("odd_block", F.pmod(spot, F.col("odd_blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -227,7 +303,7 @@ def _across(odd: DataFrame, hot: DataFrame, families: DataFrame, nodes: DataFram
         for u, v in np.argwhere(enough).tolist():
             i, j = int(lefts[u]), int(rights[v])
             x, y = find(roots[i]), find(roots[j])
-            if x != y and (similarity := aligned_similarity(sequences[i], sequences[j])) >= threshold:
+            if x != y and (similarity := aligned_similarity(sequences[i], sequences[j], threshold)) >= threshold:
                 parent[x] = y
                 out.append((keys[i], keys[j], similarity))
         one, two, three = zip(*out) if out else ((), (), ())
@@ -241,27 +317,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``class_id`` is the least id among documents joined by chains of exact
     copies (equal words in equal order, whatever case and punctuation) and of
-    pairs that align to ``threshold``; ``kept`` marks the document that stays.
-    Null texts and texts without words are alone in their class. A text of
-    fewer than five words is one k-mer, so it joins equal texts only. Rows that
-    repeat an id are the same document: they share the class and its ``kept``.
-    A null id never names a class that has another id. Other columns are
-    not read; an empty table gives an empty result.
+    pairs that align to ``threshold``; a null id names a class only where all
+    its ids are null. ``kept`` marks one row of each class: the one of the least
+    id, then text hash; of rows alike in both, one. Null texts and texts
+    without words are alone in their class and kept. A text of fewer than five
+    words is one k-mer, so it joins equal texts only. Other columns are not
+    read; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(sketch_table(docs, id_col, text_col), "sketches")
+    table = sketch_table(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    rows = scratch.table(table, "sketches")
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "tag", "row"))
     nodes = scratch.table(
-        rows.where("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.first("sketches").alias("sketches"), F.first("n_words").alias("n_words")),
+        rows.where("key is not null").groupBy("key").agg(first.alias("first"), F.count("*").alias("copies"), F.first("buckets").alias("buckets"), F.first("n_words").alias("n_words")),
         "nodes",
     )
-    bucket = nodes.select("key", F.posexplode("sketches").alias("band", "sketch")).select("key", F.xxhash64("band", "sketch").alias("bucket"))
+    bucket = nodes.select("key", F.explode("buckets").alias("bucket"))
     heads = bucket.groupBy("bucket").agg(F.min("key").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head")
     members = scratch.table(bucket.join(heads, "bucket"), "members")
     starts = scratch.table(members.where("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).distinct(), "starts")
 
-    wanted = members.select("key").distinct()
-    texts = scratch.table(_texts(docs, wanted, rows, id_col, text_col), "texts")
-    links = scratch.table(_verified(starts, texts, threshold), "links")
+    texts = scratch.table(_texts(docs, members.select("key").distinct(), nodes, id_col, text_col), "texts")
+    links = scratch.table(_verified(starts, texts, threshold, scratch), "links")
     groups = connected_components(links)
 
     placed = members.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
@@ -274,23 +351,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = scratch.table(_across(odd, hot, families, nodes, texts, threshold, scratch).unionByName(links), "all-links")
         groups = connected_components(links)
 
-    named = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first_id", "copies", F.coalesce("root", "key").alias("root"))
-    names = named.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    classes = scratch.table(named.join(names, "root").select("key", "class_id", "class_size"), "classes")
-    out = rows.select("id", "key", "n_words", "tag").join(classes, "key", "left").select(
-        F.col("id").alias(id_col),
-        F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"),
-        "n_words",
-        F.col("tag").alias("text_tag"),
+    named = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "copies", F.coalesce("root", "key").alias("root"))
+    names = named.groupBy("root").agg(F.min("first").alias("chosen"), F.sum("copies").alias("class_size"))
+    classes = scratch.table(named.select("key", "root").join(names, "root").select("key", "chosen", "class_size"), "classes")
+    plain = rows.select("id", "key", "n_words", "tag", "row")
+    some = plain.where("key is not null").join(classes, "key").select(
+        "id", F.col("chosen.id").alias("class_id"), "class_size", "n_words", "tag", (F.col("row") == F.col("chosen.row")).alias("kept")
     )
+    none = plain.where("key is null").select("id", F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("class_size"), "n_words", "tag", F.lit(True).alias("kept"))
     scratch.drop(members, starts, texts, placed, nodes, links)
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("class_id")))
+    return some.unionByName(none).select(F.col("id").alias(id_col), "class_id", "class_size", "n_words", F.col("tag").alias("text_tag"), "kept")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(key, text) of the wanted keys, one text each, found again by the id and raw-text hash of one row of the key."""
-    chosen = rows.where("key is not null").groupBy("key").agg(F.min(F.struct("id", "tag")).alias("one")).join(wanted, "key").select("key", F.col("one.id").alias("own_id"), F.col("one.tag").alias("own_tag"))
+    chosen = nodes.join(wanted, "key").select("key", F.col("first.id").alias("own_id"), F.col("first.tag").alias("own_tag"))
     docs = _tagged(docs, id_col, text_col)
     found = docs.join(chosen, docs["id"].eqNullSafe(chosen["own_id"]) & (docs["tag"] == chosen["own_tag"]))
     return found.select("key", "text").dropDuplicates(["key"])

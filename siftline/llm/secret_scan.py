@@ -2,10 +2,13 @@
 
 Each rule's regex is parsed on the driver into a Boolean trigram query: every
 clause lists alternatives, each a set of trigrams that a match must contain.
-The index holds a posting (trigram, document) for every trigram that any rule
-asks for; intersecting a document's postings with the queries gives each rule's
-candidates, and only those run its regex. Rules without mandatory trigrams scan
-every text. DataFrame functions only.
+The index is a table of postings, keyed by trigram: the documents that hold it,
+for every trigram that any rule asks for. The postings of an alternative are
+intersected, alternatives united, clauses intersected; what is left are the
+rule's candidates, and only their texts are fetched and run through its regex.
+Rules without mandatory trigrams scan every text, once, while the index is
+built; the documents they may match are a posting list like any other.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -42,6 +45,10 @@ RULES = (
     Rule("chat", r"xoxb-[A-Za-z0-9-]+", 20, base=False),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, base=False),
 )
+#: Candidates that may travel to every executor; more are joined by id and text hash.
+SHIPPED_ROWS = 50_000
+#: Parts that one posting list is dealt to.
+LIST_PARTS = 16
 #: Exact sets beyond this size are split into clauses.
 _SET = 64
 
@@ -127,17 +134,55 @@ def _accept(rule: Rule):
     return check
 
 
-def _key(docs: DataFrame, id_col: str, text: Column) -> tuple[Column, Column]:
-    return F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.xxhash64(text)
+def _full_scan(rule: Rule) -> str:
+    """Name of the posting list of a rule that no trigram stands for."""
+    return f"rule {rule.kind}"
 
 
-def postings(docs: DataFrame, grams: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tag, trigram): one row for each wanted trigram that a document's lower-cased text holds; trigrams are bits in the order of ``grams``."""
+def _tag(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
+def postings(docs: DataFrame, grams: list[str], rules: tuple[Rule, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(trigram, id, tag): the documents that hold each wanted trigram in their lower-cased text, and those that each of ``rules`` may match.
+
+    ``tag`` is a hash of the text, so rows of one id are told apart by it.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc, tag = _key(docs, id_col, text)
-    low = docs.select(doc.alias("doc"), tag.alias("tag"), F.lower(text).alias("low"))
-    held = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(1 << k).cast("bigint")) for k, g in enumerate(grams)]))
-    return low.select("doc", "tag", F.explode(held).alias("trigram"))
+    low = docs.select(F.col(id_col).alias("id"), _tag(text).alias("tag"), text.alias("text"), F.lower(text).alias("low"))
+    held = [F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]
+    # a run of the least length is enough to tell that a rule may match
+    scans = [F.when(F.regexp_like("text", F.lit(f"(?:{r.pattern.rstrip('+')}){{{max(r.least, 1)}}}" if _run(r) else r.pattern)), F.lit(_full_scan(r))) for r in rules]
+    return low.select(F.explode(F.array_compact(F.array(*held, *scans))).alias("trigram"), "id", "tag")
+
+
+def _run(rule: Rule) -> bool:
+    """Whether the pattern is one class, repeated."""
+    items = list(sre.parse(rule.pattern))
+    return not rule.group and len(items) == 1 and items[0][0] is rc.MAX_REPEAT and items[0][1][0] == 1 and rule.pattern.endswith("+")
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(id, tag, rules): the documents of ``index`` that meet a rule's query, with the positions of those rules."""
+    queries = [trigram_query(r.pattern) or [frozenset([frozenset([_full_scan(r)])])] for r in rules]
+    lists: dict[str, list[int]] = {}
+    needs, places = [], []
+    for k, query in enumerate(queries):
+        for c, clause in enumerate(query):
+            for option in sorted(clause, key=sorted):
+                for gram in option:
+                    lists.setdefault(gram, []).append(len(needs))
+                needs.append(len(option))
+                places.append(k * 1000 + c)
+    # the postings of an option's trigrams meet by document; those in all of its lists stay
+    options = F.create_map(*[x for g, own in sorted(lists.items()) for x in (F.lit(g), F.array(*map(F.lit, own)))])
+    need, place = (F.array(*map(F.lit, x)) for x in (needs, places))
+    # repeated rows may count more than once, which only adds candidates
+    met = index.select("id", "tag", F.explode(options[F.col("trigram")]).alias("option")).groupBy("id", "tag", "option").agg(F.count("*").alias("n"))
+    met = met.where(F.col("n") >= F.get(need, F.col("option"))).select("id", "tag", F.get(place, F.col("option")).alias("clause"))
+    held = met.groupBy("id", "tag").agg(F.collect_set("clause").alias("clauses"))
+    whole = [F.when(F.size(F.array_except(F.array(*[F.lit(k * 1000 + c) for c in range(len(q))]), "clauses")) == 0, F.lit(k)) for k, q in enumerate(queries)]
+    return held.select("id", "tag", F.array_compact(F.array(*whole)).alias("rules")).where(F.size("rules") > 0)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -146,50 +191,33 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null texts count as empty and have no span; repeated rows each get their
     own spans; rows with a null id are told apart by their text; an empty table
     gives an empty result. Columns of ``docs`` named ``base`` or ``spans`` are
-    replaced. Offsets are code points, end exclusive.
+    replaced, all others kept whatever their names. Offsets are code points, end
+    exclusive. Any number of rules and trigrams may be asked for.
     """
-    queries = [trigram_query(r.pattern) for r in rules]
-    grams = sorted({g for q in queries for clause in q for option in clause for g in option})
-    place = {g: k for k, g in enumerate(grams)}
-    if len(grams) > 62:
-        raise ValueError("split the rules: more than 62 trigrams in one index")
-    table = postings(docs, grams, id_col, text_col)
-    held = table.groupBy("doc", "tag").agg(F.bit_or("trigram").alias("held"))
-
-    def has(option: frozenset) -> Column:
-        mask = sum(1 << place[g] for g in option)
-        return F.col("held").bitwiseAND(F.lit(mask)) == mask
-
-    def all_of(query: list[Clause]) -> Column:
-        out = F.lit(True)
-        for clause in query:
-            some = F.lit(False)
-            for option in clause:
-                some = some | has(option)
-            out = out & some
-        return out
-
-    bits = F.lit(0)
-    for k, query in enumerate(queries):
-        if query:
-            bits = bits + F.when(all_of(query), 1 << k).otherwise(0)
-    candidates = held.select("doc", "tag", bits.alias("candidate")).where("candidate > 0")
-
-    plain = docs.drop("base", "spans")
+    scratch = Scratch(docs.sparkSession)
+    grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for option in clause for g in option})
+    scanned = tuple(r for r in rules if not trigram_query(r.pattern))
+    # long lists are split by tag; inside a file lists are sorted, so that a reader of few trigrams skips the rest
+    listed = postings(docs, grams, scanned, id_col, text_col).repartition("trigram", F.pmod("tag", F.lit(LIST_PARTS)))
+    index = scratch.table(listed.sortWithinPartitions("trigram", "tag"), "postings")
+    chosen = scratch.table(candidates(index, rules), "candidates")
+    few = chosen.count() <= SHIPPED_ROWS
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    doc, tag = _key(docs, id_col, text)
-    keyed = plain.withColumn("_siftline_doc", doc).withColumn("_siftline_tag", tag)
-    renamed = candidates.select(F.col("doc").alias("_siftline_doc"), F.col("tag").alias("_siftline_tag"), F.col("candidate").alias("_siftline_bits"))
-    both = keyed.join(renamed, ["_siftline_doc", "_siftline_tag"], "left").withColumn("_siftline_bits", F.coalesce("_siftline_bits", F.lit(0)))
-    found = []
-    for k, rule in enumerate(rules):
-        spans = match_spans(text, rule.pattern, rule.kind, k, _accept(rule))
-        wanted = F.col("_siftline_bits").bitwiseAND(F.lit(1 << k)) != 0 if queries[k] else F.regexp_like(text, F.lit(f"(?:{rule.pattern.rstrip('+')}){{{max(rule.least, 1)}}}"))
-        found.append(F.when(wanted, spans).otherwise(none()))
-    base = F.concat(*[c for c, r in zip(found, rules) if r.base])
+    texts = docs.select(F.col(id_col).alias("_siftline_id"), _tag(text).alias("_siftline_tag"), text.alias("_siftline_text"))
+    same = texts["_siftline_id"].eqNullSafe(chosen["id"]) & (texts["_siftline_tag"] == chosen["tag"])
+    fetched = texts.join(F.broadcast(chosen) if few else chosen, same).select("id", "tag", "rules", "_siftline_text")
+    found = [F.when(F.array_contains("rules", k), match_spans(F.col("_siftline_text"), r.pattern, r.kind, k, _accept(r))).otherwise(none()) for k, r in enumerate(rules)]
+    base = [c for c, r in zip(found, rules) if r.base]
     extra = [c for c, r in zip(found, rules) if not r.base]
-    out = both.withColumn("base", F.array_sort(base)).withColumn("spans", F.array_sort(F.concat("base", *extra)))
-    return out.select(*plain.columns, "base", "spans")
+    verified = fetched.select("id", "tag", F.array_sort(F.concat(none(), *base)).alias("base"), F.concat(none(), *extra).alias("extra")).where((F.size("base") > 0) | (F.size("extra") > 0))
+    verified = scratch.table(verified.groupBy("id", "tag").agg(F.first("base").alias("base"), F.first("extra").alias("extra")), "verified")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_siftline_id"), _tag(text).alias("_siftline_tag"))
+    same = row["_siftline_id"].eqNullSafe(verified["id"]) & (row["_siftline_tag"] == verified["tag"])
+    few = (verified.agg(F.sum(F.size("base") + F.size("extra"))).first()[0] or 0) <= SHIPPED_ROWS
+    out = row.join(F.broadcast(verified) if few else verified, same, "left")
+    plain = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("base", "spans")]
+    every = F.array_sort(F.concat(F.coalesce("base", none()), F.coalesce("extra", none())))
+    return out.select(*plain, F.coalesce("base", none()).alias("base"), every.alias("spans"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -1,4 +1,6 @@
-import pandas as pd
+import random
+import time
+
 import pytest
 
 from siftline.llm import pii, secret_scan
@@ -42,21 +44,75 @@ def test_base_spans_equal_brute_force(spark, module, rules, run):
         assert {x for x in by_text[r.base_sha256].split(",") if x} <= set(r.spans.split(","))
 
 
+def rounds(seeds, unknown, n_rounds):
+    """Plain twin of the bootstrapping: value -> (kind, score)."""
+    labelled = {}
+    for _, value, kind in seeds:
+        labelled[value] = min(kind, labelled.get(value, kind))
+    edges = {(p, v) for p, v, _ in seeds} | set(unknown)
+    found = {}
+    for _ in range(n_rounds):
+        scores = {}
+        for p in {p for p, _ in edges}:
+            values = [v for q, v in edges if q == p]
+            for kind in pii.KINDS:
+                n = sum(labelled.get(v) == kind for v in values)
+                if n >= pii.MIN_SEEDS and n / (len(values) + pii.SMOOTHING) >= pii.MIN_SCORE:
+                    scores[p, kind] = n / (len(values) + pii.SMOOTHING)
+        new = {}
+        for p, v in edges:
+            for kind in pii.KINDS:
+                if v not in labelled and (p, kind) in scores:
+                    new[v] = max(new.get(v, (0, "")), (scores[p, kind], kind))
+        if not new:
+            break
+        found |= new
+        labelled |= {v: kind for v, (_, kind) in new.items()}
+    return found
+
+
+def test_bootstrapping_equals_its_plain_twin(spark):
+    rng = random.Random(4)
+    kinds = pii.KINDS[:2]
+    seeds = [(f"left:p{rng.randrange(6)}", f"v{rng.randrange(150)}", rng.choices(kinds, (20, 1))[0]) for _ in range(300)]
+    unknown = [(f"left:p{rng.randrange(9)}", f"u{rng.randrange(12)}") for _ in range(14)] + [("right:q", f"u{k}") for k in range(12)] + [("right:q", "late"), ("left:cold", "never")]
+    got = {r.value: (r.kind, round(r.score, 9)) for r in pii.bootstrap(spark.createDataFrame(seeds, "pattern string, value string, kind string"), spark.createDataFrame(unknown, "pattern string, value string")).collect()}
+    want = rounds(seeds, unknown, pii.ROUNDS)
+    assert got == {v: (kind, round(score, 9)) for v, (score, kind) in want.items()} and want
+
+
 def test_bootstrapping_labels_unknown_identifiers(spark):
     rows = [(k, f"kunde mail an konto{k % 40}@post{k}.example.org heute") for k in range(60)]
-    rows += [(100 + k, f"bitte mailto ab{k}@c{k}.de danke") for k in range(60)] + [(200, "bitte mailto kd-nr77812x danke"), (201, "nimm kd-nr99812x danke")]
+    rows += [(100 + k, f"bitte mailto ab{k}@c{k}.de danke") for k in range(60)] + [(200, "bitte mailto kd-nr77812x danke"), (201, "nimm kd-nr99812x dann")]
+    # labelled by the left word in the first round, these induce the pattern on the right that labels another in the next
+    rows += [(300 + k, f"bitte mailto handle_{k} gemeldet") for k in range(3)] + [(310 + k, f"x{k} mailto m{k}@n{k}.de gemeldet") for k in range(20)] + [(400, "wort only_right gemeldet")]
     found = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
     assert found[200] == "email:13:24"
+    assert found[300] == "email:13:21" and found[400] == "email:5:15"
     assert found[201] == ""
     assert found[0].startswith("email:")
 
 
+def test_many_spans_in_one_text_are_found_in_linear_time(spark):
+    n = 20_000
+    text = " ".join(f"a{k}@b{k}.org id_{k}" for k in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    row = pii.digest(pii.find_pii(df)).first()
+    assert row.n_email == n and row.spans.count(",") >= n - 1
+    assert secret_scan.digest(secret_scan.find_secrets(df)).first().n_assign == 0
+    assert pii.redact_pii(df).first().text.count("[EMAIL]") == n
+    assert time.time() - began < 60
+
+
 def test_redaction_and_extra_columns(spark):
-    docs = spark.createDataFrame([(1, "an a@b.co und +49 30 1234567.", "x", "y"), (2, None, "x", "y")], "doc_id long, text string, spans string, base string")
+    docs = spark.createDataFrame([(1, "an a@b.co und +49 30 1234567.", "x", "y", 1, "z"), (2, None, "x", "y", 2, None)], "doc_id long, text string, spans string, base string, ids int, row string")
     out = {r.doc_id: r.text for r in pii.redact_pii(docs).collect()}
     assert out == {1: "an [EMAIL] und [PHONE].", 2: None}
     assert pii.redact_pii(docs).columns == docs.columns
-    assert pii.find_pii(docs.limit(0)).count() == 0
+    assert [tuple(r)[4:] for r in pii.redact_pii(docs).orderBy("doc_id").collect()] == [(1, "z"), (2, None)]
+    assert pii.find_pii(docs.limit(0)).count() == 0 and pii.redact_pii(docs.limit(0)).count() == 0
+    assert sorted(secret_scan.find_secrets(docs.withColumnRenamed("ids", "rules").withColumnRenamed("row", "tag")).columns) == ["base", "doc_id", "rules", "spans", "tag", "text"]
     assert secret_scan.find_secrets(docs.limit(0)).count() == 0
 
 
@@ -68,3 +124,20 @@ def test_trigram_queries_admit_every_match():
         for text in samples.get(rule.kind, []):
             grams = {text.lower()[k : k + 3] for k in range(len(text) - 2)}
             assert all(any(option <= grams for option in clause) for clause in query)
+
+
+def test_any_number_of_trigrams(spark):
+    more = tuple(secret_scan.Rule(f"k{k}", f"prefix{k:03d}[a-z]+", 12, base=False) for k in range(40))
+    docs = spark.createDataFrame([(1, "x prefix017abcdef y"), (2, "prefix03 nothing"), (3, None)], "doc_id long, text string")
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secret_scan.find_secrets(docs, rules=secret_scan.RULES + more).collect()}
+    assert found == {1: ["k17"], 2: [], 3: []}
+
+
+def test_candidates_meet_by_their_postings(spark):
+    docs = spark.createDataFrame([(1, "the password: is"), (2, "pass sword word"), (3, "AKIA here"), (4, "api_key"), (5, "f" * 30)], "doc_id long, text string")
+    grams = sorted({g for r in secret_scan.RULES for c in secret_scan.trigram_query(r.pattern) for o in c for g in o})
+    scanned = tuple(r for r in secret_scan.RULES if not secret_scan.trigram_query(r.pattern))
+    index = secret_scan.postings(docs, grams, scanned)
+    assert {r.trigram for r in index.where("id = 3").collect()} == {"aki", "kia"}
+    got = {r.id: r.rules for r in secret_scan.candidates(index, secret_scan.RULES).collect()}
+    assert got == {1: [0], 3: [1], 4: [0], 5: [2]}
