@@ -5,7 +5,9 @@ coordinates, cut into cells of width epsilon, order all vectors; runs of that
 order are blocks with a bounding box. Pairs of intervals are joined recursively,
 first over a tree of blocks, then inside a pair of blocks; intervals whose boxes
 are further apart than epsilon are skipped, which loses nothing, as a projection
-never lengthens a distance. Leaves compare all their pairs in double precision.
+never lengthens a distance. Leaves compare all their pairs in double precision,
+on the vectors as they came: the turned coordinates only order and prune. Pairs
+within rounding of the threshold are decided by the plain formula.
 
 Equal vectors are one node. A leaf hands on link counts and a spanning forest
 of its links, never the pairs, so dense groups cost no more rows than vectors.
@@ -14,6 +16,7 @@ of its links, never the pairs, so dense groups cost no more rows than vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +33,35 @@ LEADING = 8
 BLOCK = 4096
 LEAF = 512
 FAN = 8
+#: Blocks that one task compares with its own; the block goes to as many tasks as it needs.
+PARTNERS = 8
+#: Pairs this near the threshold are computed again, component by component.
+MARGIN = 1e-9
 
 
-def _unit(column: pa.Array, dim: int) -> np.ndarray:
+def _scaled(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors in doubles, each times a power of two, which is exact, so that squares neither overflow nor vanish."""
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def cosine(x: np.ndarray, y: np.ndarray) -> float:
+    """Plain formula in double precision, summed in order."""
+    dot, xx, yy = (float(np.add.accumulate(v)[-1]) for v in (x * y, x * x, y * y))
+    return dot / float(np.sqrt(xx) * np.sqrt(yy))
+
+
 def _directions(nodes: DataFrame, dim: int) -> np.ndarray:
     """Orthonormal basis, leading directions first, of the second moments of all nodes."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim, dim))
         for batch in batches:
-            x = _unit(batch.column(0), dim)
+            x = _unit(_scaled(batch.column(0), dim))
             total += x.T @ x
         yield treesum.payload(total.ravel())
 
@@ -52,28 +69,43 @@ def _directions(nodes: DataFrame, dim: int) -> np.ndarray:
     return np.linalg.eigh(total.reshape(dim, dim))[1][:, ::-1].copy()
 
 
+@dataclass
+class Vectors:
+    """A run of vectors: as they came but for a power of two, of unit length, and their leading turned coordinates."""
+
+    scaled: np.ndarray
+    lead: np.ndarray
+    unit: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.unit = _unit(self.scaled)
+
+
 def _box_gap(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.ndarray) -> float:
     """Least distance of two boxes."""
     gap = np.maximum(0.0, np.maximum(lo_a - hi_b, lo_b - hi_a))
     return float(np.sqrt((gap * gap).sum()))
 
 
-def join_intervals(x: np.ndarray, y: np.ndarray, same: bool, lead: int, threshold: float) -> Iterator[tuple[slice, slice, np.ndarray]]:
+def join_intervals(x: Vectors, y: Vectors, same: bool, threshold: float) -> Iterator[tuple[slice, slice, np.ndarray]]:
     """Leaves (rows, columns, matrix of links) of two sequences in grid order; ``same`` takes each pair once."""
     # a margin keeps rounding from skipping a pair at the threshold itself
-    eps = np.sqrt(max(2 - 2 * threshold, 0.0)) + 1e-9
-    stack = [(0, len(x), 0, len(y))]
+    eps = np.sqrt(max(2 - 2 * threshold, 0.0)) + MARGIN
+    stack = [(0, len(x.unit), 0, len(y.unit))]
     while stack:
         a, b, c, d = stack.pop()
         if a >= b or c >= d:
             continue
         if same and d <= a:
             continue
-        u, v = x[a:b, :lead], y[c:d, :lead]
+        u, v = x.lead[a:b], y.lead[c:d]
         if _box_gap(u.min(0), u.max(0), v.min(0), v.max(0)) > eps:
             continue
         if b - a <= LEAF and d - c <= LEAF:
-            links = x[a:b] @ y[c:d].T >= threshold
+            near = x.unit[a:b] @ y.unit[c:d].T
+            links = near >= threshold
+            for i, j in np.argwhere(np.abs(near - threshold) < MARGIN).tolist():
+                links[i, j] = cosine(x.scaled[a + i], y.scaled[c + j]) >= threshold
             if same:
                 links &= np.arange(a, b)[:, None] < np.arange(c, d)[None, :]
             if links.any():
@@ -103,19 +135,20 @@ def _forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _blocks(nodes: DataFrame, basis: np.ndarray, eps: float, scratch: Scratch) -> DataFrame:
-    """(seq, n, lo, hi, ids, copies, vectors) in grid order, at most BLOCK vectors each."""
+    """(seq, lo, hi, ids, copies, vectors, lead) in grid order, at most BLOCK vectors each."""
     dim = len(basis)
     lead = min(LEADING, dim)
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            y = _unit(batch.column(2), dim) @ basis
-            cell = np.floor(y[:, :lead] / eps).astype(np.int32)
+            x = _scaled(batch.column(2), dim)
+            y = _unit(x) @ basis[:, :lead]
+            cell = np.floor(y / eps).astype(np.int32)
             lists = pa.ListArray.from_arrays(np.arange(0, cell.size + 1, lead, dtype=np.int32), cell.ravel())
-            rows = pa.array([v.tobytes() for v in y], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, rows], names=["id", "copies", "cell", "vector"])
+            rows = [pa.array([v.tobytes() for v in part], pa.binary()) for part in (x, np.ascontiguousarray(y))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, *rows], names=["id", "copies", "cell", "vector", "lead"])
 
-    turned = nodes.select("id", "copies", "embedding").mapInArrow(cells, "id bigint, copies bigint, cell array<int>, vector binary")
+    turned = nodes.select("id", "copies", "embedding").mapInArrow(cells, "id bigint, copies bigint, cell array<int>, vector binary, lead binary")
     parts = max(1, min(nodes.count() // BLOCK + 1, 10_000))
     ordered = turned.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")
 
@@ -124,22 +157,22 @@ def _blocks(nodes: DataFrame, basis: np.ndarray, eps: float, scratch: Scratch) -
 
         def block(rows: list) -> pa.RecordBatch:
             ids, copies = (np.array([r[j] for r in rows], np.int64) for j in (0, 1))
-            vectors = b"".join(r[2] for r in rows)
-            y = np.frombuffer(vectors, np.float64).reshape(-1, dim)[:, :lead]
+            raw = b"".join(r[3] for r in rows)
+            y = np.frombuffer(raw, np.float64).reshape(-1, lead)
             cols = [pa.array([part], pa.int64()), pa.array([k], pa.int64()), pa.array([y.min(0).tolist()], pa.list_(pa.float64())), pa.array([y.max(0).tolist()], pa.list_(pa.float64()))]
-            cols += [pa.array([v], pa.binary()) for v in (ids.tobytes(), copies.tobytes(), vectors)]
-            return pa.RecordBatch.from_arrays(cols, names=["part", "k", "lo", "hi", "ids", "copies", "vectors"])
+            cols += [pa.array([v], pa.binary()) for v in (ids.tobytes(), copies.tobytes(), b"".join(r[2] for r in rows), raw)]
+            return pa.RecordBatch.from_arrays(cols, names=["part", "k", "lo", "hi", "ids", "copies", "vectors", "lead"])
 
         held: list = []
         for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())
+            held += zip(*(batch.column(j).to_pylist() for j in (0, 1, 3, 4)))
             while len(held) >= BLOCK:
                 yield block(held[:BLOCK])
                 held, k = held[BLOCK:], k + 1
         if held:
             yield block(held)
 
-    packed = scratch.table(ordered.mapInArrow(pack, "part bigint, k bigint, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary"), "blocks")
+    packed = scratch.table(ordered.mapInArrow(pack, "part bigint, k bigint, lo array<double>, hi array<double>, ids binary, copies binary, vectors binary, lead binary"), "blocks")
     stride = (packed.agg(F.max("k")).first()[0] or 0) + 1
     return packed.withColumn("seq", F.col("part") * stride + F.col("k"))
 
@@ -169,34 +202,46 @@ def _near_blocks(blocks: DataFrame, lead: int, eps: float) -> DataFrame:
 def _links(blocks: DataFrame, pairs: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(edge, a, b): edges of the forest where edge is true, else node a and its links b found in one pair of blocks.
 
-    A block travels once to its own task, which holds it, and once to the task
-    of each earlier block near it, which streams it: two blocks are in memory.
+    Of two near blocks now the one, now the other is the target, by the parity
+    of their sum, so a dense corpus deals every block about as many partners. A
+    target meets at most PARTNERS of them in a task, which holds it and streams
+    them: two blocks are in memory, and none is in more tasks than it has to be.
     """
     lead = min(LEADING, dim)
-    columns = ["ids", "copies", "vectors"]
-    own = blocks.select(F.col("seq").alias("target"), F.lit(-1).cast("bigint").alias("other"), *columns)
-    others = pairs.where("a < b").join(blocks.withColumnRenamed("seq", "b"), "b").select(F.col("a").alias("target"), F.col("b").alias("other"), *columns)
-    dealt = own.unionByName(others).repartition("target").sortWithinPartitions("target", "other")
+    columns = ["ids", "copies", "vectors", "lead"]
+    first = (F.col("a") + F.col("b")) % 2 == 1
+    dealt = pairs.where("a < b").select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("target"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("other"))
+    # partners of one parity follow each other two by two; those of the other side of the target as well
+    dealt = dealt.withColumn("share", F.floor(F.col("other") / (2 * PARTNERS)))
+    held = dealt.select("target", "share").distinct().withColumn("other", F.lit(-1).cast("bigint"))
+    alone = blocks.select(F.col("seq").alias("target"), F.lit(-1).cast("bigint").alias("share"), F.lit(-1).cast("bigint").alias("other"))
+    own = held.select("target", "share", "other").union(alone).join(blocks.withColumnRenamed("seq", "target"), "target")
+    others = dealt.join(blocks.withColumnRenamed("seq", "other"), "other")
+    named = ["target", "share", "other", *columns]
+    rows = own.select(named).union(others.select(named)).repartition("target", "share").sortWithinPartitions("target", "share", "other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple = ()
         for batch in batches:
             for row in range(batch.num_rows):
-                is_own = batch.column(1)[row].as_py() < 0
-                ids, copies = (np.frombuffer(batch.column(k)[row].as_buffer(), np.int64) for k in (2, 3))
-                y = np.frombuffer(batch.column(4)[row].as_buffer(), np.float64).reshape(-1, dim)
-                if is_own:
-                    held = ids.copy(), copies.copy(), y.copy()
-                yield _leaf_rows(*held, ids, copies, y, is_own, lead, threshold)
+                share, other = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
+                ids, copies = (np.frombuffer(batch.column(k)[row].as_buffer(), np.int64) for k in (3, 4))
+                x, y = (np.frombuffer(batch.column(k)[row].as_buffer(), np.float64).reshape(-1, n) for k, n in ((5, dim), (6, lead)))
+                block = ids.copy(), copies.copy(), Vectors(x.copy(), y.copy())
+                if other < 0:
+                    held = block
+                # a block meets itself once, in the share of its own
+                if other >= 0 or share < 0:
+                    yield _leaf_rows(*held, *block, other < 0, threshold)
 
-    return dealt.mapInArrow(run, "edge boolean, a bigint, b bigint")
+    return rows.mapInArrow(run, "edge boolean, a bigint, b bigint")
 
 
-def _leaf_rows(ids_a: np.ndarray, n_a: np.ndarray, x: np.ndarray, ids_b: np.ndarray, n_b: np.ndarray, y: np.ndarray, same: bool, lead: int, threshold: float) -> pa.RecordBatch:
+def _leaf_rows(ids_a: np.ndarray, n_a: np.ndarray, x: Vectors, ids_b: np.ndarray, n_b: np.ndarray, y: Vectors, same: bool, threshold: float) -> pa.RecordBatch:
     """Forest edges and link counts of one pair of blocks."""
     count_a, count_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
     edges = [np.zeros((0, 2), np.int64)]
-    for r, c, links in join_intervals(x, y, same, lead, threshold):
+    for r, c, links in join_intervals(x, y, same, threshold):
         count_a[r] += links @ n_b[c]
         count_b[c] += links.T @ n_a[r]
         u, v = _forest(links)
@@ -234,7 +279,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     for dim in sorted(r["dim"] for r in nodes.select("dim").distinct().collect()):
         own = nodes.where(F.col("dim") == dim).select(F.col("node").alias("id"), "copies", "embedding")
         blocks = _blocks(own, _directions(own, dim), eps, scratch)
-        part = _links(blocks, _near_blocks(blocks, min(LEADING, dim), eps + 1e-9), dim, threshold)
+        part = _links(blocks, _near_blocks(blocks, min(LEADING, dim), eps + MARGIN), dim, threshold)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "edge boolean, a bigint, b bigint")

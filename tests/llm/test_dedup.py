@@ -1,5 +1,6 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -143,6 +144,38 @@ def test_vectors_equal_brute_force(spark, block, monkeypatch):
 
 def test_distant_intervals_are_skipped():
     x = np.concatenate([np.tile([1.0, 0.0], (600, 1)), np.tile([0.0, 1.0], (600, 1))])
-    leaves = list(embed_dedup.join_intervals(x, x, True, 2, 0.9))
+    v = embed_dedup.Vectors(x, x)
+    leaves = list(embed_dedup.join_intervals(v, v, True, 0.9))
     assert sum(l.sum() for _, _, l in leaves) == 2 * (600 * 599 // 2)
     assert all((r.start < 600) == (c.start < 600) for r, c, _ in leaves if r.stop <= 512 or r.start >= 1024)
+
+
+def test_vectors_at_the_threshold_itself_link(spark):
+    # cosine 9/10 exactly; then a little below and above
+    rows, want = [], {}
+    for k in range(21):
+        scale = 3.0 ** (k % 5)
+        one, two = [0.0] * 40, [0.0] * 40
+        one[k] = scale
+        two[k] = 9.0
+        for j in [i for i in range(40) if i != k][:19]:
+            two[j] = 1.0
+        two[k] += (0, -1e-6, 1e-6)[k % 3]
+        rows += [(2 * k, one), (2 * k + 1, two)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    con = duckdb.connect()
+    con.execute("create table v (i bigint, e double[])")
+    con.executemany("insert into v values (?, ?)", rows)
+    want = {i: 0 for i, _ in rows} | dict(con.sql("select a.i, count(*) from v a join v b on a.i <> b.i and list_cosine_similarity(a.e, b.e) >= 0.9e0 group by 1").fetchall())
+    assert got == want
+    assert all(got[2 * k] == (k % 3 != 1) for k in range(21))
+
+
+def test_a_dense_corpus_deals_every_block_alike(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(1)
+    x = 1 + rng.normal(scale=0.01, size=(16 * 40, 8))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = embed_dedup.near_duplicates(df).collect()
+    assert all(r.n_links == len(x) - 1 and r.component_id == 0 for r in out)
