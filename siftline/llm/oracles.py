@@ -31,9 +31,10 @@ def _warc() -> str:
       || regexp_replace(coalesce(url, ''), '[\\r\\n]', ' ', 'g') || {_EOL} || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR) || {_EOL} || {_EOL} || coalesce(html, '')"""
     return f"""
 WITH r AS (SELECT page_id, {record} AS record FROM pages), h AS (SELECT page_id, sha256(record) AS digest, CAST(strlen(record) + 4 AS BIGINT) AS length FROM r),
-g AS (SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), digest)), 1, 8)) AS BIGINT) % greatest(1, CAST(ceil((SELECT count(*) FROM pages) / 1024.0e0) AS BIGINT)) AS segment FROM h)
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, digest) - 1 AS copy FROM h), t AS (SELECT greatest(1, ceil(count(*) / 1024.0e0), ceil(sum(length) / 67108864.0e0)) AS segments FROM h),
+g AS (SELECT *, CAST(concat('0x', substr(md5(concat_ws('|', coalesce(CAST(page_id AS VARCHAR), ''), digest, CAST(copy AS VARCHAR))), 1, 8)) AS BIGINT) % CAST((SELECT segments FROM t) AS BIGINT) AS segment FROM n)
 SELECT page_id, CAST(segment AS BIGINT) AS segment, row_number() OVER w - 1 AS seq, CAST(coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset", length, digest,
-  CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'damaged' ELSE 'ok' END AS status FROM g WINDOW w AS (PARTITION BY segment ORDER BY page_id NULLS FIRST, digest)"""
+  CASE WHEN page_id % 389 = 7 THEN 'missing' WHEN page_id % 97 = 13 THEN 'damaged' ELSE 'ok' END AS status FROM g WINDOW w AS (PARTITION BY segment ORDER BY md5(coalesce(CAST(page_id AS VARCHAR), '')), page_id NULLS FIRST, digest, copy)"""
 
 
 def _urls() -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import decontaminate, embed_dedup, language_id, masked_lm, mixing, order_minhash, pii, secret_scan, url_filter, warc_fixity
@@ -34,16 +34,20 @@ def op5_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked_lm.pseudo_likelihood(_table(spark, sf_dir, "documents"))
 
 
-def decayed(records: DataFrame) -> DataFrame:
-    """A replica with planted faults: records of ids 13 modulo 97 have a byte changed, those of 7 modulo 389 are lost."""
+def decayed(manifest: DataFrame, records: DataFrame) -> DataFrame:
+    """A replica with planted faults: records of ids 13 modulo 97 have a byte changed, those of 7 modulo 389 are lost, so all after them move up."""
     bad = F.concat(F.substring("record", 1, 9), F.lit("?"), F.substring("record", 11, 1 << 30))
-    rows = records.where("id is null or id % 389 <> 7").withColumn("record", F.when(F.col("id") % 97 == 13, bad).otherwise(F.col("record")))
-    return rows.withColumn("digest", F.sha2("record", 256))
+    changed = records.where("id % 97 = 13").select("id", "digest", F.sha2(bad, 256).alias("bad")).distinct()
+    rows = manifest.where("id is null or id % 389 <> 7").join(changed, ["id", "digest"], "left").withColumn("digest", F.coalesce("bad", "digest"))
+    order = Window.partitionBy("segment").orderBy("seq")
+    offset = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    return rows.withColumn("moved", offset).withColumn("seq", (F.row_number().over(order) - 1).cast("bigint")).withColumn("offset", F.col("moved")).drop("bad", "moved")
 
 
 def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ours = Scratch(spark).table(warc_fixity.lay_out(_table(spark, sf_dir, "pages")), "replica")
-    return warc_fixity.audit(ours.drop("record"), decayed(ours).drop("record")).withColumnRenamed("id", "page_id")
+    records = warc_fixity.records(_table(spark, sf_dir, "pages"))
+    ours = Scratch(spark).table(warc_fixity.lay_out(records), "manifest")
+    return warc_fixity.audit(ours, decayed(ours, records)).withColumnRenamed("id", "page_id")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,16 +276,53 @@ def test_audit_finds_all_planted_faults(spark, tmp_path):
 
 def test_segments_round_trip(spark, tmp_path):
     rows = [(1, "http://a/", "x\r\n\r\ny"), (1, "http://a/", "x\r\n\r\ny"), (2, None, None), (None, "u\nv", "ü"), (3, "http://b", "")]
-    ours = warc_fixity.lay_out(spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, digest int"))
+    records = warc_fixity.records(spark.createDataFrame([(*r, 0) for r in rows], "page_id long, url string, html string, digest int"))
+    ours = warc_fixity.lay_out(records)
     path = str(tmp_path / "warc")
-    warc_fixity.write_segments(ours, path)
+    warc_fixity.write_segments(ours, records, path)
     back = warc_fixity.read_segments(spark, path)
-    assert sorted(map(str, back.collect())) == sorted(map(str, ours.collect()))
-    whole = warc_fixity.audit(ours, back)
-    assert [r.status for r in whole.collect()] == ["ok"] * 5
+    assert sorted(map(str, back.drop("record").collect())) == sorted(map(str, ours.collect()))
+    assert sorted(r.record for r in back.collect()) == sorted(r.record for r in records.collect())
+    assert [r.status for r in warc_fixity.audit(ours, back).collect()] == ["ok"] * 5
     more = warc_fixity.audit(ours.where("seq > 0"), back)
     assert sorted(r.status for r in more.collect()) == ["ok"] * 4 + ["surplus"]
-    assert warc_fixity.lay_out(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    nothing = warc_fixity.lay_out(warc_fixity.records(spark.createDataFrame([], "page_id long, url string, html string")))
+    assert nothing.count() == 0 and warc_fixity.audit(nothing, nothing).count() == 0
+    assert {r.status for r in warc_fixity.audit(ours, nothing).collect()} == {"missing"}
+
+
+def test_faults_in_files_are_located_one_by_one(spark, tmp_path):
+    records = warc_fixity.records(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    ours = warc_fixity.lay_out(records).cache()
+    path = tmp_path / "warc"
+    warc_fixity.write_segments(ours, records, str(path))
+    file = next(path.rglob("part-*"))
+    raw = file.read_bytes()
+    spots = [(r.id, r.offset, r.length) for r in ours.where("segment = 0").orderBy("seq").collect()]
+    cut = {k: raw[o : o + n] for k, (_, o, n) in enumerate(spots)}
+
+    def bend(part, at, value):
+        return part[:at] + value + part[at + len(value) :]
+
+    length_at = lambda k: cut[k].index(b"Content-Length: ") + len(b"Content-Length: ")
+    faults = {
+        "lost": ({20: b""}, {20: "missing"}),
+        "inserted": ({30: cut[30] + cut[30].replace(f":{spots[30][0]}>".encode(), b":990001>")}, {990001: "surplus"}),
+        "truncated": ({40: cut[40][:-60]}, {40: "damaged"}),
+        "flipped": ({50: bend(cut[50], len(cut[50]) - 20, b"\xff")}, {50: "damaged"}),
+        "length": ({60: bend(cut[60], length_at(60), b"x")}, {60: "damaged"}),
+        "longer": ({61: bend(cut[61], length_at(61), b"9")}, {61: "damaged"}),
+        "magic": ({70: bend(cut[70], 2, b"?")}, {70: "damaged"}),
+        "name": ({80: bend(cut[80], cut[80].index(b"<urn:page:") + 10, b"?")}, {80: "damaged"}),
+        "end": ({85: cut[85][:-2] + b"??"}, {85: "damaged"}),
+        "first": ({0: b"junk", 1: cut[1]}, {0: "damaged"}),
+        "all": ({20: b"", 40: cut[40][:-60], 50: bend(cut[50], len(cut[50]) - 20, b"\xff"), 80: bend(cut[80], cut[80].index(b"<urn:page:") + 10, b"?")}, {20: "missing", 40: "damaged", 50: "damaged", 80: "damaged"}),
+    }
+    for name, (new, want) in faults.items():
+        file.write_bytes(b"".join(new.get(k, part) for k, part in cut.items()))
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+        out = warc_fixity.audit(ours, warc_fixity.read_segments(spark, str(path))).where("status <> 'ok'").collect()
+        assert {r.id: r.status for r in out} == {(spots[k][0] if k < 1000 else k): s for k, s in want.items()}, name
 
 
 def test_pipeline_stages(spark):
