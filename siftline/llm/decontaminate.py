@@ -183,6 +183,6 @@ def _search(docs: DataFrame, shared, id_col: str, text_col: str, item_kind: str,
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text hold an item; rows with a null id are judged by their text."""
-    tagged = docs.withColumn("_siftline_id", F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag")))
-    leaks = find_leaks(tagged, items, "_siftline_id", text_col).select("_siftline_id").distinct()
-    return tagged.join(leaks, "_siftline_id", "left_anti").select(*docs.columns)
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag")).alias("own"), F.col(text_col).alias("text"))
+    leaks = find_leaks(row, items, "own", "text").select("own").distinct()
+    return row.join(leaks, "own", "left_anti").select("row.*")

@@ -57,7 +57,7 @@ def _letters(code: np.ndarray) -> np.ndarray:
 
 
 def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(code points, row) of lower-cased letters; every run of other characters is one 0."""
+    """(code points, row) of lower-cased letters; every run of other characters between them is one 0."""
     joined = "\n".join(t.lower() for t in texts)
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.fromiter((len(t.lower()) for t in texts), np.int64, len(texts))
@@ -65,7 +65,12 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     code = _letters(code)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != 0) | (code[:-1] != 0) | (row[1:] != row[:-1])
-    return code[keep], row[keep]
+    code, row = code[keep], row[keep]
+    inside = np.ones(len(code), bool)
+    if len(code):
+        turn = row[1:] != row[:-1]
+        inside = (code != 0) | ~(np.concatenate(([True], turn)) | np.concatenate((turn, [True])))
+    return code[inside], row[inside]
 
 
 def suffix_automaton(symbols: list[int], alphabet: int) -> np.ndarray:
@@ -107,7 +112,7 @@ class Model:
     """Sampled code points by language. Tables are built when first asked for and do not travel."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.codes = {lang: normalise(samples[lang])[0][:SAMPLE_CHARS].astype(np.uint32) for lang in sorted(samples)}
+        self.codes = {lang: normalise(["\n".join(samples[lang])])[0][:SAMPLE_CHARS].astype(np.uint32) for lang in sorted(samples)}
         every = np.concatenate([*self.codes.values(), np.zeros(0, np.uint32)])
         values, counts = np.unique(every[every > 0], return_counts=True)
         self.known = np.sort(values[np.argsort(-counts, kind="stable")[:OWN_SYMBOLS]])

@@ -258,8 +258,9 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     some. ``word_log_likelihood`` is of the words themselves: it adds the log of
     each rare word's share of its id, by counts of all documents, which leave no
     word unseen. Means are of the words. Null texts and texts without words
-    have 0 words, likelihood 0 and null means. Equal texts have equal scores,
-    up to rounding. Repeated rows are scored each; an empty table gives an empty
+    have 0 words, likelihood 0 and null means. Equal texts have equal scores
+    within one call, up to rounding; another partitioning of the same documents
+    averages other steps and gives somewhat other scores. Repeated rows are scored each; an empty table gives an empty
     result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)

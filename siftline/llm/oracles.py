@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .secret_scan import RULES as SECRET_RULES
-from .url_filter import BLOCKED
 from .url_filter import RULES as URL_RULES
 
 
@@ -41,11 +40,10 @@ def _urls() -> str:
     fits = [(r, f"(host = {_quoted(r.host)} OR ends_with(host, {_quoted('.' + r.host)})) AND starts_with(path, {_quoted(r.path)})") for r in sorted(URL_RULES, key=lambda r: -len(r.host + r.path))]
     rule = " ".join(f"WHEN {test} THEN {_quoted(r.host + r.path)}" for r, test in fits)
     verdict = " ".join(f"WHEN {test} THEN {_quoted(r.verdict)}" for r, test in fits)
-    listed = " OR ".join(f"host = {_quoted(b)} OR ends_with(host, {_quoted('.' + b)})" for b in BLOCKED)
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
-SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} WHEN {listed} THEN 'block' ELSE 'allow' END AS verdict FROM h"""
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict FROM h"""
 
 
 def _secrets() -> str:

@@ -156,20 +156,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Rows alike in id and text are one row in the result, any of them; texts
     without words are in no class and all stay. Columns keep their names.
     """
-    own = _named(near_duplicates(docs, id_col, text_col), id_col)
-    gone = own.groupBy("_siftline_id", "_siftline_tag").agg(F.max("kept").alias("kept"), F.count("*").alias("n"), F.max("n_words").alias("words"))
-    gone = Scratch(docs.sparkSession).table(gone.where("not kept or (n > 1 and words > 0)"), "gone")
-    same = lambda other: docs[id_col].eqNullSafe(other["_siftline_id"]) & text_tag(docs[text_col].cast("string")).eqNullSafe(other["_siftline_tag"])
-    out = docs.join(gone, same(gone), "left_anti")
-    again = gone.where("kept")
-    if again.isEmpty():
-        return out
-    row = docs.join(again, same(again), "inner").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), "_siftline_id", "_siftline_tag")
-    return out.unionByName(row.groupBy("_siftline_id", "_siftline_tag").agg(F.first("row").alias("row")).select("row.*"))
-
-
-def _named(classes: DataFrame, id_col: str) -> DataFrame:
-    return classes.select(F.col(id_col).alias("_siftline_id"), F.col("text_tag").alias("_siftline_tag"), "kept", "n_words")
+    classes = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("own_id"), F.col("text_tag").alias("own_tag"), "kept", "n_words")
+    gone = classes.groupBy("own_id", "own_tag").agg(F.max("kept").alias("stays"), F.count("*").alias("n"), F.max("n_words").alias("words"))
+    gone = Scratch(docs.sparkSession).table(gone.where("not stays or (n > 1 and words > 0)"), "gone")
+    # whole rows travel in one column, so that no name can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_tag(F.col(text_col).cast("string")).alias("tag"))
+    same = lambda other: rows["id"].eqNullSafe(other["own_id"]) & rows["tag"].eqNullSafe(other["own_tag"])
+    out = rows.join(gone, same(gone), "left_anti").select("row")
+    again = gone.where("stays")
+    if not again.isEmpty():
+        out = out.union(rows.join(again, same(again)).groupBy("own_id", "own_tag").agg(F.first("row").alias("row")).select("row"))
+    return out.select("row.*")
 
 
 def band(threshold: float) -> float:

@@ -1,16 +1,21 @@
 """URL rules and blocklists as a sorted digest array.
 
-A list of hosts and of host-and-path prefixes becomes one file: sorted 64-bit
-xxhash keys, then offsets, then the strings. Executors map the file into memory
-and probe whole batches by binary search; a key that is found is confirmed by
-comparing the stored string, so a collision never blocks a URL. Lists beyond
-``FILE_BYTES`` are not shipped but joined by digest and string instead.
+Rules and list entries become one file: sorted 64-bit xxhash keys, a verdict for
+each, offsets, then the strings. Executors map the file into memory and probe
+whole batches by binary search; a key that is found is confirmed by comparing
+the stored string, so a collision never decides a URL. A URL asks for its host
+and parent domains, each with those prefixes of its path whose lengths occur in
+the file. Lists beyond ``FILE_BYTES`` are not shipped but joined by digest and
+string instead.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -21,7 +26,11 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-FILE_BYTES = 256 << 20
+FILE_BYTES = 64 << 20
+#: Seed of the digests, that of Spark's xxhash64.
+SEED = 42
+#: Verdict of list entries; rules have their positions.
+LISTED = -1
 
 
 @dataclass(frozen=True)
@@ -33,7 +42,7 @@ class Rule:
     path: str
 
 
-#: Fixed rules and the default blocklist.
+#: Fixed rules.
 RULES = (
     Rule("allow", "org", "/"),
     Rule("block", "example.org", "/es/"),
@@ -41,39 +50,49 @@ RULES = (
     Rule("allow", "com", "/fr/"),
     Rule("block", "com", "/de/"),
 )
-BLOCKED = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org", "casino.example.com", "casino.example.net", "casino.example.org")
+
+
+def digest(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw, SEED)
 
 
 class DigestArray:
-    """Sorted digests with their strings in one memory-mapped file."""
+    """Sorted digests with their values and strings in one memory-mapped file."""
 
     def __init__(self, path: str):
-        head = np.memmap(path, np.uint64, "r", shape=(1,))
-        n = int(head[0])
-        self.keys = np.memmap(path, np.uint64, "r", offset=8, shape=(n,)) if n else np.zeros(0, np.uint64)
-        self.ends = np.memmap(path, np.uint64, "r", offset=8 + 8 * n, shape=(n + 1,))
-        size = int(self.ends[-1])
-        self.text = np.memmap(path, np.uint8, "r", offset=16 + 16 * n, shape=(size,)) if size else np.zeros(0, np.uint8)
+        n = int(np.memmap(path, np.uint64, "r", shape=(1,))[0])
+        part = lambda kind, at, size: np.memmap(path, kind, "r", offset=at, shape=(size,)) if size else np.zeros(0, kind)
+        self.keys = part(np.uint64, 8, n)
+        self.values = part(np.int64, 8 + 8 * n, n)
+        self.ends = part(np.uint64, 8 + 16 * n, n + 1)
+        self.text = part(np.uint8, 16 + 24 * n, int(self.ends[-1]))
 
     @staticmethod
-    def write(path: str, strings: Iterable[str], digest=xxhash.xxh64_intdigest) -> None:
-        rows = sorted({(digest(s.encode()), s.encode()) for s in strings})
-        ends = np.cumsum([0, *(len(s) for _, s in rows)]).astype(np.uint64)
+    def write(path: str, rows: Iterable[tuple[int, int, bytes]]) -> None:
+        """Write (digest, value, string) rows that come in order of digest; strings go to the disk as they come."""
+        keys, values, ends = array("Q"), array("q"), array("Q", [0])
+        with open(f"{path}.text", "wb") as text:
+            for key, value, raw in rows:
+                keys.append(key)
+                values.append(value)
+                ends.append(ends[-1] + len(raw))
+                text.write(raw)
         with open(path, "wb") as out:
-            out.write(np.array([len(rows)], np.uint64).tobytes())
-            out.write(np.array([k for k, _ in rows], np.uint64).tobytes())
-            out.write(ends.tobytes())
-            out.writelines(s for _, s in rows)
-
-    def contains(self, strings: list[str], digest=xxhash.xxh64_intdigest) -> np.ndarray:
-        """Whether each string is stored."""
-        raw = [s.encode() for s in strings]
-        keys = np.array([digest(s) for s in raw], np.uint64)
+            array("Q", [len(keys)]).tofile(out)
+            for part in (keys, values, ends):
+                part.tofile(out)
+            with open(f"{path}.text", "rb") as text:
+                shutil.copyfileobj(text, out)
+        os.remove(f"{path}.text")
+
+    def find(self, strings: list[bytes], digest=digest) -> list[list[int]]:
+        """Values stored for each string."""
+        keys = np.array([digest(s) for s in strings], np.uint64)
         first = np.searchsorted(self.keys, keys, "left")
         last = np.searchsorted(self.keys, keys, "right")
-        out = np.zeros(len(raw), bool)
+        out: list[list[int]] = [[] for _ in strings]
         for i in np.flatnonzero(last > first).tolist():
-            out[i] = any(self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes() == raw[i] for k in range(first[i], last[i]))
+            out[i] = [int(self.values[k]) for k in range(first[i], last[i]) if self.text[int(self.ends[k]) : int(self.ends[k + 1])].tobytes() == strings[i]]
         return out
 
 
@@ -86,79 +105,109 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.when(known, host).otherwise(""), F.when(known, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def _candidates(host: str, path: str) -> list[str]:
-    """The host, its parent domains, and the host with every directory prefix of the path."""
+def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
+    """The host and its parent domains, each with the prefixes of the path that have one of ``lengths``."""
     labels = host.split(".")
-    out = [".".join(labels[k:]) for k in range(len(labels))]
-    cut = 0
-    while (cut := path.find("/", cut) + 1) > 0:
-        out.append(host + path[:cut])
-    if path:
-        out.append(host + path)
-    return out
+    for k in range(len(labels)):
+        name = ".".join(labels[k:])
+        for n in lengths:
+            if n <= len(path):
+                yield name + path[:n]
 
 
-def judge(pages: DataFrame, blocked: Iterable[str] | DataFrame = BLOCKED, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, blocked: Iterable[str] | DataFrame = (), rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id, host, path, rule, verdict.
 
     The longest rule that fits decides; ties go to the earlier one. Without a
-    rule a page is blocked if its host, a parent domain, or its host with a
-    leading part of its path is listed, else allowed. Null URLs and those
-    without ``://`` have empty host and path and are allowed. Repeated rows are
-    judged each; an empty table gives an empty result; other columns are not
-    read. ``blocked`` is a list of strings, or a table with a column ``entry``,
-    which is shipped as a file if it is small enough and else joined.
+    rule a page is blocked if its host or a parent domain is listed, or one of
+    them with a leading part of its path that ends in a slash or with the path,
+    else allowed. Null URLs and those without ``://`` have empty host and path
+    and are allowed. Repeated rows are judged each; an empty table gives an empty
+    result; other columns are not read. ``blocked`` is a list of strings, or a
+    table with a column ``entry``, which is shipped as a file if it is small
+    enough and else joined.
     """
+    spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url")).select("id", host.alias("host"), path.alias("path"))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for r in sorted(reversed(rules), key=lambda r: len(r.host + r.path)):
-        fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
-        rule, verdict = F.when(fits, r.host + r.path).otherwise(rule), F.when(fits, r.verdict).otherwise(verdict)
-    rows = rows.withColumn("rule", rule).withColumn("ruled", verdict)
-    if isinstance(blocked, DataFrame):
-        size = blocked.agg(F.sum(F.octet_length("entry") + 16).alias("b")).first()["b"] or 0
-        if size > FILE_BYTES:
-            return _joined(rows, blocked, id_col)
-        blocked = [r["entry"] for r in blocked.where("entry is not null").select("entry").distinct().collect()]
-    return _probed(rows, blocked, id_col)
-
-
-def _probed(rows: DataFrame, blocked: Iterable[str], id_col: str) -> DataFrame:
-    handle, path = tempfile.mkstemp(suffix=".digests")
-    os.close(handle)
-    DigestArray.write(path, blocked)
-    rows.sparkSession.sparkContext.addFile(path)
-    name = os.path.basename(path)
+    if not isinstance(blocked, DataFrame):
+        blocked = spark.createDataFrame([(x,) for x in blocked], "entry string")
+    listed = blocked.where("entry is not null and entry <> ''").select("entry").distinct()
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("entry") + 24), F.lit(0)).alias("b")).first()["b"]
+    if size > FILE_BYTES:
+        return _joined(rows, listed, rules, id_col)
+    return _probed(rows, listed, rules).select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", F.when(F.col("listed"), "block"), F.lit("allow")).alias("verdict"))
+
+
+def path_lengths(listed: DataFrame, rules: tuple[Rule, ...] = ()) -> list[int]:
+    """Lengths that the paths of entries and rules have; 0 for bare hosts."""
+    found = listed.select(F.length(F.regexp_extract("entry", "(/.*)?$", 0)).alias("n")).distinct()
+    return sorted({r["n"] for r in found.collect()} | {len(r.path) for r in rules})
+
+
+def _file(listed: DataFrame, rules: tuple[Rule, ...]) -> str:
+    """Name of a shipped file of all entries and rules; sorted by Spark, it is written as its rows come."""
+    spark = listed.sparkSession
+    fixed = spark.createDataFrame([(r.host + r.path, k) for k, r in enumerate(rules)], "entry string, value long")
+    rows = fixed.union(listed.select("entry", F.lit(LISTED).cast("long"))).withColumn("key", F.xxhash64("entry"))
+    # digests are unsigned: those with the highest bit come last
+    ordered = rows.orderBy(F.col("key") < 0, "key", "entry", "value")
+    folder = tempfile.mkdtemp(prefix="siftline-urls-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, f"{os.path.basename(folder)}.digests")
+    DigestArray.write(path, ((r["key"] % 2**64, r["value"], r["entry"].encode()) for r in ordered.toLocalIterator()))
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def _probed(rows: DataFrame, listed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """``rows`` with rule, ruled (its verdict) and listed."""
+    name, lengths = _file(listed, rules), path_lengths(listed, rules)
     kind = rows.schema["id"].dataType.simpleString()
+    rank = {k: (len(r.host + r.path), -k) for k, r in enumerate(rules)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = DigestArray(SparkFiles.get(name))
+        known = DigestArray(SparkFiles.get(name))
         for batch in batches:
-            hosts, paths, ruled = (batch.column(k).to_pylist() for k in (1, 2, 4))
-            keys, owner = [], []
-            for i, (h, p, v) in enumerate(zip(hosts, paths, ruled)):
-                if v is None and h:
-                    own = _candidates(h, p)
-                    keys += own
-                    owner += [i] * len(own)
-            hit = {owner[k] for k in np.flatnonzero(array.contains(keys)).tolist()}
-            verdict = [v or ("block" if i in hit else "allow") for i, v in enumerate(ruled)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(verdict, pa.string())], names=[id_col, "host", "path", "rule", "verdict"])
-
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string")
-
-
-def _joined(rows: DataFrame, blocked: DataFrame, id_col: str) -> DataFrame:
-    """The same verdicts for a list of any size: distinct hosts and paths meet the list by digest and string."""
+            hosts, paths = (batch.column(k).to_pylist() for k in (1, 2))
+            keys: list[bytes] = []
+            owner: list[int] = []
+            whole: list[bool] = []
+            for i, (h, p) in enumerate(zip(hosts, paths)):
+                if h:
+                    for key in candidates(h, p, lengths):
+                        keys.append(key.encode())
+                        owner.append(i)
+                        # a list entry ends with its host, at a slash, or with the path
+                        whole.append("/" not in key or key.endswith("/") or key.endswith(p))
+            best: list[int | None] = [None] * len(hosts)
+            listed = [False] * len(hosts)
+            for values, i, fits in zip(known.find(keys), owner, whole):
+                for v in values:
+                    if v == LISTED:
+                        listed[i] |= fits
+                    elif best[i] is None or rank[v] > rank[best[i]]:
+                        best[i] = v
+            rule = [None if v is None else rules[v].host + rules[v].path for v in best]
+            ruled = [None if v is None else rules[v].verdict for v in best]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(rule, pa.string()), pa.array(ruled, pa.string()), pa.array(listed, pa.bool_())], names=["id", "host", "path", "rule", "ruled", "listed"])
+
+    return rows.mapInArrow(run, f"id {kind}, host string, path string, rule string, ruled string, listed boolean")
+
+
+def _joined(rows: DataFrame, listed: DataFrame, rules: tuple[Rule, ...], id_col: str) -> DataFrame:
+    """The same verdicts for a list of any size: rules are probed, and distinct hosts and paths without one meet the list by digest and string."""
+    lengths = path_lengths(listed)
+    ruled = _probed(rows, listed.where(F.lit(False)), rules).drop("listed")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(h, p, k) for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for k in _candidates(h, p)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.string()) for j in range(3)], names=["host", "path", "entry"])
-
-    keys = rows.where("ruled is null and host <> ''").select("host", "path").distinct().mapInArrow(expand, "host string, path string, entry string")
-    listed = blocked.where("entry is not null").select("entry").distinct().withColumn("digest", F.xxhash64("entry"))
-    hit = keys.withColumn("digest", F.xxhash64("entry")).join(listed, ["digest", "entry"], "left_semi").select("host", "path").distinct()
-    out = rows.join(hit.withColumn("hit", F.lit("block")), ["host", "path"], "left")
+            for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = [k for k in candidates(h, p, lengths) if "/" not in k or k.endswith("/") or k.endswith(p)]
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(own), pa.string()) for x in (h, p)] + [pa.array(own, pa.string())], names=["host", "path", "entry"])
+
+    keys = ruled.where("ruled is null and host <> ''").select("host", "path").distinct().mapInArrow(expand, "host string, path string, entry string")
+    hit = keys.withColumn("digest", F.xxhash64("entry")).join(listed.withColumn("digest", F.xxhash64("entry")), ["digest", "entry"], "left_semi").select("host", "path").distinct()
+    out = ruled.join(hit.withColumn("hit", F.lit("block")), ["host", "path"], "left")
     return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("ruled", "hit", F.lit("allow")).alias("verdict"))
