@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textscan import scan_words, shingles
+from .textscan import scan_words, shingles, tidy
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -178,7 +178,7 @@ def _search(docs: DataFrame, shared, id_col: str, text_col: str, item_kind: str,
                     )
 
     schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, similarity double, first_word bigint, n_words bigint"
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_siftline_text")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_siftline_text")).mapInArrow(tidy(run), schema)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

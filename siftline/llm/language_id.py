@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .textscan import tidy
 
 #: Bounds of the sample: normalised characters and documents a language.
 SAMPLE_CHARS = 24_000
@@ -37,7 +38,7 @@ PASS_LANGUAGES = 8
 OWN_SYMBOLS = 128
 SHARED = 64
 PIECE = 1024
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 _SPACE = 1
 
 
@@ -281,7 +282,7 @@ def _costed(docs: DataFrame, model: Model, id_cols: list[str], text_col: str) ->
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.string()), pa.array(cost), pa.array(following), pa.array(letters.astype(np.int64))], names=names)
                 begin = end
 
-    return docs.select(*id_cols, F.col(text_col).cast("string").alias("_siftline_text")).mapInArrow(run, schema)
+    return docs.select(*id_cols, F.col(text_col).cast("string").alias("_siftline_text")).mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import treesum
 from .scratch import Scratch
-from .textscan import scan_words
+from .textscan import scan_words, tidy
 
 CLASSES = 32
 PER_CLASS = 32
@@ -134,7 +134,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 values, n = np.unique(words.hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word bigint, n bigint")
+    counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(count), "word bigint, n bigint")
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -180,7 +180,7 @@ def _encoded(docs: DataFrame, words: np.ndarray, id_col: str, text_col: str) ->
                 yield pa.RecordBatch.from_arrays([*own_rows, column, rare], names=["id", "row", "ids", "rare"])
 
     columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")]
-    return docs.select(*columns).mapInArrow(run, f"id {kind}, row bigint, ids binary, rare array<bigint>")
+    return docs.select(*columns).mapInArrow(tidy(run), f"id {kind}, row bigint, ids binary, rare array<bigint>")
 
 
 def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -220,7 +220,7 @@ def train(encoded: DataFrame, rounds: int = ROUNDS) -> Network:
                     seen += len(at)
             yield treesum.payload(np.concatenate((own.flat.astype(np.float64) * seen, [seen])))
 
-        total = treesum.tree_sum(encoded.select("ids").mapInArrow(learn, treesum.SCHEMA), net.length + 1)
+        total = treesum.tree_sum(encoded.select("ids").mapInArrow(tidy(learn), treesum.SCHEMA), net.length + 1)
         shared.unpersist()
         # texts of a word or two give later rounds nothing
         if total[-1] > 0:
@@ -248,7 +248,7 @@ def score(encoded: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame
                 sums[some] = np.add.reduceat(logs, first[:-1][some])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(sums)], names=[id_col, "_siftline_row", "n_words", "log_likelihood"])
 
-    return encoded.select("id", "row", "ids").mapInArrow(run, f"`{id_col}` {kind}, _siftline_row bigint, n_words bigint, log_likelihood double")
+    return encoded.select("id", "row", "ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, _siftline_row bigint, n_words bigint, log_likelihood double")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .textscan import digest128, label_occurrences, mix, scan_words, shingles
+from .textscan import digest128, label_occurrences, mix, scan_words, shingles, tidy
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -137,7 +137,7 @@ def sketch_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 own = [batch.column(0).slice(words.row0, n), batch.column(2).slice(words.row0, n), key, pa.array(words.counts.astype(np.int64)), lists]
                 yield pa.RecordBatch.from_arrays(own, names=["id", "tag", "key", "n_words", "buckets"])
 
-    return _tagged(docs, id_col, text_col).mapInArrow(run, f"id {kind}, tag bigint, key binary, n_words bigint, buckets array<bigint>")
+    return _tagged(docs, id_col, text_col).mapInArrow(tidy(run), f"id {kind}, tag bigint, key binary, n_words bigint, buckets array<bigint>")
 
 
 def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -232,7 +232,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float, scratch: Scr
     two = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")).join(pairs.select("b").distinct(), "b", "left_semi").join(F.broadcast(heads) if few else heads, "b", "left")
     two = two.select("b", "text_b", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
     both = dealt.join(one, "a").join(two, ["b", "share"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
+    return both.mapInArrow(tidy(run), "a binary, b binary, similarity double")
 
 
 def _shared_counts(lefts: list[np.ndarray], rights: list[np.ndarray], columns: int = 8192) -> np.ndarray:
