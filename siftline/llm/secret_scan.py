@@ -47,8 +47,6 @@ RULES = (
 )
 #: Candidates that may travel to every executor; more are joined by id and text hash.
 SHIPPED_ROWS = 50_000
-#: Parts that one posting list is dealt to.
-LIST_PARTS = 16
 #: Exact sets beyond this size are split into clauses.
 _SET = 64
 
@@ -60,7 +58,9 @@ def trigram_query(pattern: str) -> list[Clause]:
     clauses: list[Clause] = []
 
     def flush(exact: set[str]) -> set[str]:
-        options = [frozenset(x[k : k + 3] for k in range(len(x) - 2)) for x in exact]
+        # a string that holds another one asks for nothing more; trigrams side by side, and the last, ask for all letters
+        least = [x for x in exact if not any(y != x and y in x for y in exact)]
+        options = [frozenset(x[k : k + 3] for k in [*range(0, len(x) - 2, 3), *([len(x) - 3] if len(x) > 2 else [])]) for x in least]
         if options and all(options):
             clauses.append(frozenset(options))
         return {""}
@@ -197,9 +197,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(docs.sparkSession)
     grams = sorted({g for r in rules for clause in trigram_query(r.pattern) for option in clause for g in option})
     scanned = tuple(r for r in rules if not trigram_query(r.pattern))
-    # long lists are split by tag; inside a file lists are sorted, so that a reader of few trigrams skips the rest
-    listed = postings(docs, grams, scanned, id_col, text_col).repartition("trigram", F.pmod("tag", F.lit(LIST_PARTS)))
-    index = scratch.table(listed.sortWithinPartitions("trigram", "tag"), "postings")
+    # a segment of the index for each part of the documents, its lists one after the other, so that no list is in one task
+    index = scratch.table(postings(docs, grams, scanned, id_col, text_col).sortWithinPartitions("trigram", "tag"), "postings")
     chosen = scratch.table(candidates(index, rules), "candidates")
     few = chosen.count() <= SHIPPED_ROWS
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
