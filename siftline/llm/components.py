@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .scratch import cut
 
 FINISH = 100_000
+#: Roots that may travel to every executor.
+SHIPPED_ROWS = 50_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -66,6 +68,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return out
 
 
+def by_root(groups: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows of ``groups`` with the facts of their root; few roots travel to the rows, so that a component of very many nodes is not one task."""
+    facts = cut(facts)
+    return groups.join(F.broadcast(facts) if facts.count() <= SHIPPED_ROWS else facts, "root")
+
+
 def _finished(edges: DataFrame) -> DataFrame:
     """(node, parent) with the root of each node as parent, by union-find over all edges in one task."""
     kind = edges.schema["a"].dataType.simpleString()

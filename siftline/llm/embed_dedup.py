@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import treesum
-from .components import connected_components
+from .components import by_root, connected_components
 from .scratch import Scratch
 
 THRESHOLD = 0.9
@@ -286,7 +286,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = scratch.table(found, "links")
     groups = connected_components(links.where("edge"))
     least = groups.groupBy("root").agg(F.min("node").alias("least"))
-    named = groups.join(least, "root").select("node", "least")
+    named = by_root(groups, least).select("node", "least")
     counts = links.where("not edge").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     facts = nodes.select("k1", "k2", "node", "copies").join(named, "node", "left").join(counts, "node", "left")
     facts = facts.select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("least", "node").alias("least"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import by_root, connected_components
 from .scratch import Scratch
 from .textscan import digest128, label_occurrences, mix, scan_words, shingles, tidy
 
@@ -350,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = nodes.join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "copies", F.coalesce("root", "key").alias("root"))
     names = named.groupBy("root").agg(F.min("first").alias("chosen"), F.sum("copies").alias("class_size"))
-    classes = scratch.table(named.select("key", "root").join(names, "root").select("key", "chosen", "class_size"), "classes")
+    classes = scratch.table(by_root(named.select("key", "root"), names).select("key", "chosen", "class_size"), "classes")
     plain = rows.select("id", "key", "n_words", "tag", "row")
     some = plain.where("key is not null").join(classes, "key").select(
         "id", F.col("chosen.id").alias("class_id"), "class_size", "n_words", "tag", (F.col("row") == F.col("chosen.row")).alias("kept")
