@@ -63,3 +63,17 @@ def weakness(rule: Column, tags: Column) -> Column:
     tag = F.get(F.filter(tags, lambda t: F.regexp_like(F.lower(t), F.lit(r"cwe[-/]\d+"))), F.lit(0))
     number = F.coalesce(F.nullif(F.regexp_extract(F.lower(tag), r"cwe[-/](\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(F.lower(rule), r"cwe[-_/]?(\d+)", 1), F.lit("")))
     return F.concat(F.lit("CWE-"), number.cast("int").cast("string"))
+
+
+def merged_changes(staged: DataFrame, unstaged: DataFrame) -> DataFrame:
+    """(path, changes, first_seen) of staged and unstaged changes: one union and one aggregation instead of an outer join."""
+    both = staged.select("path", F.lit(True).alias("staged")).unionByName(unstaged.select("path", F.lit(False).alias("staged")))
+    return both.groupBy("path").agg(F.count("*").alias("changes"), F.when(F.bool_or("staged"), "staged").otherwise("unstaged").alias("first_seen"))
+
+
+def coverage_counts(groups: DataFrame, key: str, parts: dict[str, DataFrame]) -> DataFrame:
+    """``groups`` with the distinct items of each part that it has; 0 where it has none."""
+    for name, df in parts.items():
+        n = df.groupBy(key).agg(F.countDistinct("item").alias(name))
+        groups = groups.join(n, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return groups

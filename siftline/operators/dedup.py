@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_code, normalize_function, normalize_path
 from .dims import ENGINE_MERGE_WEIGHT, EXPLOITABILITY_LEVEL, lookup
+from .findings import near_lines
 
 
 def semantic_hash() -> Column:
@@ -71,7 +72,7 @@ def baseline_diff(current: DataFrame, baseline: DataFrame, band: int = 5) -> Dat
     rule within ``band`` lines; several may take the same one.
     """
     b = baseline.select(F.col("baseline_seq"), F.col("vuln_id"), F.col("rule_id"), F.col("file"), F.col("line").alias("base_line"), F.col("fixed"))
-    near = current.join(b, ["file", "rule_id"]).where(F.abs(F.col("line") - F.col("base_line")) <= band)
+    near = near_lines(current, b, ["file", "rule_id"], band, other="base_line")
     best = near.groupBy("input_seq").agg(F.min_by(F.struct("vuln_id", "fixed"), "baseline_seq").alias("m"))
     matched = current.select("input_seq").join(best, "input_seq", "left")
     status = F.when(F.col("m").isNull(), "new").when(F.col("m.fixed"), "regressed").otherwise("persistent")
@@ -86,3 +87,7 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Data
     joined = a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full_outer")
     pick = lambda c: F.when(F.col(f"b.{key}").isNotNull() & (F.col(f"a.{key}").isNull() | F.lit(c in columns)), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}"))
     return joined.select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *[pick(c).alias(c) for c in old.columns if c != key])
+
+
+def baseline_statistics(baseline: DataFrame, key: str = "rule_id") -> DataFrame:
+    return baseline.groupBy(key).agg(F.count("*").alias("n"), F.count_if("fixed").alias("fixed"), F.countDistinct("file").alias("files"), F.min("vuln_id").alias("first_id"), F.max("vuln_id").alias("last_id"))

@@ -61,3 +61,9 @@ def token_bucket(requests: DataFrame, rate: float, burst: float, key: str = "use
         return F.struct(left.alias("left"), x["t"].alias("t"), F.concat(acc["out"], F.array(F.struct(x["s"].cast("bigint").alias("s"), (have >= 1).alias("allowed"), left.alias("left")))).alias("out"))
 
     return requests.groupBy(key).agg(F.explode(F.aggregate(rows, start, step, lambda acc: acc["out"])).alias("r")).select(key, F.col("r.s").alias(seq), "r.allowed", F.round("r.left", 6).alias("left"))
+
+
+def unexpired(df: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Rows whose lifetime reaches past the latest time in the table."""
+    now = df.agg(F.max(ts).alias("_now"))
+    return df.crossJoin(F.broadcast(now)).where(F.col(ts) + F.make_interval(secs=F.lit(seconds)) > F.col("_now")).drop("_now")

@@ -16,6 +16,8 @@ def _cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             import tempfile
 
             folder = tempfile.mkdtemp(prefix="siftline-")
@@ -44,9 +46,98 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def nearest(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(node, depth, seed) of every node within ``max_depth`` edges of any seed, with its nearest seed, the least of equally near ones.
+
+    One search from all seeds at once: a node is in the frontier once, however many seeds reach it.
+    """
+    edges = edges.select("src", "dst").distinct()
+    frontier = _cut(seeds.select(F.col("seed").alias("node"), F.lit(0).alias("depth"), "seed").distinct())
+    seen = frontier
+    for depth in range(1, max_depth + 1):
+        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("seed").alias("seed"))
+        frontier = _cut(step.select("node", F.lit(depth).alias("depth"), "seed").join(seen, "node", "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(node, callees, callers): distinct nodes on either side of each."""
+    ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("callee"), F.lit(None).cast(edges.schema["src"].dataType).alias("caller"))
+    ends = ends.unionByName(edges.select(F.col("dst").alias("node"), F.lit(None).cast(edges.schema["dst"].dataType).alias("callee"), F.col("src").alias("caller")))
+    return ends.groupBy("node").agg(F.countDistinct("callee").alias("callees"), F.countDistinct("caller").alias("callers"))
+
+
+def valid_callees(calls: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct calls whose callee is a node."""
+    return calls.distinct().join(nodes.select("callee").distinct(), "callee", "left_semi")
+
+
+def target_nodes(nodes: DataFrame, file: str, function: str | None = None, line: int | None = None) -> DataFrame:
+    """Nodes (path, name, line) of a file, by whole path or its end, and of a function and line where these are given."""
+    wanted = F.endswith("path", F.lit(file))
+    wanted = wanted & (F.col("name") == function) if function else wanted
+    return nodes.where(wanted & (F.col("line") == line) if line else wanted)
+
+
+def exploitable_sinks(traces: DataFrame) -> DataFrame:
+    """Traces of :func:`taint` that an entry reaches and no sanitizer guards."""
+    return traces.where(F.col("entry").isNotNull() & ~F.col("sanitized"))
+
+
+def file_dependencies(imports: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (path, out_degree, in_degree, centrality) and edges (src, dst, symbol, line) of a project.
+
+    ``imports`` has path, name and line. A name leads to the file of its dotted
+    path, to that package's ``__init__``, or to either of its parent, which
+    covers names imported from a module; files that nothing joins are nodes too.
+    """
+    parent = F.regexp_replace("name", r"\.[^.]*$", "")
+    paths = lambda c: [F.concat(F.replace(c, F.lit("."), F.lit("/")), F.lit(end)) for end in (".py", "/__init__.py")]
+    tried = imports.select("path", "name", "line", F.posexplode(F.array_distinct(F.array(*paths(F.col("name")), *paths(parent)))).alias("rank", "dst"))
+    found = tried.join(files.select(F.col("path").alias("dst")).distinct(), "dst").where("dst <> path")
+    edges = found.groupBy("path", "name").agg(F.min_by("dst", "rank").alias("dst"), F.min("line").alias("line")).select(F.col("path").alias("src"), "dst", F.col("name").alias("symbol"), "line")
+    known = degrees(edges.select("src", "dst").distinct())
+    nodes = files.select("path").distinct().join(known.withColumnRenamed("node", "path"), "path", "left")
+    zero = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return nodes.select("path", zero("out_degree", 0), zero("in_degree", 0), zero("centrality", 0.0)), edges
+
+
+def speedup(files: DataFrame, scanned: DataFrame) -> DataFrame:
+    """One row: whole over scanned files, files saved and their percentage; no speed-up without files."""
+    both = files.select("path").distinct().join(scanned.select("path", F.lit(1).alias("s")).distinct(), "path", "left")
+    n = both.agg(F.count("*").alias("original_files"), F.count("s").alias("incremental_files"))
+    saved = F.col("original_files") - F.col("incremental_files")
+    factor = F.when(F.col("original_files") == 0, 1.0).otherwise(F.coalesce(F.round(F.try_divide(F.col("original_files"), F.col("incremental_files")), 2), F.lit(float("inf"))))
+    return n.select("original_files", "incremental_files", saved.alias("files_saved"), factor.alias("speedup_factor"), F.coalesce(F.round(F.try_divide(100 * saved, F.col("original_files")), 1), F.lit(0.0)).alias("time_saved_percent"))
+
+
+def as_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A graph as JSON rows (kind, value)."""
+    return nodes.select(F.lit("node").alias("kind"), F.to_json(F.struct(*nodes.columns)).alias("value")).unionByName(edges.select(F.lit("edge").alias("kind"), F.to_json(F.struct(*edges.columns)).alias("value")))
+
+
+def from_documents(documents: DataFrame, kind: str, schema: str) -> DataFrame:
+    """Rows of one kind of :func:`as_documents`."""
+    return documents.where(F.col("kind") == kind).select(F.from_json("value", schema).alias("v")).select("v.*")
+
+
+def text_callers(lines: DataFrame, functions: DataFrame) -> DataFrame:
+    """(name, path, line_no) of lines that call a function by name but do not define it; no graph is needed.
+
+    ``lines`` has path, line_no and line. Called names are cut from the line, so the join is an equality.
+    """
+    called = F.array_distinct(F.regexp_extract_all("line", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1)))
+    defined = F.regexp_extract("line", r"^\s*(?:async\s+)?(?:def|func|function)\s+([A-Za-z_][A-Za-z0-9_]*)", 1)
+    calls = lines.select("path", "line_no", defined.alias("defined"), F.explode(called).alias("name")).where("name <> defined")
+    return calls.join(functions.select("name").distinct(), "name", "left_semi").select("name", "path", "line_no")
+
+
 def reachability(edges: DataFrame, entries: DataFrame, targets: DataFrame, max_depth: int = 10) -> DataFrame:
     """Per target: whether an entry reaches it, the least depth, and a confidence that falls by depth."""
-    found = closure(edges, entries, max_depth).groupBy("node").agg(F.min("depth").alias("depth"), F.min(F.struct("depth", "seed"))["seed"].alias("entry"))
+    found = nearest(edges, entries, max_depth).withColumnRenamed("seed", "entry")
     out = targets.join(found, targets["target"] == found["node"], "left")
     confidence = F.when(F.col("depth").isNotNull(), F.round(F.greatest(F.lit(0.3), 1 - 0.1 * F.col("depth")), 6)).otherwise(0.0)
     return out.select("target", F.col("depth").isNotNull().alias("reachable"), "depth", "entry", confidence.alias("confidence"))
@@ -54,7 +145,7 @@ def reachability(edges: DataFrame, entries: DataFrame, targets: DataFrame, max_d
 
 def impact(edges: DataFrame, changed: DataFrame, max_depth: int = 5) -> DataFrame:
     """(path, score, level) of files that depend on changed ones: one over the distance, 1 for changed files."""
-    near = closure(reversed_edges(edges), changed.select(F.col("path").alias("seed")), max_depth).groupBy(F.col("node").alias("path")).agg(F.min("depth").alias("depth"))
+    near = nearest(reversed_edges(edges), changed.select(F.col("path").alias("seed")), max_depth).select(F.col("node").alias("path"), "depth")
     score = F.when(F.col("depth") == 0, 1.0).otherwise(F.round(1 / F.greatest("depth", F.lit(1)), 6))
     level = F.when(F.col("depth") == 0, "changed").when(F.col("depth") <= 1, "direct").when(F.col("depth") == 2, "near").otherwise("far")
     return near.select("path", "depth", score.alias("score"), level.alias("level"))

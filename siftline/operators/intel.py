@@ -10,10 +10,9 @@ from ..functions.text import terms
 
 def search(docs: DataFrame, query: str, text: str = "description", key: str = "cve_id") -> DataFrame:
     """Rows whose words hold all words of ``query``; if there is none, rows that contain it as text."""
-    words = [w for w in query.lower().split() if w]
-    has_all = F.lit(True)
-    for w in words:
-        has_all = has_all & F.array_contains(terms(F.col(text)), w)
+    words = sorted({w for w in query.lower().split() if w})
+    # words are cut once a row, however many the query has
+    has_all = F.size(F.array_intersect(terms(F.col(text)), F.array(*map(F.lit, words)))) == len(words) if words else F.lit(True)
     tagged = docs.withColumn("_exact", has_all).where(F.col("_exact") | F.contains(F.lower(text), F.lit(query.lower())))
     best = tagged.agg(F.bool_or("_exact").alias("_any"))
     return tagged.crossJoin(F.broadcast(best)).where(F.col("_exact") | ~F.col("_any")).drop("_exact", "_any")
@@ -48,3 +47,110 @@ def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     from ..functions.versions import in_range
 
     return deps.join(advisories, ["ecosystem", "name"]).where(in_range(F.col("version"), F.col("spec"))).select("input_seq", "cve_id")
+
+
+def recent(df: DataFrame, days: int, column: str = "published") -> DataFrame:
+    """Rows of the last ``days`` days before the latest: its date is one row."""
+    last = df.agg(F.max(column).alias("_last"))
+    return df.crossJoin(F.broadcast(last)).where(F.col(column) >= F.date_sub("_last", days)).drop("_last")
+
+
+def lookup(df: DataFrame, value, key: str = "cve_id") -> DataFrame:
+    """The row of a key; the filter reaches the scan."""
+    return df.where(F.col(key) == value)
+
+
+def exploited_between(cves: DataFrame, first: str, last: str, vendor: str | None = None) -> DataFrame:
+    """Exploited ones published from one date to another, of vendors whose name holds ``vendor``."""
+    out = cves.where(F.col("kev") & F.col("published").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return out.where(F.contains(F.lower(F.col("vendor").cast("string")), F.lit(vendor.lower()))) if vendor else out
+
+
+def search_pocs(pocs: DataFrame, title: str | None = None, kind: str | None = None, platform: str | None = None) -> DataFrame:
+    """Proofs of concept whose title, type or platform holds what is asked of it."""
+    asked = [F.contains(F.lower(c), F.lit(v.lower())) for c, v in (("title", title), ("poc_type", kind), ("platform", platform)) if v]
+    wanted = F.lit(not asked)
+    for a in asked:
+        wanted = wanted | a
+    return pocs.where(wanted)
+
+
+def members(cves: DataFrame, listed: DataFrame, key: str = "cve_id") -> DataFrame:
+    return cves.join(listed.select(key), key, "left_semi")
+
+
+def not_yet_found(cves: DataFrame, found: DataFrame, key: str = "cve_id") -> DataFrame:
+    return cves.join(found.select(key), key, "left_anti")
+
+
+def vulnerability_statistics(cves: DataFrame) -> DataFrame:
+    return cves.groupBy("severity").agg(F.count("*").alias("n"), F.count_if("kev").alias("kev"), F.countDistinct("vendor").alias("vendors"))
+
+
+def most_common(df: DataFrame, column: str, limit: int, name: str | None = None) -> DataFrame:
+    """The most frequent values with their counts; ties in order of value."""
+    name = name or column
+    return df.groupBy(F.col(column).alias(name)).agg(F.count("*").alias("n")).orderBy(F.desc("n"), name).limit(limit)
+
+
+def per_dependency(cves: DataFrame, key: str) -> DataFrame:
+    """(key, n, has_kev, kev_ids): the ids of exploited ones, in order, joined; null where there is none."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kev"), F.col("cve_id")))), lambda x: x.cast("string")), ",")
+    return cves.groupBy(key).agg(F.count("*").alias("n"), F.bool_or("kev").alias("has_kev"), F.nullif(ids, F.lit("")).alias("kev_ids"))
+
+
+def relevant(deps: DataFrame, cves: DataFrame) -> DataFrame:
+    """(input_seq, cve_id) of CVEs that concern a dependency.
+
+    ``deps`` has input_seq, ecosystem, name and version; ``cves`` cve_id,
+    description, products, ranges and from_advisory. An advisory names its
+    product, so that is an equality. Else the name must stand in the description
+    or a product: the words of both sides are cut, so candidates meet by a word of
+    the name, the longest, and the substring is checked on them only. Go modules
+    also count by their last part, Maven ones by their artifact. A version that is
+    known must lie in a range, if there are any.
+    """
+    from ..functions.versions import in_range
+
+    own = F.lower("name")
+    short = F.when(F.col("ecosystem") == "go", F.substring_index(own, "/", -1)).when(F.col("ecosystem") == "maven", F.substring_index(own, ":", -1))
+    names = deps.select("input_seq", "version", F.explode(F.array_distinct(F.array_compact(F.array(own, short)))).alias("needle")).where("needle <> ''")
+    text = F.concat_ws(" ", F.lower("description"), F.lower(F.concat_ws(" ", "products")))
+    held = cves.select("cve_id", "ranges", "from_advisory", F.transform("products", lambda p: F.lower(p)).alias("products"), text.alias("text"))
+    # every run of letters and digits inside the name is a run, or part of one, of a text that holds it
+    parts = F.filter(F.split("needle", r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    inner = F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    gram = names.withColumn("gram", F.left(F.coalesce(inner, F.col("needle")), F.lit(3)))
+    grams = held.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text"))), lambda k: F.substring("text", k, n)))))))
+    met = gram.join(grams, "gram")
+    named = F.when(F.col("from_advisory"), F.array_contains("products", F.col("needle"))).otherwise(F.contains("text", F.col("needle")))
+    fits = F.col("version").isNull() | (F.col("version") == "*") | (F.size("ranges") <= 0) | F.exists("ranges", lambda r: in_range(F.col("version"), r))
+    return met.where(named & fits).select("input_seq", "cve_id").distinct()
+
+
+def framework_cves(frameworks: DataFrame, cves: DataFrame, gram: int = 3) -> DataFrame:
+    """(framework, cve_id) of CVEs whose description or products hold the framework's name."""
+    named = frameworks.select(F.monotonically_increasing_id().alias("input_seq"), F.col("name"), F.lit("").alias("ecosystem"), F.lit(None).cast("string").alias("version"))
+    from ..operators.graph import _cut
+
+    named = _cut(named)
+    return relevant(named, cves.withColumn("from_advisory", F.lit(False))).join(named, "input_seq").select(F.col("name").alias("framework"), "cve_id").distinct()
+
+
+def read_through(wanted: DataFrame, local: DataFrame, feed: DataFrame, key: str = "cve_id") -> DataFrame:
+    """Wanted rows from the store, from the feed where the store has none; ``origin`` tells which."""
+    cols = [c for c in local.columns if c != key]
+    a = local.select(key, F.struct(*cols).alias("_a"))
+    b = feed.select(key, F.struct(*cols).alias("_b"))
+    out = wanted.select(key).distinct().join(a, key, "left").join(b, key, "left").where("_a is not null or _b is not null")
+    return out.select(key, F.when(F.col("_a").isNotNull(), "store").otherwise("feed").alias("origin"), F.coalesce("_a", "_b").alias("v")).select(key, "origin", "v.*")
+
+
+def alias_lookup(entries: DataFrame, alias: str) -> DataFrame:
+    return entries.where(F.array_contains("aliases", alias))
+
+
+def security_summary(deps: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row: dependencies, vulnerable ones, findings, and whether any is critical or exploited. ``hits`` has input_seq, severity and kev."""
+    n = hits.agg(F.countDistinct("input_seq").alias("vulnerable"), F.count("*").alias("findings"), F.coalesce(F.bool_or(F.col("severity") == "critical"), F.lit(False)).alias("has_critical"), F.coalesce(F.bool_or("kev"), F.lit(False)).alias("has_exploited"))
+    return deps.agg(F.count("*").alias("dependencies")).crossJoin(n)

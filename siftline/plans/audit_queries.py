@@ -95,9 +95,9 @@ def exp13_merge_comparator(t):
     return s.join(b, "id").select("id", F.when(F.col("r") > F.col("other"), 1).when(F.col("r") < F.col("other"), -1).otherwise(0).alias("cmp"))
 
 
-@query("SELECT DISTINCT path FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path FROM orders WHERE o_orderkey < 4000 UNION ALL SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey < 4000 AND o_orderkey % 5 = 0)")
+@query("SELECT DISTINCT path FROM (SELECT CAST(o_orderkey AS VARCHAR) AS path FROM orders UNION ALL SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 0)")
 def flt22_changed_paths(t):
-    o = t("orders").where("o_orderkey < 4000")
+    o = t("orders")
     return au.changed_paths(o.select(F.col("o_orderkey").cast("string").alias("path"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey").cast("string")).alias("old_path")))
 
 

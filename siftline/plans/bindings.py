@@ -41,7 +41,7 @@ VIEWS = {
         FROM {part}""",
     "edges": """
         SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM {lineitem} a JOIN {lineitem} b
-        ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_orderkey < 300 AND a.l_suppkey <> b.l_suppkey""",
+        ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey""",
     "baseline": """
         SELECT o_orderkey AS baseline_seq, o_orderkey AS vuln_id, o_orderpriority AS rule_id, o_custkey AS file, CAST(o_orderkey % 40 AS INT) + 1 AS line,
           o_orderstatus = 'F' AS fixed FROM {orders} WHERE o_orderkey % 3 <> 0""",

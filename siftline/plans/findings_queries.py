@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import decisions as dc
 from ..operators import dedup as dd
 from ..operators import findings as fd
+from ..operators import intel as it
 from ..operators.dims import RISK_WEIGHT, SEVERITIES, lookup, severity_rank
 from .bindings import twin, view
 
@@ -76,7 +77,7 @@ def flt2_at_least_medium(t):
 
 @query("SELECT DISTINCT file FROM findings ORDER BY file")
 def flt4_unique_files(t):
-    return t("findings").select("file").distinct().orderBy("file")
+    return fd.distinct_files(t("findings"))
 
 
 @query("SELECT id FROM findings WHERE NOT (coalesce(suppressed, false) OR coalesce(filtered_by IN ('finding_budget', 'rule_gating', 'ast_validator', 'file_filter'), false))")
@@ -218,7 +219,7 @@ def agg25_risk_sum(t):
 
 @query("SELECT rule_id AS value, n FROM (SELECT rule_id, count(*) AS n FROM findings GROUP BY 1) ORDER BY n DESC, rule_id LIMIT 3")
 def agg6_top_rules(t):
-    return t("findings").groupBy(F.col("rule_id").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(3)
+    return it.most_common(t("findings"), "rule_id", 3, "value")
 
 
 @query(f"SELECT id, severity FROM findings ORDER BY {RANK}, input_seq LIMIT 100")
@@ -248,31 +249,26 @@ def fun6_fun7_normalise(t):
 
 @query("SELECT a.id, b.id AS other_id FROM findings a JOIN findings b ON a.file = b.file AND a.rule_id = b.rule_id AND a.source = 'semgrep' AND b.source = 'codeql' AND abs(a.line - b.line) <= 5 WHERE b.id = (SELECT min(c.id) FROM findings c WHERE c.file = a.file AND c.rule_id = a.rule_id AND c.source = 'codeql' AND abs(c.line - a.line) <= 5)")
 def jon8_win16_band_join(t):
-    """The first finding of another engine at the line, within five lines, in input order."""
     df = t("findings")
-    b = df.where("source = 'codeql'").select("file", "rule_id", F.col("id").alias("other_id"), F.col("line").alias("other_line"))
-    near = df.where("source = 'semgrep'").join(b, ["file", "rule_id"]).where(F.abs(F.col("line") - F.col("other_line")) <= 5)
-    return near.groupBy("id").agg(F.min("other_id").alias("other_id"))
+    return fd.first_near(df.where("source = 'semgrep'"), df.where("source = 'codeql'"), 5)
 
 
 @query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE suppressed) AS suppressed, count(DISTINCT file) AS files, count(DISTINCT rule_id) AS rules, round(avg(confidence), 6) AS mean, max(line) AS last_line FROM findings GROUP BY 1""")
 def agg19_agg30_source_statistics(t):
-    return t("findings").groupBy("source").agg(F.count("*").alias("n"), F.count_if("suppressed").alias("suppressed"), F.countDistinct("file").alias("files"), F.countDistinct("rule_id").alias("rules"), F.round(F.avg("confidence"), 6).alias("mean"), F.max("line").alias("last_line"))
+    return fd.source_statistics(t("findings"))
 
 
 @query("SELECT id, source, severity FROM findings WHERE source = 'agent' UNION ALL SELECT id, source, severity FROM findings WHERE source = 'codeql' AND severity = 'high'")
 def set1_union_engines(t):
     df = t("findings")
-    return df.where("source = 'agent'").select("id", "source", "severity").unionByName(df.where("source = 'codeql' and severity = 'high'").select("id", "source", "severity"))
+    return fd.union_engines({"agent": df.where("source = 'agent'").drop("source"), "codeql": df.where("source = 'codeql' and severity = 'high'").drop("source")}).select("id", "source", "severity")
 
 
 @query("""SELECT file, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS critical, count(*) FILTER (WHERE severity = 'high') AS high, string_agg(DISTINCT source, ',' ORDER BY source) AS engines FROM findings GROUP BY 1 ORDER BY critical DESC, high DESC, file LIMIT 20""")
 def srt10_recommended_files(t):
-    groups = t("findings").groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("engines"))
-    return groups.orderBy(F.desc("critical"), F.desc("high"), "file").limit(20)
+    return fd.files_in_time(t("findings"), 20)
 
 
 @query("SELECT id, rule_id, n FROM (SELECT id, rule_id, row_number() OVER (PARTITION BY rule_id ORDER BY input_seq DESC) AS n FROM findings) WHERE n <= 10")
 def win17_recent_history(t):
-    w = Window.partitionBy("rule_id").orderBy(F.desc("input_seq"))
-    return t("findings").withColumn("n", F.row_number().over(w)).where("n <= 10").select("id", "rule_id", "n")
+    return fd.recent_history(t("findings"), "rule_id", 10).select("id", "rule_id", "n")

@@ -48,7 +48,7 @@ def src7_pattern_match_documents(t):
     return rp.pattern_matches(docs).drop("owasp")
 
 
-@query("SELECT rule_id, concat('src/', CAST(id AS VARCHAR)) AS file, line, CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium' ELSE 'low' END AS severity, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS steps, id % 2 = 0 AS complete, CASE WHEN id % 2 = 0 THEN line + 9 ELSE line END AS sink_line FROM findings WHERE id < 3000")
+@query("SELECT rule_id, concat('src/', CAST(id AS VARCHAR)) AS file, line, CASE severity WHEN 'critical' THEN 'high' WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium' ELSE 'low' END AS severity, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS steps, id % 2 = 0 AS complete, CASE WHEN id % 2 = 0 THEN line + 9 ELSE line END AS sink_line FROM findings")
 def src8_src9_sarif_documents(t):
     def place(line):
         return F.struct(F.struct(F.struct(F.concat(F.lit("file://src/"), F.col("id").cast("string")).alias("uri")).alias("artifactLocation"), F.struct(line.alias("startLine")).alias("region")).alias("physicalLocation"))
@@ -57,7 +57,7 @@ def src8_src9_sarif_documents(t):
     flow = F.array(F.struct(F.array(F.struct(F.array(F.struct(place(line).alias("location")), F.struct(place(line + 9).alias("location"))).alias("locations"))).alias("threadFlows")))
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     result = F.struct(F.col("rule_id").alias("ruleId"), level.alias("level"), F.array(place(line)).alias("locations"), F.when(F.col("id") % 2 == 0, flow).alias("codeFlows"))
-    docs = t("findings").where("id < 3000").groupBy("file").agg(F.collect_list(result).alias("results")).select(_document(F.struct(F.array(F.struct("results")).alias("runs"))))
+    docs = t("findings").groupBy("file").agg(F.collect_list(result).alias("results")).select(_document(F.struct(F.array(F.struct("results")).alias("runs"))))
     out = rp.sarif_results(docs)
     return out.select("rule_id", "file", "line", "severity", F.size("steps").alias("steps"), "complete", F.element_at("steps", -1)["line"].alias("sink_line"))
 
@@ -88,9 +88,9 @@ def src23_requirement_lines(t):
     return mf.requirements(files).select("name", "operator", "version")
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE o_orderkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'deleted' END AS change, CAST(o_orderkey % 50 AS INT) AS additions, CAST(o_orderkey % 7 AS INT) AS deletions FROM orders WHERE o_orderkey < 5000")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE o_orderkey % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'modified' ELSE 'deleted' END AS change, CAST(o_orderkey % 50 AS INT) AS additions, CAST(o_orderkey % 7 AS INT) AS deletions FROM orders")
 def src26_jon17_git_changes(t):
-    o = t("orders").where("o_orderkey < 5000")
+    o = t("orders")
     key = F.col("o_orderkey")
     kind = F.element_at(F.array(F.lit("A"), F.lit("M"), F.lit("D")), (key % 3 + 1).cast("int"))
     raw = o.select(F.concat(F.lit(":100644 100644 abc def "), kind, F.lit("\t"), key.cast("string")).alias("line"))
@@ -111,7 +111,7 @@ def src15_exploit_rows(t):
     return rp.exploit_rows(rows).select("id", F.array_join("cve_ids", ",").alias("cves"), "poc_type")
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(could not resolve|no matching distribution|module not found|cannot find package)') THEN 'missing_dependency' WHEN regexp_matches(text, '(?i)(permission denied|access is denied)') THEN 'permission' ELSE 'ok' END AS health FROM (SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN 'Could not RESOLVE x ' WHEN 1 THEN 'Permission denied ' ELSE '' END, substr(text, 1, 20)) AS text FROM documents)")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(could not resolve|no matching distribution|module not found|cannot find package)') THEN 'missing_dependency' WHEN regexp_matches(text, '(?i)(permission denied|access is denied)') THEN 'permission' ELSE 'ok' END AS health FROM (SELECT doc_id, concat(CASE doc_id % 5 WHEN 0 THEN 'Could not RESOLVE x ' WHEN 1 THEN 'Permission denied ' ELSE '' END, text) AS text FROM documents)")
 def exp29_health_classes(t):
     k = F.col("doc_id") % 5
     text = F.concat(F.when(k == 0, "Could not RESOLVE x ").when(k == 1, "Permission denied ").otherwise(""), "text")
@@ -180,14 +180,14 @@ def grf16_critical_paths(t):
     return found.where("node % 10 = 4").select(F.col("seed").alias("entry"), F.col("node").alias("changed"), "depth")
 
 
-@query("SELECT input_seq, path, name, target FROM (SELECT f.input_seq, f.path, concat('pkg.mod', CAST(f.input_seq % 50 AS VARCHAR)) AS name, concat('pkg/mod', CAST(f.input_seq % 50 AS VARCHAR), '.py') AS target FROM files f) WHERE CAST(regexp_extract(target, '([0-9]+)', 1) AS INT) % 2 = 0")
+@query("SELECT f.input_seq, f.path, concat('pkg.mod', CAST(f.input_seq % 50 AS VARCHAR)) AS name, concat('pkg/mod', CAST(f.input_seq % 50 AS VARCHAR), '.py') AS target FROM files f WHERE f.input_seq % 50 IN (SELECT input_seq FROM files WHERE input_seq % 2 = 0)")
 def jon10_jon11_import_targets(t):
     imports = t("files").select("input_seq", "path", F.concat(F.lit("pkg.mod"), (F.col("input_seq") % 50).cast("string")).alias("name"))
-    files = t("files").where("input_seq < 50 and input_seq % 2 = 0").select(F.concat(F.lit("pkg/mod"), F.col("input_seq").cast("string"), F.lit(".py")).alias("path"))
+    files = t("files").where("input_seq % 2 = 0").select(F.concat(F.lit("pkg/mod"), F.col("input_seq").cast("string"), F.lit(".py")).alias("path"))
     return cl.import_targets(imports, files).join(imports, ["path", "name"]).select("input_seq", "path", "name", "target")
 
 
-@query("SELECT l_suppkey AS caller, l_partkey % 500 AS callee FROM lineitem WHERE l_orderkey < 3000 AND l_partkey % 500 IN (SELECT s_suppkey FROM supplier) GROUP BY ALL")
+@query("SELECT l_suppkey AS caller, l_partkey % 500 AS callee FROM lineitem WHERE l_partkey % 500 IN (SELECT s_suppkey FROM supplier) GROUP BY ALL")
 def jon13_valid_callees(t):
-    calls = t("lineitem").where("l_orderkey < 3000").select(F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 500).alias("callee")).distinct()
-    return calls.join(t("supplier").select(F.col("s_suppkey").alias("callee")), "callee", "left_semi").select("caller", "callee")
+    calls = t("lineitem").select(F.col("l_suppkey").alias("caller"), (F.col("l_partkey") % 500).alias("callee")).distinct()
+    return gr.valid_callees(calls, t("supplier").select(F.col("s_suppkey").alias("callee"))).select("caller", "callee")

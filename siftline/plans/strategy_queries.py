@@ -60,9 +60,9 @@ def aux3_targets_to_tasks(t):
     return t("targets").where("n_params > 0").select("id", F.explode(F.array_compact(F.array(F.lit("scan"), extra))).alias("task"))
 
 
-@query("SELECT printf('entry-%04d', CAST(row_number() OVER (ORDER BY id) - 1 AS INT)) AS target, id FROM targets WHERE entry_point_type = 'cron' AND id < 2000")
+@query("SELECT printf('entry-%04d', CAST(row_number() OVER (ORDER BY id) - 1 AS INT)) AS target, id FROM targets WHERE entry_point_type = 'cron'")
 def aux1_entry_ids(t):
-    rows = t("targets").where("entry_point_type = 'cron' and id < 2000")
+    rows = t("targets").where("entry_point_type = 'cron'")
     return rows.select(F.format_string("entry-%04d", (F.row_number().over(Window.orderBy("id")) - 1)).alias("target"), "id")
 
 
@@ -144,9 +144,9 @@ def agg35_phase_totals(t):
     return g.crossJoin(F.broadcast(total)).select("status", "n", F.round(100 * F.col("n") / F.col("total"), 2).alias("pct"))
 
 
-@query("SELECT candidate_id, arg_min(source, seq * 1000000 + k) AS first_source, arg_max(source, seq * 1000000 + k) AS last_source, count(*) AS steps, count(*) >= 2 AS complete FROM (SELECT candidate_id, source, seq, ascii(evidence_type) AS k FROM evidence WHERE candidate_id < 3000) GROUP BY 1 HAVING count(DISTINCT seq * 1000000 + k) = count(*)")
+@query("SELECT candidate_id, arg_min(source, seq * 1000000 + k) AS first_source, arg_max(source, seq * 1000000 + k) AS last_source, count(*) AS steps, count(*) >= 2 AS complete FROM (SELECT candidate_id, source, seq, ascii(evidence_type) AS k FROM evidence) GROUP BY 1 HAVING count(DISTINCT seq * 1000000 + k) = count(*)")
 def win19_path_ends(t):
-    e = t("evidence").where("candidate_id < 3000").withColumn("k", F.col("seq") * 1000000 + F.ascii("evidence_type"))
+    e = t("evidence").withColumn("k", F.col("seq") * 1000000 + F.ascii("evidence_type"))
     g = e.groupBy("candidate_id").agg(F.min_by("source", "k").alias("first_source"), F.max_by("source", "k").alias("last_source"), F.count("*").alias("steps"), F.countDistinct("k").alias("d"))
     return g.where("steps = d").select("candidate_id", "first_source", "last_source", "steps", (F.col("steps") >= 2).alias("complete"))
 
@@ -171,6 +171,6 @@ def fun15_route_of_page(t):
     return t("pages").select("page_id", F.regexp_replace(F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1), "/[0-9]+", "/{id}").alias("route"), F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"))
 
 
-@query("SELECT event_id AS id, concat(upper(substr(event_type, 1, 1)), substr(event_type, 2)) AS title, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events WHERE event_id < 3000")
+@query("SELECT event_id AS id, concat(upper(substr(event_type, 1, 1)), substr(event_type, 2)) AS title, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def fun12_fun19_titles_and_json(t):
-    return t("events").where("event_id < 3000").select(F.col("event_id").alias("id"), tx.humanised(F.col("event_type")).alias("title"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    return t("events").select(F.col("event_id").alias("id"), tx.humanised(F.col("event_type")).alias("title"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import versions as vs
+from ..operators import audit as au
 from ..operators import decisions as dc
 from ..operators import dedup as dd
 from ..operators import detectors as dt
+from ..operators import files as fl
 from ..operators import findings as fd
 from ..operators import graph as gr
 from ..operators import intel as it
@@ -60,24 +62,22 @@ def flt9_kev(t):
 
 @query("SELECT cve_id, published FROM cves WHERE published >= (SELECT max(published) FROM cves) - 30")
 def flt10_recent(t):
-    df = t("cves")
-    as_of = df.agg(F.max("published").alias("as_of"))
-    return df.crossJoin(F.broadcast(as_of)).where(F.col("published") >= F.date_sub("as_of", 30)).select("cve_id", "published")
+    return it.recent(t("cves"), 30).select("cve_id", "published")
 
 
 @query("SELECT cve_id, severity, cvss FROM cves WHERE cve_id = 7")
 def flt11_lookup(t):
-    return t("cves").where("cve_id = 7").select("cve_id", "severity", "cvss")
+    return it.lookup(t("cves"), 7).select("cve_id", "severity", "cvss")
 
 
 @query("SELECT cve_id FROM cves WHERE kev AND published BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'")
 def flt12_kev_dates(t):
-    return t("cves").where("kev and published between date '1995-01-01' and date '1997-12-31'").select("cve_id")
+    return it.exploited_between(t("cves"), "1995-01-01", "1997-12-31").select("cve_id")
 
 
 @query("SELECT poc_id, title FROM pocs WHERE contains(lower(title), '1') OR contains(lower(poc_type), 'promo')")
 def flt13_poc_search(t):
-    return t("pocs").where(F.contains(F.lower("title"), F.lit("1")) | F.contains(F.lower("poc_type"), F.lit("promo"))).select("poc_id", "title")
+    return it.search_pocs(t("pocs"), title="1", kind="promo").select("poc_id", "title")
 
 
 @query("SELECT m.cve_id, p.poc_id, p.title, p.stars, p.verified FROM cve_poc_map m JOIN pocs p USING (poc_id) JOIN cves c ON c.cve_id = m.cve_id")
@@ -99,12 +99,13 @@ def jon4_enrich(t):
 
 @query("SELECT cve_id FROM cves WHERE cve_id IN (SELECT cve_id FROM cve_poc_map WHERE poc_id % 50 = 0)")
 def jon5_semi_join(t):
-    return t("cves").join(t("cve_poc_map").where("poc_id % 50 = 0"), "cve_id", "left_semi").select("cve_id")
+    return it.members(t("cves"), t("cve_poc_map").where("poc_id % 50 = 0")).select("cve_id")
 
 
 @query("SELECT cve_id FROM cves WHERE severity = 'high' AND cve_id NOT IN (SELECT cve_id FROM cve_poc_map WHERE poc_id % 5 = 0) ORDER BY cve_id LIMIT 200")
 def jon21_anti_join(t):
-    return t("cves").where("severity = 'high'").join(t("cve_poc_map").where("poc_id % 5 = 0"), "cve_id", "left_anti").orderBy("cve_id").limit(200).select("cve_id")
+    left = it.not_yet_found(t("cves").where("severity = 'high'"), t("cve_poc_map").where("poc_id % 5 = 0"))
+    return it.ranked(left, F.asc("cve_id"), limit=200).select("cve_id")
 
 
 @query("SELECT count(*) AS cves, count(*) FILTER (WHERE kev) AS kev, count(*) FILTER (WHERE has_poc) AS with_poc, count(*) FILTER (WHERE cvss >= 9.0e0) AS critical_cvss, round(avg(cvss), 6) AS mean_cvss FROM cves")
@@ -114,18 +115,17 @@ def agg1_store_statistics(t):
 
 @query("SELECT severity, count(*) AS n, count(*) FILTER (WHERE kev) AS kev, count(DISTINCT vendor) AS vendors FROM cves GROUP BY 1")
 def agg3_vulnerability_statistics(t):
-    return t("cves").groupBy("severity").agg(F.count("*").alias("n"), F.count_if("kev").alias("kev"), F.countDistinct("vendor").alias("vendors"))
+    return it.vulnerability_statistics(t("cves"))
 
 
 @query("SELECT vendor, count(*) AS n FROM cves GROUP BY 1 ORDER BY n DESC, vendor LIMIT 10")
 def agg6_top_vendors(t):
-    return t("cves").groupBy("vendor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "vendor").limit(10)
+    return it.most_common(t("cves"), "vendor", 10)
 
 
 @query("SELECT vendor, count(*) AS n, bool_or(kev) AS has_kev, string_agg(CAST(cve_id AS VARCHAR), ',' ORDER BY cve_id) FILTER (WHERE kev) AS kev_ids FROM cves GROUP BY 1")
 def agg5_per_dependency(t):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kev"), F.col("cve_id")))), lambda x: x.cast("string")), ",")
-    return t("cves").groupBy("vendor").agg(F.count("*").alias("n"), F.bool_or("kev").alias("has_kev"), F.nullif(ids, F.lit("")).alias("kev_ids"))
+    return it.per_dependency(t("cves"), "vendor")
 
 
 @query("SELECT cve_id, CASE WHEN cvss >= 9.0e0 THEN 'critical' WHEN cvss >= 7.0e0 THEN 'high' WHEN cvss >= 4.0e0 THEN 'medium' WHEN cvss > 0 THEN 'low' ELSE 'info' END AS level FROM cves")
@@ -225,9 +225,9 @@ def agg21_grf17_centrality(t):
     return gr.degrees(t("edges"))
 
 
-@query("SELECT src AS node, count(DISTINCT dst) AS callees FROM edges GROUP BY 1")
+@query("SELECT coalesce(a.node, b.node) AS node, coalesce(callees, 0) AS callees, coalesce(callers, 0) AS callers FROM (SELECT src AS node, count(DISTINCT dst) AS callees FROM edges GROUP BY 1) a FULL OUTER JOIN (SELECT dst AS node, count(DISTINCT src) AS callers FROM edges GROUP BY 1) b ON a.node = b.node")
 def grf3_neighbours(t):
-    return t("edges").groupBy(F.col("src").alias("node")).agg(F.countDistinct("dst").alias("callees"))
+    return gr.neighbours(t("edges"))
 
 
 @query(_depth_sql(BACK, "SELECT DISTINCT dst AS s FROM edges WHERE dst % 20 = 5", 5) + """, h AS (SELECT seed, min(depth) AS d FROM c WHERE node % 10 = 1 GROUP BY 1), e2 AS (SELECT c.seed, min(c.node) AS entry, any_value(h.d) AS d FROM c JOIN h ON h.seed = c.seed AND c.depth = h.d WHERE c.node % 10 = 1 GROUP BY 1),
@@ -252,7 +252,7 @@ def set6_jon9_baseline_diff(t):
 
 @query("SELECT rule_id, count(*) AS n, count(*) FILTER (WHERE fixed) AS fixed, count(DISTINCT file) AS files, min(vuln_id) AS first_id, max(vuln_id) AS last_id FROM baseline GROUP BY 1")
 def agg19_baseline_statistics(t):
-    return t("baseline").groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("fixed").alias("fixed"), F.countDistinct("file").alias("files"), F.min("vuln_id").alias("first_id"), F.max("vuln_id").alias("last_id"))
+    return dd.baseline_statistics(t("baseline"))
 
 
 # --- evidence, rounds, tasks
@@ -300,10 +300,10 @@ def str5_agg18_debate_progress(t):
     return ev.debate_progress(t("debate"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber, CAST(floor((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) / 5) AS BIGINT) AS batch FROM lineitem WHERE l_orderkey < 2000")
+@query("SELECT l_orderkey, l_partkey, l_linenumber, CAST(floor((row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1) / 5) AS BIGINT) AS batch FROM lineitem")
 def win14_batches(t):
     order = [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
-    return rd.batches(t("lineitem").where("l_orderkey < 2000"), "l_returnflag", order).select("l_orderkey", "l_partkey", "l_linenumber", "batch")
+    return rd.batches(t("lineitem"), "l_returnflag", order).select("l_orderkey", "l_partkey", "l_linenumber", "batch")
 
 
 @query("""WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS n FROM orders),
@@ -327,8 +327,7 @@ def str1_windowed_counts(t):
 
 @query("SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '1970-01-01' AND ts + INTERVAL 1 DAY > (SELECT max(ts) FROM events)")
 def str9_ttl(t):
-    df = t("events")
-    return df.crossJoin(F.broadcast(df.agg(F.max("ts").alias("now")))).where(F.col("ts") + F.expr("interval 1 day") > F.col("now")).select("event_id", "ts")
+    return fl.unexpired(t("events"), "ts", 86_400).select("event_id", "ts")
 
 
 # --- files and text
@@ -382,27 +381,25 @@ def fun8_fun24_path_parts(t):
     return t("files").select("path", tx.extension(F.col("path")).alias("ext"), tx.last_parts(F.col("path")).alias("tail"))
 
 
-@query("SELECT text, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY text HAVING count(*) > 1")
 def ext_exact_duplicates(t):
-    return t("documents").groupBy("text").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
+    """By a 256-bit digest, so that no text is shuffled."""
+    return t("documents").where("text is not null").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("SELECT d.lang, count(*) AS n, count(l.doc_id) AS labelled, CAST(coalesce(sum(l.toxic), 0) AS BIGINT) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+@query("SELECT f.id, f.severity, coalesce(v.verdict, 'unverified') AS verdict, coalesce(v.confidence, 0.0e0) AS verdict_confidence FROM findings f LEFT JOIN (SELECT finding_id, arg_max(role, round) AS verdict, arg_max(confidence, round) AS confidence FROM debate GROUP BY 1) v ON v.finding_id = f.id")
 def jon14_verdict_join(t):
-    return t("documents").join(t("labels"), "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count("toxic").alias("labelled"), F.coalesce(F.sum("toxic"), F.lit(0)).cast("bigint").alias("toxic"))
+    verdicts = t("debate").groupBy(F.col("finding_id").alias("id")).agg(F.max_by("role", "round").alias("verdict"), F.max_by("confidence", "round").alias("confidence"))
+    return fd.with_verdicts(t("findings"), verdicts).select("id", "severity", "verdict", "verdict_confidence")
 
 
 @query("SELECT coalesce(a.o_custkey, b.o_custkey) AS path, coalesce(a.n, 0) + coalesce(b.n, 0) AS changes, CASE WHEN a.o_custkey IS NOT NULL THEN 'staged' ELSE 'unstaged' END AS first_seen FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a FULL OUTER JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_custkey = b.o_custkey")
 def jon18_change_merge(t):
-    """Staged and unstaged changes by path: one union and one aggregation instead of an outer join."""
-    o = t("orders").where("o_orderstatus in ('F', 'O')").select(F.col("o_custkey").alias("path"), (F.col("o_orderstatus") == "F").alias("staged"))
-    return o.groupBy("path").agg(F.count("*").alias("changes"), F.when(F.bool_or("staged"), "staged").otherwise("unstaged").alias("first_seen"))
+    o = t("orders").select(F.col("o_custkey").alias("path"), "o_orderstatus")
+    return au.merged_changes(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"))
 
 
 @query("SELECT n_name, count(DISTINCT c_custkey) AS customers, count(DISTINCT s_suppkey) AS suppliers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 def agg33_coverage(t):
-    c = t("customer").groupBy("c_nationkey").agg(F.countDistinct("c_custkey").alias("customers"))
-    s = t("supplier").groupBy("s_nationkey").agg(F.countDistinct("s_suppkey").alias("suppliers"))
-    n = t("nation")
-    out = n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").join(s, n["n_nationkey"] == s["s_nationkey"], "left")
-    return out.select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"))
+    parts = {"customers": t("customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_custkey").alias("item")), "suppliers": t("supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("item"))}
+    return au.coverage_counts(t("nation").select("n_nationkey", "n_name"), "n_nationkey", parts).drop("n_nationkey")
