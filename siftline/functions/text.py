@@ -61,3 +61,12 @@ def terms(text: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.floor(F.length(text) / 4)
+
+
+# Fixed order of what a message names: a variable, a quoted name, a called function.
+MESSAGE_NAMES = (r"(?i)\bvariable\s+['`\"]?([A-Za-z_][A-Za-z0-9_.]*)", r"[`'\"]([A-Za-z_][A-Za-z0-9_.]*)[`'\"]", r"\b([A-Za-z_][A-Za-z0-9_.]*)\(")
+
+
+def mined_name(message: Column) -> Column:
+    """The first name that a message holds, by the patterns in order; null if there is none."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(message, p, 1), F.lit("")) for p in MESSAGE_NAMES])

@@ -47,3 +47,9 @@ def affected(version: Column, ranges: Column, patched: Column) -> Column:
 def skip_reason(version: Column, confidence: Column) -> Column:
     """Why a dependency is not looked up, in order; null if it is."""
     return F.when(version.isNull(), "no version").when(version == "*", "any version").when(version.contains("${"), "unresolved variable").when(confidence < 0.5, "low confidence")
+
+
+def compared(a: Column, b: Column) -> Column:
+    """1, 0 or -1 as the first version is above, like or below the second; null where one does not parse."""
+    x, y = version_key(a), version_key(b)
+    return F.when(x > y, 1).when(x < y, -1).when(x == y, 0)

@@ -82,3 +82,15 @@ def text_joins(texts: DataFrame, patterns: DataFrame, text: str = "text", patter
         raise ValueError("too many patterns of under five words for one list")
     found = texts.crossJoin(F.broadcast(listed)).select(*texts.columns, F.explode(F.filter("_list", lambda p: F.contains(F.col(text), p[pattern]))).alias("_p"))
     return met.unionByName(found.select(*texts.columns, "_p.*"))
+
+
+def project_structure(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """(language, files, loc) of a project; the language is the extension."""
+    rows = files.select(F.lower(F.regexp_extract(path, r"(\.[A-Za-z0-9]+)$", 1)).alias("language"), F.size(F.split(text, "\n")).alias("loc"))
+    return rows.groupBy("language").agg(F.count("*").alias("files"), F.sum("loc").cast("bigint").alias("loc"))
+
+
+def static_defence(files: DataFrame, patterns: dict[str, str], key: str, text: str = "text") -> DataFrame:
+    """(key, found): names of the defences whose pattern stands in a text, in their order."""
+    hits = F.array(*[F.when(F.regexp_like(text, F.lit(p)), F.lit(name)) for name, p in patterns.items()])
+    return files.select(key, F.array_compact(hits).alias("found"))

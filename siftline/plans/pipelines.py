@@ -94,3 +94,14 @@ def markdown(report: DataFrame, limit: int = 50) -> DataFrame:
     rows = fd.sort_by_score(report).limit(limit)
     line = F.concat(F.lit("| "), F.concat_ws(" | ", "severity", "report_status", "rule_id", "file", F.col("line").cast("string")), F.lit(" |"))
     return rows.select(line.alias("value"))
+
+
+def sync_all(spark, feeds: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """(source, n, error): rows of every feed; one that fails is reported and does not keep the others from running."""
+    rows = []
+    for name, read in feeds.items():
+        try:
+            rows.append((name, read().count(), ""))
+        except Exception as error:  # noqa: BLE001 - the report names whatever a feed raised
+            rows.append((name, 0, f"{type(error).__name__}: {error}"))
+    return spark.createDataFrame(rows, "source string, n bigint, error string")

@@ -77,3 +77,13 @@ def model_findings(replies: DataFrame, file: str = "file", column: str = "reply"
     line = F.regexp_extract("f.location", r"^(.*):(\d+)$", 2).try_cast("int")
     doubtful = s.select(F.when(place != "", place).otherwise(F.col(file)).alias("file"), F.coalesce(line, F.lit(1)).alias("line"), F.lit("low").alias("severity"), F.col("f.why_suspicious").alias("title"), F.lit(None).cast("string").alias("cwe"), "f.confidence")
     return found.unionByName(doubtful)
+
+
+def paged_windows(published: DataFrame, days: int, page: int, column: str = "published") -> DataFrame:
+    """(first_day, last_day, start_index): the requests that read a dated feed, window by window, page by page; one page of an empty window."""
+    ends = published.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).where("lo is not null")
+    windows = ends.select("lo", "hi", F.explode(F.sequence(F.lit(0), F.floor(F.datediff("hi", "lo") / days).cast("int"))).alias("k"))
+    windows = windows.select("k", F.date_add("lo", F.col("k") * days).alias("first_day"), F.least("hi", F.date_add("lo", F.col("k") * days + (days - 1))).alias("last_day"))
+    per = published.crossJoin(F.broadcast(ends)).select(F.floor(F.datediff(column, "lo") / days).cast("int").alias("k")).groupBy("k").agg(F.count("*").alias("total"))
+    pages = F.sequence(F.lit(0).cast("bigint"), F.floor(F.greatest(F.coalesce("total", F.lit(0)) - 1, F.lit(0)) / page))
+    return windows.join(per, "k", "left").select("first_day", "last_day", F.explode(F.transform(pages, lambda p: p * page)).alias("start_index"))

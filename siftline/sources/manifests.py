@@ -44,11 +44,11 @@ def maven(files: DataFrame) -> DataFrame:
     block = F.regexp_extract_all("content", F.lit(r"(?s)<dependency>(.*?)</dependency>"), F.lit(1))
     names = F.regexp_extract_all("content", F.lit(r"<([A-Za-z0-9._-]+)>[^<]*</\1>"), F.lit(1))
     values = F.regexp_extract_all("content", F.lit(r"<([A-Za-z0-9._-]+)>([^<]*)</\1>"), F.lit(2))
-    pairs = F.map_from_entries(F.array_distinct(F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: F.endswith(x["k"], F.lit("version")))))
+    pairs = F.filter(F.arrays_zip(names.alias("k"), values.alias("v")), lambda x: F.endswith(x["k"], F.lit("version")))
     rows = files.select("path", pairs.alias("props"), F.explode(block).alias("d"))
     tag = lambda t: F.nullif(F.trim(F.regexp_extract("d", rf"<{t}>([^<]*)</{t}>", 1)), F.lit(""))
     ref = F.regexp_extract(tag("version"), r"^\$\{([^}]+)\}$", 1)
-    return rows.select("path", F.concat_ws(":", tag("groupId"), tag("artifactId")).alias("name"), F.when(ref != "", F.coalesce(F.try_element_at("props", ref), tag("version"))).otherwise(tag("version")).alias("version"))
+    return rows.select("path", F.concat_ws(":", tag("groupId"), tag("artifactId")).alias("name"), F.when(ref != "", F.coalesce(F.get(F.filter("props", lambda x: x["k"] == ref), F.lit(0))["v"], tag("version"))).otherwise(tag("version")).alias("version"))
 
 
 def git_changes(text: DataFrame, column: str = "line") -> DataFrame:
@@ -62,3 +62,16 @@ def git_changes(text: DataFrame, column: str = "line") -> DataFrame:
     count = lambda k: F.coalesce(F.regexp_extract(column, num, k).try_cast("int"), F.lit(0))
     stat = text.where(F.regexp_like(column, F.lit(num))).select(F.regexp_extract(column, num, 3).alias("path"), count(1).alias("additions"), count(2).alias("deletions"))
     return status.join(stat, "path", "left")
+
+
+def gradle(files: DataFrame) -> DataFrame:
+    """(path, scope, name, version) of Gradle dependency lines, Groovy or Kotlin."""
+    rx = r"^\s*(api|implementation|compileOnly|runtimeOnly|testImplementation|testRuntimeOnly|annotationProcessor|kapt|compile)[\s(]+['\"]([^:'\"]+:[^:'\"]+)(?::([^'\"]+))?['\"]"
+    rows = files.select("path", F.explode(F.split("content", "\n")).alias("line")).where(F.regexp_like("line", F.lit(rx)))
+    return rows.select("path", F.regexp_extract("line", rx, 1).alias("scope"), F.regexp_extract("line", rx, 2).alias("name"), F.nullif(F.regexp_extract("line", rx, 3), F.lit("")).alias("version"))
+
+
+def go_directives(files: DataFrame) -> DataFrame:
+    """(path, module, go_version): the first of either directive of a go.mod."""
+    first = lambda rx: F.nullif(F.regexp_extract("content", rx, 1), F.lit(""))
+    return files.select("path", first(r"(?m)^module\s+(\S+)").alias("module"), first(r"(?m)^go\s+(\S+)").alias("go_version"))
