@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Fixed: the three replacements that the semantic hash depends on.
 def normalize_code(element: Column) -> Column:
     """Whitespace, quotes, separators, variables and literals made alike, lower-cased."""
     t = F.trim(F.regexp_replace(F.coalesce(element, F.lit("")), r"\s+", " "))

@@ -17,22 +17,6 @@ ROUTES = (
     ("express", r"\b(?:app|router)\.(get|post|put|delete|patch|all)\(\s*['\"]([^'\"]+)['\"]"),
     ("spring", r"@(Get|Post|Put|Delete|Patch|Request)Mapping\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]+)\""),
 )
-DOCKER_RULES = {
-    "root_user": r"(?i)^\s*USER\s+root\s*$",
-    "remote_add": r"(?i)^\s*ADD\s+https?://",
-    "exposed_port": r"(?i)^\s*EXPOSE\s+(?:22|23|21)\b",
-    "secret_env": r"(?i)^\s*ENV\s+.*(?:PASSWORD|SECRET|TOKEN|KEY|CREDENTIAL)\s*=",
-    "piped_shell": r"(?i)^\s*RUN\s+.*(?:curl|wget)\s+.*\|\s*(?:sh|bash|zsh)",
-    "latest_tag": r"(?i)^\s*(?:FROM|RUN)\s+.*:latest\b",
-    "open_mode": r"(?i)^\s*RUN\s+.*chmod\s+(?:-R\s+)?(?:777|a\+rwx)",
-    "no_healthcheck": r"(?i)^\s*HEALTHCHECK\s+NONE",
-}
-WORKFLOW_RULES = {
-    "plain_secret": r"(?i)(password|secret|token|api[_-]?key)\s*:\s*['\"]?[A-Za-z0-9+/_=-]{8,}",
-    "untrusted_input": r"\$\{\{\s*github\.event\.(issue|pull_request|comment)[^}]*\}\}",
-    "unpinned_action": r"uses:\s*[^@\s]+@(main|master|latest)\b",
-    "piped_shell": r"(curl|wget)\s[^|]*\|\s*(sudo\s+)?(ba|z)?sh\b",
-}
 
 
 def python_structure(files: DataFrame) -> DataFrame:
@@ -99,12 +83,3 @@ def routes(files: DataFrame) -> DataFrame:
     from ..functions.text import route_path
 
     return rows.select("path", (F.col("k") + 1).alias("line"), "f.framework", method.alias("method"), route_path(F.col("f.route")).alias("route"))
-
-
-def config_findings(files: DataFrame) -> DataFrame:
-    """(path, line_no, rule) of Dockerfile and workflow lines that a rule matches."""
-    from ..operators.detectors import matching_lines
-
-    docker = matching_lines(files.where(F.regexp_like("path", F.lit(r"(^|/)[^/]*[Dd]ockerfile[^/]*$"))), DOCKER_RULES, "path", "content")
-    flows = matching_lines(files.where(F.regexp_like("path", F.lit(r"\.github/workflows/[^/]+\.ya?ml$|\.gitlab-ci\.yml$"))), WORKFLOW_RULES, "path", "content")
-    return docker.unionByName(flows)

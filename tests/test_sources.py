@@ -12,7 +12,7 @@ def _docs(spark, *values):
 
 
 def test_pattern_matches(spark):
-    doc = {"results": [{"check_id": "python.sql-injection.execute", "path": "app.py", "start": {"line": 10, "col": 1}, "end": {"line": 11, "col": 2}, "extra": {"message": "m", "severity": "ERROR", "metadata": {"category": "security", "cwe": ["CWE-89: SQL"], "confidence": "HIGH"}}}]}
+    doc = {"results": [{"check_id": "pack.query-built-by-hand", "path": "app.py", "start": {"line": 10, "col": 1}, "end": {"line": 11, "col": 2}, "extra": {"message": "m", "severity": "ERROR", "metadata": {"category": "security", "cwe": ["CWE-89: SQL"], "confidence": "HIGH"}}}]}
     row = reports.pattern_matches(_docs(spark, doc, "not json")).collect()
     assert len(row) == 1
     assert (row[0].severity, row[0].type, row[0].confidence, row[0].cwe, row[0].end_line) == ("high", "vulnerability", 0.9, "CWE-89", 11)
@@ -23,10 +23,10 @@ def _place(uri, line):
 
 
 def test_sarif_flows(spark):
-    flow = [{"threadFlows": [{"locations": [{"location": _place("source.py", 5)}, {"location": _place("sink.py", 20)}]}]}]
+    flow = [{"threadFlows": [{"locations": [{"location": _place("inbox/read.py", 5)}, {"location": _place("store/write.py", 20)}]}]}]
     doc = {"runs": [{"results": [{"ruleId": "r1", "level": "error", "locations": [_place("file://a.py", 3)], "codeFlows": flow}, {"ruleId": "r2", "level": "note", "locations": [_place("b.py", 4)]}]}]}
     one, two = reports.sarif_results(_docs(spark, doc)).orderBy("rule_id").collect()
-    assert one.complete and [(s.step, s.file, s.line) for s in one.steps] == [(1, "source.py", 5), (2, "sink.py", 20)]
+    assert one.complete and [(s.step, s.file, s.line) for s in one.steps] == [(1, "inbox/read.py", 5), (2, "store/write.py", 20)]
     assert not two.complete and len(two.steps) == 1 and two.severity == "low" and one.file == "a.py"
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import jsonfix, text
-from siftline.sources import structure
+from siftline.sources import structure, surface
 
 
 @pytest.mark.parametrize(
@@ -76,5 +76,5 @@ def test_routes_and_config_rules(spark):
     files = spark.createDataFrame([("s.py", code), ("Dockerfile", docker), (".github/workflows/ci.yml", flow)], "path string, content string")
     got = sorted((r.line, r.framework, r.method, r.route) for r in structure.routes(files).where("path = 's.py'").collect())
     assert got == [(1, "flask", "ANY", "/a/{id}"), (2, "gin", "GET", "/b/{name}"), (3, "fastapi", "POST", "/c"), (4, "spring", "GET", "/d")]
-    found = {(r.path, r.line_no, r.rule) for r in structure.config_findings(files).collect()}
-    assert found == {("Dockerfile", 1, "latest_tag"), ("Dockerfile", 2, "root_user"), ("Dockerfile", 3, "piped_shell"), ("Dockerfile", 4, "secret_env"), (".github/workflows/ci.yml", 2, "unpinned_action"), (".github/workflows/ci.yml", 3, "untrusted_input")}
+    found = {(r.path, r.line, r.rule) for r in surface.config_risks(files).collect()}
+    assert found == {("Dockerfile", 1, "DF008"), ("Dockerfile", 2, "DF001"), ("Dockerfile", 3, "DF007"), ("Dockerfile", 4, "DF005"), (".github/workflows/ci.yml", 2, "unpinned_action"), (".github/workflows/ci.yml", 3, "untrusted_input")}
