@@ -117,11 +117,11 @@ CORRELATION_RULES = (
 )
 
 
-def correlate(evidence: DataFrame, key: str = "candidate_id") -> DataFrame:
+def correlate(evidence: DataFrame, key: str = "candidate_id", rules: tuple[tuple, ...] = CORRELATION_RULES) -> DataFrame:
     """Status of the last rule that a candidate's sources and evidence types satisfy; null if none does."""
     sets = evidence.groupBy(key).agg(F.collect_set("source").alias("sources"), F.collect_set("evidence_type").alias("types"))
     matched = []
-    for name, least, sources, types, status in CORRELATION_RULES:
+    for name, least, sources, types, status in rules:
         has = F.size("sources") >= least
         for required, column in ((sources, "sources"), (types, "types")):
             for x in required:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rounds import ordered_scan
+
 # Fixed lists.
 TEST_DIRS = ("test", "tests", "__tests__", "spec")
 ENTRY_NAMES = ("main", "app", "server", "index", "router", "routes", "controller", "handler", "views", "api")
@@ -49,18 +51,19 @@ def live(cache: DataFrame, as_of: Column, expires: str = "expires_at") -> DataFr
 def token_bucket(requests: DataFrame, rate: float, burst: float, key: str = "user_id", ts: str = "seconds", seq: str = "event_id") -> DataFrame:
     """(key, seq, allowed, left): each request takes a token if one is there; tokens refill by time up to the burst.
 
-    The recurrence is sequential per key, so it folds over that key's requests in order.
+    The recurrence is sequential per key and streams over that key's requests in order.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(ts).cast("double").alias("t"), F.col(seq).alias("s"))))
-    out = "array<struct<s:bigint,allowed:boolean,left:double>>"
-    start = F.struct(F.lit(float(burst)).alias("left"), F.lit(None).cast("double").alias("t"), F.array().cast(out).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        have = F.least(F.lit(float(burst)), acc["left"] + (x["t"] - F.coalesce(acc["t"], x["t"])) * rate)
-        left = F.when(have >= 1, have - 1).otherwise(have)
-        return F.struct(left.alias("left"), x["t"].alias("t"), F.concat(acc["out"], F.array(F.struct(x["s"].cast("bigint").alias("s"), (have >= 1).alias("allowed"), left.alias("left")))).alias("out"))
+    def step(state: tuple, row: tuple) -> tuple[tuple, tuple]:
+        left, last = state
+        name, now = row
+        have = min(float(burst), left + (now - (now if last is None else last)) * rate)
+        left = have - 1 if have >= 1 else have
+        return (left, now), (name, have >= 1, round(left, 6))
 
-    return requests.groupBy(key).agg(F.explode(F.aggregate(rows, start, step, lambda acc: acc["out"])).alias("r")).select(key, F.col("r.s").alias(seq), "r.allowed", F.round("r.left", 6).alias("left"))
+    kinds = dict(requests.dtypes)
+    rows = requests.withColumn("_t", F.col(ts).cast("double"))
+    return ordered_scan(rows, key, ["_t", seq], [seq, "_t"], lambda: (float(burst), None), step, f"{key} {kinds[key]}, {seq} {kinds[seq]}, allowed boolean, left double")
 
 
 def unexpired(df: DataFrame, ts: str, seconds: int) -> DataFrame:

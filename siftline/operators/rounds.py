@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,20 +47,50 @@ def batches(df: DataFrame, kind: str, order: list[Column], size: int = 5) -> Dat
     return df.withColumn("batch", F.floor((rank - 1) / size).cast("bigint"))
 
 
-def greedy_fit(df: DataFrame, key: str, order: list[str], cost: str, budget: int, item: str) -> DataFrame:
-    """(key, item, taken): in order, an item is taken if it still fits; later smaller ones may fit after a skip.
+def ordered_scan(df: DataFrame, key: str, order: list[str], columns: list[str], fresh: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], schema: str) -> DataFrame:
+    """A sequential recurrence over each key's rows in order: ``step`` gives the next state and an output row.
 
-    The fold is sequential by nature, so it runs per key over that key's rows.
+    Rows are sorted where their key is and stream through in batches; a task
+    holds one state and one batch, however many rows a key has.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("bigint").alias("_cost"), F.col(item).alias("_item"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(f"array<{dict(df.dtypes)[item]}>").alias("taken"))
+    names = [part.split()[0] for part in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), None
+        types = None
+        for batch in batches:
+            types = types or pa.schema([(n, _ARROW[t]) for n, t in (part.split() for part in schema.split(", "))])
+            out = []
+            for k, *row in zip(*(batch.column(j).to_pylist() for j in range(batch.num_columns))):
+                if k != last:
+                    last, state = k, fresh()
+                state, made = step(state, tuple(row))
+                out.append((k, *made))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), types)], names=names)
+
+    rows = df.repartition(key).sortWithinPartitions(key, *order)
+    return rows.select(key, *columns).mapInArrow(run, schema)
+
+
+_ARROW = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(), "int": pa.int32()}
+
+
+def greedy_fit(df: DataFrame, key: str, order: list[str], cost: str, budget: int, item: str) -> DataFrame:
+    """(key, item, cost, taken): in order, an item is taken if it still fits; later smaller ones may fit after a skip."""
+    kinds = dict(df.dtypes)
+
+    def step(used: int, row: tuple) -> tuple[int, tuple]:
+        name, price = row
+        fits = used + price <= budget
+        return (used + price if fits else used), (name, price, fits)
+
+    rows = df.withColumn("_cost", F.col(cost).cast("bigint"))
+    return ordered_scan(rows, key, order, [item, "_cost"], int, step, f"{key} {kinds[key]}, {item} {kinds[item]}, cost bigint, taken boolean")
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["_cost"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["_cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["taken"], F.array(x["_item"]))).otherwise(acc["taken"]).alias("taken"))
 
-    folded = df.groupBy(key).agg(F.aggregate(rows, start, step).alias("f"))
-    return folded.select(key, F.size("f.taken").cast("bigint").alias("n_taken"), F.col("f.used").alias("used"), F.array_join(F.transform("f.taken", lambda x: x.cast("string")), ",").alias("taken"))
+def fit_summary(fit: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, n_taken, used) of :func:`greedy_fit`, keys without any taken item included."""
+    return fit.groupBy(key).agg(F.count_if("taken").alias("n_taken"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("cost"))), F.lit(0)).alias("used"))
 
 
 def daily_quota(df: DataFrame, ts: str, seq: str, limit: int, key: str | None = None) -> DataFrame:

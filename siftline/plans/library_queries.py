@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import jsonfix
 from ..functions import text as tx
 from ..functions import versions as vs
+from ..operators import decisions as dc
 from ..operators import detectors as dt
 from ..operators import dedup as dd
 from ..operators import files as fl
 from ..operators import findings as fd
 from ..operators import graph as gr
 from ..operators import intel as it
-from ..sources import feeds, manifests, reports, structure
+from ..sources import feeds, manifests, reports, structure, surface
 from . import pipelines as pl
 from . import table_queries
 from .findings_queries import MERGED, RANK, REPORT
@@ -166,7 +167,7 @@ def src19_poc_repositories(t):
 
 @query("""WITH u AS (SELECT 'a' AS engine, page_id, url, (page_id * 7 % 100) / 100.0e0 AS relevance FROM pages UNION ALL SELECT 'b', page_id, url, (page_id * 11 % 100) / 100.0e0 FROM pages)
   SELECT engine, page_id, relevance FROM (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY relevance DESC, url, page_id) AS rn FROM u) WHERE rn <= 10""")
-def src20_src21_search_union(t):
+def src20_src21_udf9_search_union(t):
     hits = lambda m: t("pages").select("page_id", F.concat("url", F.lit(" "), F.lpad(text("page_id"), 12, "0")).alias("url"), F.lit("t CVE-2020-0001").alias("title"), F.lit("").alias("snippet"), ((F.col("page_id") * m % 100) / 100).alias("relevance"))
     return feeds.search_union({"a": hits(7), "b": hits(11)}).select("engine", "page_id", "relevance")
 
@@ -318,7 +319,7 @@ def det9_aux7_structure(t):
 
 
 @query(f"WITH p AS ({PROGRAMS}) SELECT concat('lib/m', k, '.py:f', k) AS src, concat('lib/m', n, '.py:f', n) AS dst FROM p UNION SELECT concat('lib/m', k, '.py:f', k), concat('lib/m', k, '.py:own') FROM p")
-def grf1_jon12_call_graph(t):
+def grf1_jon12_udf2_call_graph(t):
     return structure.call_graph(structure.python_structure(_programs(t)))[1]
 
 
@@ -484,3 +485,34 @@ def fun11_message_mining(t):
 def fun17_json_repair(t):
     body = F.when(F.col("doc_id") % 2 == 0, "```json\n{'a': 1,}\n```").otherwise("no json")
     return t("documents").select("doc_id", jsonfix.repaired(body).isNotNull().alias("ok"))
+
+
+@query("SELECT candidate_id, CASE WHEN count(DISTINCT source) >= 3 THEN 'all' WHEN bool_or(source = 'codeql') THEN 'flow' END AS rule FROM evidence GROUP BY 1")
+def udf4_correlation_rules_as_data(t):
+    rules = (("flow", 1, ("codeql",), (), "likely"), ("all", 3, (), (), "confirmed"))
+    return dc.correlate(t("evidence"), rules=rules).select("candidate_id", "rule")
+
+
+@query("SELECT doc_id, x.line AS line, x.rule AS rule FROM (SELECT doc_id, unnest(CASE doc_id % 3 WHEN 0 THEN [{'line': 2, 'rule': 'plain_repository'}, {'line': 3, 'rule': 'snapshot_version'}] WHEN 1 THEN [{'line': 1, 'rule': 'plain_repository'}, {'line': 2, 'rule': 'stored_password'}] ELSE [{'line': 2, 'rule': 'unpinned_requirement'}] END) AS x FROM documents)")
+def det15_build_file_risks(t):
+    k = F.col("doc_id")
+    pom = "<project>\n<url>http://repo.example/m</url>\n<version>1.0-SNAPSHOT</version>\n</project>"
+    gradle = 'maven { url "http://repo.example/m" }\nstorePassword "abcdefgh"\n'
+    path = F.concat(F.lit("p"), k.cast("string"), pick(k, "/pom.xml", "/build.gradle", "/requirements.txt"))
+    files = t("documents").select("doc_id", path.alias("path"), pick(k, pom, gradle, "# top\nplain\nother==1.0\n").alias("content"))
+    return surface.build_risks(files).join(files.select("doc_id", "path"), "path").select("doc_id", "line", "rule")
+
+
+@query("SELECT job, count(*) AS runs FROM (SELECT unnest(['hourly', CASE WHEN hour(ts) = 2 THEN 'daily' END]) AS job FROM (SELECT DISTINCT date_trunc('hour', ts) AS ts FROM events)) WHERE job IS NOT NULL GROUP BY 1")
+def udf5_scheduled_jobs(t):
+    hours = t("events").select(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("at")).distinct()
+    return pl.due_jobs(hours, {"hourly": F.lit(True), "daily": F.hour("at") == 2}).groupBy("job").agg(F.count("*").alias("runs"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, max(p_partkey) AS last FROM part")
+def str3_row_iteration(t):
+    """Rows one partition at a time, as a reader that keeps none would take them."""
+    n, last = 0, 0
+    for row in t("part").select("p_partkey").sortWithinPartitions("p_partkey").toLocalIterator(prefetchPartitions=True):
+        n, last = n + 1, max(last, row[0])
+    return t("part").sparkSession.createDataFrame([(n, last)], "n bigint, last bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import decisions as dc
@@ -105,3 +105,9 @@ def sync_all(spark, feeds: dict[str, Callable[[], DataFrame]]) -> DataFrame:
         except Exception as error:  # noqa: BLE001 - the report names whatever a feed raised
             rows.append((name, 0, f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(rows, "source string, n bigint, error string")
+
+
+def due_jobs(times: DataFrame, jobs: dict[str, Column], column: str = "at") -> DataFrame:
+    """(at, job) of the jobs, the caller's own among them, whose condition holds at a time."""
+    due = F.array_compact(F.array(*[F.when(when, F.lit(name)) for name, when in jobs.items()]))
+    return times.select(column, F.explode(due).alias("job"))

@@ -309,10 +309,10 @@ def win14_batches(t):
 @query("""WITH RECURSIVE o AS (SELECT o_custkey AS k, o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS cost, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderkey) AS n FROM orders),
   f(k, n, used, cnt, taken) AS (SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), '' FROM o UNION ALL SELECT o.k, o.n, CASE WHEN f.used + o.cost <= 300000 THEN f.used + o.cost ELSE f.used END, CASE WHEN f.used + o.cost <= 300000 THEN f.cnt + 1 ELSE f.cnt END,
   CASE WHEN f.used + o.cost <= 300000 THEN CASE WHEN f.taken = '' THEN CAST(o.id AS VARCHAR) ELSE concat(f.taken, ',', CAST(o.id AS VARCHAR)) END ELSE f.taken END FROM f JOIN o ON o.k = f.k AND o.n = f.n + 1)
-  SELECT k AS o_custkey, arg_max(cnt, n) AS n_taken, arg_max(used, n) AS used, arg_max(taken, n) AS taken FROM f GROUP BY 1""")
+  SELECT k AS o_custkey, arg_max(cnt, n) AS n_taken, arg_max(used, n) AS used FROM f GROUP BY 1""")
 def win13_win15_greedy_fit(t):
     df = t("orders").withColumn("cost", F.floor("o_totalprice").cast("bigint"))
-    return rd.greedy_fit(df, "o_custkey", ["o_orderpriority", "o_orderkey"], "cost", 300000, "o_orderkey")
+    return rd.fit_summary(rd.greedy_fit(df, "o_custkey", ["o_orderpriority", "o_orderkey"], "cost", 300000, "o_orderkey"), "o_custkey", "o_orderkey")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) <= 20 AS allowed FROM events")

@@ -68,6 +68,20 @@ WORKFLOW_RULES = (
     ("target_checkout", "high", r"(?s)pull_request_target.*actions/checkout"),
     ("unpinned_action", "low", r"uses:\s*[^@\s]+@(?:main|master|latest)\b"),
 )
+# Rules of build files, by the names of this package: file ending, rule, risk, pattern.
+_MAVEN, _GRADLE, _PIP = r"(^|/)pom\.xml$", r"\.gradle(\.kts)?$", r"(^|/)(requirements[^/]*\.txt|setup\.py|pyproject\.toml)$"
+BUILD_RULES = (
+    (_MAVEN, "plain_repository", "medium", r"<url>\s*http://"),
+    (_MAVEN, "snapshot_version", "low", r"<version>[^<]*-SNAPSHOT</version>"),
+    (_MAVEN, "stored_password", "high", r"(?i)<[\w.-]*(?:password|passphrase|secret)[\w.-]*>[^<$]+</"),
+    (_GRADLE, "plain_repository", "medium", r"url\s*[(=]?\s*['\"]http://"),
+    (_GRADLE, "stored_password", "high", r"(?i)\b(?:storePassword|keyPassword|password)\s*[(=]?\s*['\"][^'\"$]+['\"]"),
+    (_GRADLE, "debuggable_release", "medium", r"(?s)\brelease\s*\{[^}]*\bdebuggable\s*=?\s*true"),
+    (_GRADLE, "moving_version", "low", r"['\"][\w.-]+:[\w.-]+:[\w.]*\+['\"]"),
+    (_PIP, "plain_repository", "medium", r"(?m)^\s*(?:-i|--index-url|--extra-index-url)[ =]http://"),
+    (_PIP, "unpinned_requirement", "low", r"(?m)^[A-Za-z][\w.-]*(?:\[[^\]]*\])?[ \t]*$"),
+    (_PIP, "stored_password", "high", r"(?i)://[^/\s:@]+:[^/\s:@$]+@"),
+)
 CONTAINER_FILES = r"(^|/)[^/]*[Dd]ockerfile[^/]*$"
 WORKFLOW_FILES = r"(^|/)\.github/workflows/[^/]+\.ya?ml$|(^|/)\.gitlab-ci\.yml$"
 
@@ -160,6 +174,16 @@ def config_risks(files: DataFrame) -> DataFrame:
     return config_files(files).select("path", F.explode(F.concat(*found)).alias("r")).select("path", "r.*")
 
 
+def build_risks(files: DataFrame) -> DataFrame:
+    """(path, line, rule, risk) of every match of a rule in the Maven, Gradle and Python build files."""
+    found = []
+    for ending, rule, risk, pattern in BUILD_RULES:
+        rows = F.transform(located(F.col("content"), pattern), _risk(rule, risk))
+        wanted = F.regexp_like("path", F.lit(ending)) & F.regexp_like("content", F.lit(pattern))
+        found.append(F.when(wanted, rows).otherwise(F.array().cast("array<struct<line:int,rule:string,risk:string>>")))
+    return files.select("path", F.explode(F.concat(*found)).alias("r")).select("path", "r.*")
+
+
 def rule_files(files: DataFrame) -> DataFrame:
     """(path, rule_id, severity, languages) of YAML rule files: items of ``rules`` begin with a dash and their id."""
     head = r"(?m)^\s*-\s+id:\s*(\S+)\s*$"
