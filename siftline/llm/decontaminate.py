@@ -13,12 +13,14 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textscan import scan_words, shingles, tidy
 
 WIDTH = 5
@@ -29,6 +31,8 @@ BLOCKS = 4
 #: Items a pass; more are taken in further passes over the documents.
 ITEMS_A_PASS = 20_000
 BYTES_A_PASS = 32 << 20
+#: Rows with a leak that may travel to every executor.
+SHIPPED_ROWS = 50_000
 _BLOOM_BITS = 22
 _SEEN = 20_000
 _POP16 = np.array([bin(x).count("1") for x in range(1 << 16)], np.uint8)
@@ -130,6 +134,20 @@ class Items:
         return [best[i] for i in sorted(best)]
 
 
+class Pass:
+    """Items of one pass as they travel; a worker builds their index once, for all its tasks."""
+
+    def __init__(self, ids: list, texts: list[str]):
+        self.ids, self.texts = ids, texts
+
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "texts": self.texts}
+
+    @cached_property
+    def items(self) -> Items:
+        return Items(self.ids, self.texts)
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and item found in it: id, item id, similarity, first_word, n_words of the best window.
 
@@ -148,7 +166,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     out = None
     for k in range(passes):
         part = texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("id", "text").collect()
-        shared = spark.sparkContext.broadcast(([r["id"] for r in part], [r["text"] for r in part]))
+        shared = spark.sparkContext.broadcast(Pass([r["id"] for r in part], [r["text"] for r in part]))
         found = _search(docs, shared, id_col, text_col, items.schema[item_col].dataType.simpleString(), item_col, threshold)
         out = found if out is None else out.unionByName(found)
     return out
@@ -159,9 +177,8 @@ def _search(docs: DataFrame, shared, id_col: str, text_col: str, item_kind: str,
     names = [id_col, item_col, "similarity", "first_word", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = None
         for batch in batches:
-            items = items or Items(*shared.value)
+            items = shared.value.items
             for words in scan_words(batch.column(1)):
                 keys, rows, _ = shingles(words, WIDTH)
                 touched = np.unique(rows[items.bloom[(keys >> np.uint64(64 - _BLOOM_BITS)).astype(np.int64)]])
@@ -184,5 +201,5 @@ def _search(docs: DataFrame, shared, id_col: str, text_col: str, item_kind: str,
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose id and text hold an item; rows with a null id are judged by their text."""
     row = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag")).alias("own"), F.col(text_col).alias("text"))
-    leaks = find_leaks(row, items, "own", "text").select("own").distinct()
-    return row.join(leaks, "own", "left_anti").select("row.*")
+    leaks = Scratch(docs.sparkSession).table(find_leaks(row, items, "own", "text").select("own").distinct(), "leaks")
+    return row.join(F.broadcast(leaks) if leaks.count() <= SHIPPED_ROWS else leaks, "own", "left_anti").select("row.*")

@@ -162,10 +162,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # whole rows travel in one column, so that no name can clash
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), text_tag(F.col(text_col).cast("string")).alias("tag"))
     same = lambda other: rows["id"].eqNullSafe(other["own_id"]) & rows["tag"].eqNullSafe(other["own_tag"])
-    out = rows.join(gone, same(gone), "left_anti").select("row")
+    few = gone.count() <= SHIPPED_ROWS
+    out = rows.join(F.broadcast(gone) if few else gone, same(gone), "left_anti").select("row")
     again = gone.where("stays")
     if not again.isEmpty():
-        out = out.union(rows.join(again, same(again)).groupBy("own_id", "own_tag").agg(F.first("row").alias("row")).select("row"))
+        out = out.union(rows.join(F.broadcast(again) if few else again, same(again)).groupBy("own_id", "own_tag").agg(F.first("row").alias("row")).select("row"))
     return out.select("row.*")
 
 
