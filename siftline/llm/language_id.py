@@ -13,7 +13,6 @@ tables once. More languages than PASS_LANGUAGES are parsed in several passes.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
 from functools import cache, lru_cache
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .textscan import tidy
+from .textscan import release
 
 #: Bounds of the sample: normalised characters and documents a language.
 SAMPLE_CHARS = 24_000
@@ -229,20 +228,22 @@ def _held(raw: bytes) -> Model:
     return pickle.loads(raw)
 
 
-def predict(docs: DataFrame, model: Model, id_cols: list[str], text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_cols: list[str], text_col: str | None = "text", field: str | None = None) -> DataFrame:
     """``id_cols`` with lang_pred, score and n_letters of every row; ``und`` and 0 for null texts, texts without letters, and all texts if no language was learned.
 
     The score is one less the winner's cost over the runner-up's, 1 if there is
-    no other language. No id column may have one of the three names.
+    no other language. No id column may have one of the three names. With
+    ``field`` the text is that field of the first id column, a struct.
     """
     passes = model.passes()
+    text = F.col(id_cols[0]).getField(field) if field else F.col(text_col)
     if len(passes) == 1:
-        return _costed(docs, passes[0], id_cols, text_col).select(*id_cols, *_verdict(F.col("first"), F.col("cost"), F.col("next"), F.col("n_letters")))
+        return _costed(docs, passes[0], id_cols, text).select(*id_cols, *_verdict(F.col("first"), F.col("cost"), F.col("next"), F.col("n_letters")))
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.table(docs.select(F.struct(*id_cols).alias("ids"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("n")), "texts")
+    rows = scratch.table(docs.select(F.struct(*id_cols).alias("ids"), text.alias("text"), F.monotonically_increasing_id().alias("n")), "texts")
     found = None
     for k, part in enumerate(passes):
-        one = scratch.table(_costed(rows, part, ["n"], "text"), f"pass-{k}")
+        one = scratch.table(_costed(rows, part, ["n"], F.col("text")), f"pass-{k}")
         found = one if found is None else found.unionByName(one)
     # the least of the firsts wins; the runner-up is the least of its own next and the other passes' firsts
     firsts = F.array_sort(F.collect_list(F.struct("cost", "first", "next")))
@@ -258,31 +259,30 @@ def _verdict(first: Column, cost: Column, following: Column, letters: Column) ->
     return [F.when(some, first).otherwise("und").alias("lang_pred"), F.when(some, score).otherwise(0.0).alias("score"), letters.alias("n_letters")]
 
 
-def _costed(docs: DataFrame, model: Model, id_cols: list[str], text_col: str) -> DataFrame:
-    """``id_cols`` with first (language of least cost), cost, next (the runner-up's cost) and n_letters."""
+def _costed(docs: DataFrame, model: Model, id_cols: list[str], text: Column) -> DataFrame:
+    """``id_cols`` with first (language of least cost), cost, next (the runner-up's cost) and n_letters. Only texts reach the workers."""
     raw = pickle.dumps(model)
-    kinds = [docs.schema[c] for c in id_cols]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds) + ", first string, cost double, next double, n_letters bigint"
-    names = [*id_cols, "first", "cost", "next", "n_letters"]
+    fields = [pa.field("first", pa.string()), pa.field("cost", pa.float64()), pa.field("next", pa.float64()), pa.field("n_letters", pa.int64())]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(texts: pa.Array) -> pa.Array:
         own = _held(raw)
         langs = np.array([*own.languages, None], object)
-        for batch in batches:
-            texts = pc.fill_null(batch.column(len(id_cols)), "")
-            ends = np.cumsum(pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-            begin = 0
-            while begin < len(texts):
-                base = ends[begin - 1] if begin else 0
-                end = max(int(np.searchsorted(ends, base + SLICE_CHARS, "right")), begin + 1)
-                costs, letters = own.costs(texts.slice(begin, end - begin).to_pylist())
-                best, cost, following = best_two(costs)
-                first = langs[best] if own.languages else np.full(len(best), None)
-                columns = [batch.column(k).slice(begin, end - begin) for k in range(len(id_cols))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(first, pa.string()), pa.array(cost), pa.array(following), pa.array(letters.astype(np.int64))], names=names)
-                begin = end
-
-    return docs.select(*id_cols, F.col(text_col).cast("string").alias("_siftline_text")).mapInArrow(tidy(run), schema)
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        begin, parts = 0, []
+        while begin < len(texts):
+            base = ends[begin - 1] if begin else 0
+            end = max(int(np.searchsorted(ends, base + SLICE_CHARS, "right")), begin + 1)
+            costs, letters = own.costs([t or "" for t in texts.slice(begin, end - begin).to_pylist()])
+            best, cost, following = best_two(costs)
+            first = langs[best] if own.languages else np.full(len(best), None)
+            parts.append(pa.StructArray.from_arrays([pa.array(first, pa.string()), pa.array(cost), pa.array(following), pa.array(letters.astype(np.int64))], fields=fields))
+            begin = end
+        release()
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
+
+    # a deterministic function would run once more in each filter on its result
+    udf = F.arrow_udf(parse, "first string, cost double, next double, n_letters bigint").asNondeterministic()
+    return docs.select(*id_cols, udf(text.cast("string")).alias("_siftline_found")).select(*id_cols, "_siftline_found.*")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
