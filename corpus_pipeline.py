@@ -25,8 +25,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     columns do not count, and an empty table gives an empty one.
     """
     model = language_id.fit(docs.where(~language_id.held_out()))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    found = language_id.predict(rows, model, ["row"]).where("n_letters > 0")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    found = language_id.predict(rows, model, ["row"], None, "text").where("n_letters > 0")
     lang = F.coalesce(F.col("row").getField("lang"), F.nullif("lang_pred", F.lit("und")))
     return found.select(*[(lang if c == "lang" else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
