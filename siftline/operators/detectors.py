@@ -65,12 +65,13 @@ def text_joins(texts: DataFrame, patterns: DataFrame, text: str = "text", patter
     text, each as one expression.
     """
     words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    # the words of a text are cut once: a column of their own, not an expression inside the loop over them
     runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (ANCHOR_WORDS - 1), F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice(w, k, ANCHOR_WORDS), " ")))
     library = patterns.withColumn("_w", words(F.col(pattern)))
     long = library.where(F.size("_w") >= ANCHOR_WORDS + 2)
     anchored = long.withColumn("_anchor", F.xxhash64(F.array_join(F.slice("_w", 2, ANCHOR_WORDS), " "))).drop("_w")
-    tagged = texts.withColumn("_row", F.struct(*texts.columns))
-    keys = tagged.where(F.col(text).isNotNull()).select("_row", F.explode(F.array_distinct(runs(words(F.col(text))))).alias("_anchor"))
+    cut = texts.where(F.col(text).isNotNull()).select(F.struct(*texts.columns).alias("_row"), F.transform(F.array(words(F.col(text))), lambda w: F.array_distinct(runs(w)))[0].alias("_runs"))
+    keys = cut.select("_row", F.explode("_runs").alias("_anchor"))
     small = anchored.count() <= SHIPPED_PATTERNS
     met = keys.join(F.broadcast(anchored) if small else anchored, "_anchor").select("_row.*", *patterns.columns)
     met = met.where(F.contains(F.col(text), F.col(pattern)))
