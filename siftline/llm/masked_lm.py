@@ -9,12 +9,14 @@ on its own share of the words, so that every word is a target once: each
 partition starts from the shared weights, takes steps on its words, and the
 weights are averaged by the words seen. A score is the sum of the conditional
 log-probabilities of all words of a document; a word that shares an id adds the
-log-probability of the word within its id, from the counts of the corpus.
+log-probability of the word within its id, from the counts of the corpus: a
+bounded head of frequent words is looked up, all others are joined by word.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ PER_CLASS = 32
 VOCABULARY = CLASSES * PER_CLASS
 #: Ids for words outside the vocabulary, by hash.
 SHARED_IDS = 32
+#: Most words that travel to every worker with their share (16 bytes each); the shares of all others are joined.
+HEAD_WORDS = 1 << 16
 DIM = 24
 OFFSETS = (-2, -1, 1, 2)
 ROUNDS = 4
@@ -138,17 +142,42 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> tuple[np.ndarray, DataFrame]:
-    """Hashes of the most frequent words, most frequent first, and (word, log_share) of all others: the log of their share of the id they have in common."""
+@dataclass
+class Head:
+    """Most frequent of the words that share ids, sorted by hash, with the log of their share."""
+
+    words: np.ndarray
+    log_share: np.ndarray
+
+
+def vocabulary(counts: DataFrame, most: int | None = None) -> tuple[np.ndarray, Head, DataFrame]:
+    """Hashes of the most frequent words, most frequent first; shares of the next words; (word, log_share) of all others.
+
+    A share is the log of a word's part of the id it shares. The head holds at
+    most ``most`` words (HEAD_WORDS unless given): all of the upper frequency
+    levels, eighths of an octave each, that fit as a whole.
+    """
+    most = HEAD_WORDS if most is None else most
     top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - SHARED_IDS).collect()
     rest = counts.where(F.lit(False))
     if top:
         n, word = F.lit(top[-1]["n"]), F.lit(top[-1]["word"])
         rest = counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
     rest = rest.withColumn("shared", F.pmod(F.shiftrightunsigned("word", 40), F.lit(SHARED_IDS)))
+    rest = rest.withColumn("level", F.floor(F.log2("n") * 8))
     sizes = rest.groupBy("shared").agg(F.sum("n").alias("all"))
-    shares = rest.join(F.broadcast(sizes), "shared").select("word", (F.log("n") - F.log("all")).alias("log_share"))
-    return np.array([r["word"] for r in top], np.int64).view(np.uint64), shares
+    shares = rest.join(F.broadcast(sizes), "shared").select("word", "level", (F.log("n") - F.log("all")).alias("log_share"))
+    lowest, held = 1 << 10, 0
+    for row in rest.groupBy("level").count().orderBy(F.desc("level")).collect():
+        held += row["count"]
+        if held > most:
+            break
+        lowest = row["level"]
+    head = shares.where(F.col("level") >= lowest).drop("level").toArrow()
+    words, logs = (head.column(k).to_numpy() for k in range(2))
+    words = words.view(np.uint64)
+    order = np.argsort(words)
+    return np.array([r["word"] for r in top], np.int64).view(np.uint64), Head(words[order], logs[order]), shares.where(F.col("level") < lowest).drop("level")
 
 
 def encode(hashes: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarray:
@@ -160,27 +189,35 @@ def encode(hashes: np.ndarray, words: np.ndarray, order: np.ndarray) -> np.ndarr
     return np.where(words[spot] == hashes, spot, shared).astype(np.uint16)
 
 
-def _encoded(docs: DataFrame, words: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(id, row, ids, rare) of every row; rare holds the hashes of the words that share an id."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def _encoded(docs: DataFrame, words: np.ndarray, head: Head, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, ids, known, rare) of every row; known sums the shares of its words of the head, rare holds the hashes of the other words that share an id."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, head.words, head.log_share))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, head_words, log_share = shared.value
         order = np.argsort(own)
         for batch in batches:
             for part in scan_words(batch.column(1)):
                 ids = encode(part.hashes, own, order)
                 offsets = (part.first * 2).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), part.rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                alike = ids >= VOCABULARY - SHARED_IDS
-                bounds = np.concatenate(([0], np.cumsum(alike)))[part.first].astype(np.int32)
+                alike = np.flatnonzero(ids >= VOCABULARY - SHARED_IDS)
+                known = np.zeros(part.rows)
+                if len(head_words):
+                    hashes = part.hashes[alike]
+                    spot = np.minimum(np.searchsorted(head_words, hashes), len(head_words) - 1)
+                    held = head_words[spot] == hashes
+                    rows = np.searchsorted(part.first, alike[held], "right") - 1
+                    known = np.bincount(rows, weights=log_share[spot[held]], minlength=part.rows).astype(np.float64)
+                    alike = alike[~held]
+                bounds = np.searchsorted(alike, part.first).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(bounds), pa.array(part.hashes[alike].view(np.int64)))
                 own_rows = [batch.column(k).slice(part.row0, part.rows) for k in (0, 2)]
-                yield pa.RecordBatch.from_arrays([*own_rows, column, rare], names=["id", "row", "ids", "rare"])
+                yield pa.RecordBatch.from_arrays([*own_rows, column, pa.array(known), rare], names=["id", "row", "ids", "known", "rare"])
 
     columns = [F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row")]
-    return docs.select(*columns).mapInArrow(tidy(run), f"id {kind}, row bigint, ids binary, rare array<bigint>")
+    return docs.select(*columns).mapInArrow(tidy(run), f"id {kind}, row bigint, ids binary, known double, rare array<bigint>")
 
 
 def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -229,7 +266,7 @@ def train(encoded: DataFrame, rounds: int = ROUNDS) -> Network:
 
 
 def score(encoded: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame:
-    """(id, row, n_words, log_likelihood) of every encoded document, by the ids of its words."""
+    """(id, row, known, n_words, log_likelihood) of every encoded document, the last by the ids of its words."""
     shared = encoded.sparkSession.sparkContext.broadcast(net.flat)
     kind = encoded.schema["id"].dataType.simpleString()
 
@@ -246,9 +283,9 @@ def score(encoded: DataFrame, net: Network, id_col: str = "doc_id") -> DataFrame
             sums = np.zeros(len(n))
             if some.any():
                 sums[some] = np.add.reduceat(logs, first[:-1][some])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(sums)], names=[id_col, "_siftline_row", "n_words", "log_likelihood"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(n.astype(np.int64)), pa.array(sums)], names=[id_col, "_siftline_row", "_siftline_known", "n_words", "log_likelihood"])
 
-    return encoded.select("id", "row", "ids").mapInArrow(tidy(run), f"`{id_col}` {kind}, _siftline_row bigint, n_words bigint, log_likelihood double")
+    return encoded.select("id", "row", "ids", "known").mapInArrow(tidy(run), f"`{id_col}` {kind}, _siftline_row bigint, _siftline_known double, n_words bigint, log_likelihood double")
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,11 +301,12 @@ def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     result; other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
-    words, shares = vocabulary(scratch.table(word_counts(docs, text_col), "words"))
-    encoded = scratch.table(_encoded(docs, words, id_col, text_col), "ids")
+    words, head, shares = vocabulary(scratch.table(word_counts(docs, text_col), "words"))
+    encoded = scratch.table(_encoded(docs, words, head, id_col, text_col), "ids")
     rare = encoded.select(F.col("row").alias("_siftline_row"), F.explode("rare").alias("word")).join(shares, "word")
     rare = rare.groupBy("_siftline_row").agg(F.sum("log_share").alias("_siftline_rare"))
     out = score(encoded, train(encoded), id_col).join(rare, "_siftline_row", "left")
-    out = out.withColumn("word_log_likelihood", F.col("log_likelihood") + F.coalesce("_siftline_rare", F.lit(0.0))).drop("_siftline_row", "_siftline_rare")
+    total = F.col("log_likelihood") + F.col("_siftline_known") + F.coalesce("_siftline_rare", F.lit(0.0))
+    out = out.withColumn("word_log_likelihood", total).drop("_siftline_row", "_siftline_known", "_siftline_rare")
     mean = F.col("word_log_likelihood") / F.nullif(F.col("n_words"), F.lit(0))
     return out.withColumn("mean_log", mean).withColumn("perplexity", F.exp(-mean))

@@ -186,7 +186,9 @@ def test_every_word_is_a_target_of_one_round():
     assert {0, 1, 3, 6} <= set(rounds[0])
 
 
-def test_rare_words_are_told_apart_within_their_id(spark):
+@pytest.mark.parametrize("head", [masked_lm.HEAD_WORDS, 20, 0])
+def test_rare_words_are_told_apart_within_their_id(spark, monkeypatch, head):
+    monkeypatch.setattr(masked_lm, "HEAD_WORDS", head)
     common = " ".join(f"c{k}" for k in range(masked_lm.VOCABULARY - masked_lm.SHARED_IDS))
     rare = [f"x{k}" for k in range(200)]
     docs = spark.createDataFrame([(k, common) for k in range(9)] + [(10, " ".join(rare)), (11, "x0 x0 x0 x0"), (12, "x0"), (12, "x1"), (13, "c1")], "doc_id long, text string")
