@@ -65,57 +65,67 @@ class Network:
         """Log-probability of each target given its context (offsets x targets)."""
         h = self.hidden(context)
         group, word = target // PER_CLASS, target % PER_CLASS
-        scores = h @ self.cls + self.cls_bias
-        out = scores[np.arange(len(h)), group] - _logsum(scores)
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                scores = h[rows] @ self.word[c] + self.word_bias[c]
-                out[rows] += scores[np.arange(len(rows)), word[rows]] - _logsum(scores)
+        scores = _scores(h, self.cls, self.cls_bias)
+        out = scores[group, np.arange(len(h))] - _logsum(scores)
+        for c, rows in _by_class(group):
+            scores = _scores(h[rows], self.word[c], self.word_bias[c])
+            out[rows] += scores[word[rows], np.arange(len(rows))] - _logsum(scores)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> Network:
         """Gradient of the mean negative log-probability, shaped as the weights."""
-        g = Network(np.zeros(self.length))
+        g = Network(np.zeros(self.length, np.float32))
         h = self.hidden(context)
         n = len(target)
         group, word = target // PER_CLASS, target % PER_CLASS
-        p = _softmax(h @ self.cls + self.cls_bias)
-        p[np.arange(n), group] -= 1
+        p = _softmax(_scores(h, self.cls, self.cls_bias))
+        p[group, np.arange(n)] -= 1
         p /= n
-        g.cls += h.T @ p
-        g.cls_bias += p.sum(0)
-        back = p @ self.cls.T
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            rows = order[bounds[c] : bounds[c + 1]]
-            if len(rows):
-                p = _softmax(h[rows] @ self.word[c] + self.word_bias[c])
-                p[np.arange(len(rows)), word[rows]] -= 1
-                p /= n
-                g.word[c] += h[rows].T @ p
-                g.word_bias[c] += p.sum(0)
-                back[rows] += p @ self.word[c].T
+        g.cls += (p @ h).T
+        g.cls_bias += p.sum(1)
+        back = (self.cls @ p).T
+        for c, rows in _by_class(group):
+            p = _softmax(_scores(h[rows], self.word[c], self.word_bias[c]))
+            p[word[rows], np.arange(len(rows))] -= 1
+            p /= n
+            g.word[c] += (p @ h[rows]).T
+            g.word_bias[c] += p.sum(1)
+            back[rows] += (self.word[c] @ p).T
         back *= 1 - h * h
         g.bias += back.sum(0)
         for k in range(len(OFFSETS)):
-            order = np.argsort(context[k], kind="stable")
-            ids, first = np.unique(context[k][order], return_index=True)
-            g.embed[k][ids] += np.add.reduceat(back[order], first, axis=0)
+            near = context[k].astype(np.uint16)
+            order = np.argsort(near, kind="stable")
+            near = near[order]
+            first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
+            g.embed[k][near[first]] += np.add.reduceat(back[order], first, axis=0)
         return g
 
 
+def _scores(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Choices x positions, so that sums over the choices run along whole rows."""
+    return weights.T @ h.T + bias[:, None]
+
+
+def _by_class(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Positions of each class that has any."""
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=CLASSES))
+    for c in range(CLASSES):
+        rows = order[ends[c - 1] if c else 0 : ends[c]]
+        if len(rows):
+            yield c, rows
+
+
 def _logsum(scores: np.ndarray) -> np.ndarray:
-    top = scores.max(axis=1)
-    return top + np.log(np.exp(scores - top[:, None]).sum(axis=1))
+    top = scores.max(axis=0)
+    return top + np.log(np.exp(scores - top).sum(axis=0))
 
 
 def _softmax(scores: np.ndarray) -> np.ndarray:
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    e = np.exp(scores - scores.max(axis=0))
+    e /= e.sum(axis=0)
+    return e
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
