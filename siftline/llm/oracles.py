@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .ball_tree import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, SEED
+from .host_quality import BASE, REJECT_RATE, WORD, WORD_CHAR
+from .host_quality import RULES as QUALITY_RULES
 from .secret_scan import RULES as SECRET_RULES
 from .url_filter import RULES as URL_RULES
 
@@ -70,4 +73,45 @@ c(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT c.x, p.y FROM c J
 n AS (SELECT x, count(*) AS n_links FROM p GROUP BY 1), m AS (SELECT x, min(y) AS component_id FROM c GROUP BY 1)
 SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN m ON m.x = vec_id LEFT JOIN n ON n.x = vec_id"""
 
-ORACLES = {"op1_embedding_dedup": VECTORS, "op2_source_mixing": MIXING, "op6_warc_fixity": _warc(), "op7_url_filter": _urls(), "op9_secret_scan": _secrets()}
+
+
+def _quality() -> str:
+    failed = ", ".join(f"count(*) FILTER (WHERE {test}) AS f_{rule}" for rule, test in QUALITY_RULES.items())
+    totals = ", ".join(f"sum(f_{r}) / sum(n) AS m_{r}, sum(CAST(f_{r} AS DOUBLE) * f_{r} / n) AS s_{r}" for r in QUALITY_RULES)
+    over = ", ".join(f"m_{r} * (1 - m_{r}) * (n - n2 / n - (k - 1)) AS o_{r}, s_{r} - n * m_{r} * m_{r} - m_{r} * (1 - m_{r}) * (k - 1) AS d_{r}" for r in QUALITY_RULES)
+    rate = lambda r: f"CASE WHEN o_{r} <= 0 OR d_{r} <= 0 THEN m_{r} WHEN d_{r} >= o_{r} THEN f_{r} / h.n ELSE (f_{r} + m_{r} * (o_{r} - d_{r}) / d_{r}) / (h.n + (o_{r} - d_{r}) / d_{r}) END"
+    verdict = " ".join(f"WHEN {rate(r)} > {REJECT_RATE} THEN '{r}'" for r in QUALITY_RULES)
+    base = " OR ".join(f"({QUALITY_RULES[r]})" for r in BASE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{WORD_CHAR}')) AS lines FROM d),
+w AS (SELECT rid, unnest(range(1, len(words) - 1)) AS i, unnest(list_transform(range(1, len(words) - 1), lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS three FROM d WHERE len(words) > 2),
+t AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, three) AS times FROM w),
+c AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM t, (SELECT unnest([0, 1, 2]) AS k) WHERE times > 1 GROUP BY rid),
+m AS (SELECT d.rid, doc_id, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words FROM d JOIN l USING (rid) LEFT JOIN c ON c.rid = d.rid),
+h AS (SELECT source, count(*) AS n, {failed} FROM m GROUP BY source),
+a AS (SELECT count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(CAST(n AS DOUBLE) * n) AS n2, {totals} FROM h), b AS (SELECT *, {over} FROM a),
+v AS (SELECT source, CASE {verdict} END AS host_rule FROM h, b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, {base} AS base_failed, host_rule, NOT ({base}) AND host_rule IS NULL AS kept FROM m JOIN v ON v.source IS NOT DISTINCT FROM m.source"""
+
+
+def _clusters() -> str:
+    steps = []
+    for r in range(ROUNDS + 1):
+        steps.append(f"""p{r} AS (SELECT rid, vec_id, cell, c, list_sum(list_transform(list_zip(cell, mid), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS apart FROM v, c{r}),
+n{r} AS (SELECT rid, vec_id, any_value(cell) AS cell, arg_min(c, apart * 100 + c) AS c, CAST(min(apart) AS BIGINT) AS apart FROM p{r} GROUP BY rid, vec_id)""")
+        if r < ROUNDS:
+            steps.append(f"""s{r} AS (SELECT c, axis, sum(x) AS total, count(*) AS n FROM (SELECT c, unnest(range({DIMENSIONS})) AS axis, unnest(cell) AS x FROM n{r}) GROUP BY c, axis),
+m{r} AS (SELECT c, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY axis) AS mid FROM s{r} GROUP BY c),
+c{r + 1} AS (SELECT c{r}.c, coalesce(m{r}.mid, c{r}.mid) AS mid FROM c{r} LEFT JOIN m{r} USING (c))""")
+    return f"""
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {SCALE}) AS BIGINT)) AS cell FROM embeddings
+  WHERE len(embedding) = {DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+c0 AS (SELECT c - 1 AS c, mid FROM (SELECT row_number() OVER (ORDER BY sha256('{SEED}:' || coalesce(CAST(vec_id AS VARCHAR), '')), cell) AS c, cell AS mid FROM v) WHERE c <= {CLUSTERS}),
+{', '.join(steps)}
+SELECT vec_id, CAST(n.c AS INTEGER) AS cluster, apart AS distance, CAST(sum(apart) OVER (PARTITION BY n.c) AS BIGINT) AS cluster_inertia, CAST(sum(apart) OVER () AS BIGINT) AS inertia, sha256(array_to_string(mid, ',')) AS centroid_sha256
+FROM n{ROUNDS} n JOIN c{ROUNDS} k ON k.c = n.c"""
+
+
+ORACLES = {"op11_host_quality": _quality(), "op12_ball_tree_clusters": _clusters(), "op1_embedding_dedup": VECTORS, "op2_source_mixing": MIXING, "op6_warc_fixity": _warc(), "op7_url_filter": _urls(), "op9_secret_scan": _secrets()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, language_id, masked_lm, mixing, order_minhash, pii, secret_scan, url_filter, warc_fixity
+from . import ball_tree, decontaminate, embed_dedup, host_quality, language_id, masked_lm, mixing, order_minhash, pii, secret_scan, token_align, url_filter, warc_fixity
 from .oracles import ORACLES  # noqa: F401
 from .scratch import Scratch
 
@@ -66,6 +66,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures, rule failures and host verdicts of all documents; their host is the source."""
+    return host_quality.judge(_table(spark, sf_dir, "documents"))
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters, distances and inertia of all embeddings that count."""
+    return ball_tree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups, links and link counts of all documents under the two public tokenizers."""
+    return token_align.align(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,5 +94,8 @@ QUERIES = {
         op8_language_id,
         op9_secret_scan,
         op10_decontamination,
+        op11_host_quality,
+        op12_ball_tree_clusters,
+        op13_token_alignment,
     )
 }
