@@ -1,11 +1,10 @@
 """Alignment of two tokenizers over the bytes they share.
 
-Token ends of both tokenizers are cumulative byte offsets; a two-pointer merge
-cuts them where both end, which gives groups and the links inside them. Texts
-are cut first into segments at places where neither tokenizer's tokens can
-cross (a single space or line feed between two non-spaces), and a worker merges
-a segment once for all its occurrences. Spark counts the documents of each pair
-of ids and joins counts and per-side maxima back.
+Token ends of both tokenizers are cumulative byte offsets, two sorted runs that
+are merged: a text is cut where both end, which gives groups and the links
+inside them. Long texts are taken in parts, cut where neither tokenizer's tokens
+can cross (a single space or line feed between two non-spaces). Spark counts the
+documents of each pair of ids and joins counts and per-side maxima back.
 """
 
 from __future__ import annotations
@@ -14,9 +13,7 @@ import hashlib
 import json
 import os
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,10 +25,13 @@ from .textscan import release
 
 FOLDER = "/opt/tokenizers"
 BYTE_FILE, PIECE_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: A segment runs on to the next space or line feed that stands alone between non-spaces.
-SEGMENT = re.compile(r"\s*\S+(?:(?![ \n]\S)\s+\S*)*|\s+")
-#: Segments a worker remembers, the longest of them, and segments merged at a time.
-REMEMBERED, LONGEST, AT_ONCE = 1 << 17, 64, 1 << 15
+#: A place that no token of either crosses, and characters before a part of a text ends at the next one.
+SAFE, PART = re.compile(r"(?<=\S)(?=[ \n]\S)"), 1 << 16
+#: The pattern by which the byte-level vocabulary cuts words (a fixed value), and runs of spaces too long for its matcher.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LONG_SPACE = re.compile(r"\s{1000}")
+#: Links of a group up to which they are laid out one by one; of larger groups only distinct pairs are, with counts.
+LAID_OUT = 256
 #: Rows of one output batch.
 BATCH = 256
 #: Pairs of ids, the most frequent ones, that may travel to every executor.
@@ -52,119 +52,119 @@ class Tokenizers:
     def __init__(self, byte_json: str, piece_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         import tokenizers
 
-        self.a = tokenizers.Tokenizer.from_str(byte_json)
-        self.a.encode_special_tokens = True
+        spec, letters = json.loads(byte_json), byte_level()
+        special = {t["content"] for t in spec["added_tokens"]}
+        ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
+        # the same vocabulary twice: the fast one, and one for texts that its matcher cannot take
+        self.fast = tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+        self.steady = tokenizers.Tokenizer.from_str(byte_json)
+        self.steady.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=piece_model)
-        letters = byte_level()
-        special = {t["id"] for t in json.loads(byte_json)["added_tokens"]}
-        self.bytes_a = {i: t.encode() if i in special else bytes(letters[c] for c in t) for t, i in self.a.get_vocab().items()}
         pieces = [(self.b.id_to_piece(i), self.b.is_byte(i)) for i in range(self.b.get_piece_size())]
+        self.bytes_a = [b""] * (max(ranks.values()) + 1)
+        for token, i in ranks.items():
+            self.bytes_a[i] = token
         self.bytes_b = [bytes([int(p[3:5], 16)]) if byte else p.replace("▁", " ").encode() for p, byte in pieces]
-        self.space = self.b.piece_to_id("▁")
+        self.long_a, self.long_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        #: Decimal ids with what follows: a comma, or at the end of a group's side | or ;.
+        self.names = [f"{i}{end}" for n, last in ((len(self.bytes_a), "|"), (len(pieces), ";")) for i in range(n) for end in (",", last)]
         #: Whether no piece crosses the places where texts are cut.
         self.cuts = not any(re.search("[^▁]▁|\n", p) for p, byte in pieces if not byte)
 
-    def segments(self, text: str) -> list[str]:
-        """``text`` after a space, cut where neither tokenizer's tokens cross."""
-        return SEGMENT.findall(" " + text) if self.cuts else [" " + text]
-
-    def encode(self, segments: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of both for each segment, which begins with a space or a line feed."""
-        a = self.a.encode_batch_fast(segments, add_special_tokens=False)
-        b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        for segment, x, y in zip(segments, a, b, strict=True):
-            # the second tokenizer puts its space before a line feed too; no piece joins the two
-            yield x.ids, y if segment[0] == " " else y[1:]
-
-
-@dataclass
-class Merged:
-    """One segment: its groups as text, its id pairs with link counts, and n_a, n_b, n_groups, n_links. None: bytes differ."""
-
-    text: str
-    pairs: np.ndarray
-    times: np.ndarray
-    counts: tuple[int, int, int, int]
-
-
-def groups(a: list[int], b: list[int], bytes_a, bytes_b) -> Iterator[tuple[list[int], list[int]]]:
-    """Ids of each group: two pointers over cumulative ends, moving the one behind, cutting where they meet."""
-    i = j = i0 = j0 = 0
-    end_a = end_b = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and (end_a <= end_b or j == len(b)):
-            end_a += len(bytes_a[a[i]])
-            i += 1
+    def parts(self, text: str) -> Iterator[str]:
+        """``text`` after a space, in parts cut where neither tokenizer's tokens cross."""
+        text, begin = " " + text, 0
+        while self.cuts and len(text) - begin > PART and (found := SAFE.search(text, begin + PART)):
+            yield text[begin : found.start()]
+            begin = found.start()
+        yield text[begin:]
+
+    def encode(self, part: str) -> tuple[list[int], list[int]] | None:
+        """Ids of both for a part, which begins with a space or a line feed; None where bytes are not kept."""
+        if LONG_SPACE.search(part):
+            a = self.steady.encode(part, add_special_tokens=False).ids
         else:
-            end_b += len(bytes_b[b[j]])
-            j += 1
-        if end_a == end_b:
-            yield a[i0:i], b[j0:j]
-            i0, j0 = i, j
-
-
-def merged(segment: str, a: list[int], b: list[int], bytes_a, bytes_b) -> Merged | None:
-    raw = segment.encode()
-    if b"".join([bytes_a[t] for t in a]) != raw or b"".join([bytes_b[t] for t in b]) != raw:
-        return None
-    links, texts = Counter(), []
-    for own, other in groups(a, b, bytes_a, bytes_b):
-        texts.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-        right = Counter(other)
-        for x, m in Counter(own).items():
-            for y, n in right.items():
-                links[x << 32 | y] += m * n
-    pairs = np.fromiter(links.keys(), np.int64, len(links))
-    times = np.fromiter(links.values(), np.int64, len(links))
-    return Merged(";".join(texts), pairs, times, (len(a), len(b), len(texts), int(times.sum())))
-
-
-class Aligner:
-    """Merges documents segment by segment; remembers a bounded number of segments."""
-
-    def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers = tokenizers
-        self.known: dict[str, Merged | None] = {}
-
-    def _merge(self, part: dict[str, int]) -> dict[str, Merged | None]:
-        new = [s for s in part if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(part)
-        found, tok = {}, self.tokenizers
-        for segment, (a, b) in zip(new, tok.encode(new), strict=True):
-            one = merged(segment, a, b, tok.bytes_a, tok.bytes_b)
-            (self.known if len(segment) <= LONGEST else found)[segment] = one
-        return found
-
-    def align(self, text: str | None) -> tuple:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of a text."""
-        none = np.zeros(0, np.int64)
-        nothing = (0, 0, 0, 0, "", none, none)
-        if not text:
+            a = self.fast.encode_ordinary(part)
+        # the second tokenizer puts its space before a line feed too; no piece joins the two
+        b = self.b.encode(part[1:]) if part[0] == " " else self.b.encode(part)[1:]
+        raw = part.encode()
+        if b"".join([self.bytes_a[t] for t in a]) != raw or b"".join([self.bytes_b[t] for t in b]) != raw:
+            return None
+        return a, b
+
+
+def groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of either side before the end of each group: the runs of ends are merged, equal neighbours are ends of both."""
+    both = np.concatenate((ends_a, ends_b))
+    both.sort(kind="stable")
+    ends = both[1:][both[1:] == both[:-1]]
+    return np.searchsorted(ends_a, ends) + 1, np.searchsorted(ends_b, ends) + 1
+
+
+def links(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, times): distinct linked id pairs, first id << 32 | second, and how many links each has."""
+    first_a, first_b = np.concatenate(([0], last_a[:-1])), np.concatenate(([0], last_b[:-1]))
+    n_a, n_b = last_a - first_a, last_b - first_b
+    small = n_a * n_b <= LAID_OUT
+    # each token of the first side meets the second side's tokens of its group, a run
+    reps = np.repeat(np.where(small, n_b, 0), n_a)
+    begin = np.repeat(first_b, n_a)
+    step = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    pairs, times = np.unique(np.repeat(a << 32, reps) | b[np.repeat(begin, reps) + step], return_counts=True)
+    if small.all():
+        return pairs, times
+    more = [(pairs, times)]
+    for g in np.flatnonzero(~small):
+        x, m = np.unique(a[first_a[g] : last_a[g]], return_counts=True)
+        y, n = np.unique(b[first_b[g] : last_b[g]], return_counts=True)
+        more.append((((x << 32)[:, None] | y).ravel(), (m[:, None] * n).ravel()))
+    return summed(more)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of all parts, their times added."""
+    if len(parts) == 1:
+        return parts[0]
+    pairs, where = np.unique(np.concatenate([p for p, _ in parts]), return_inverse=True)
+    times = np.zeros(len(pairs), np.int64)
+    np.add.at(times, where, np.concatenate([t for _, t in parts]))
+    return pairs, times
+
+
+def spelled(a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, names: list[str], base: int) -> str:
+    """Groups as text, each with a semicolon behind it."""
+    end_a, end_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    end_a[last_a - 1], end_b[last_b - 1] = 1, 1
+    group_a, group_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+    words = np.empty(len(a) + len(b), np.int64)
+    words[np.arange(len(a)) + np.concatenate(([0], last_b))[group_a]] = 2 * a + end_a
+    words[np.arange(len(b)) + last_a[group_b]] = 2 * b + end_b + base
+    return "".join([names[w] for w in words.tolist()])
+
+
+def align_text(text: str | None, tokenizers: Tokenizers) -> tuple:
+    """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of a text."""
+    none = np.zeros(0, np.int64)
+    nothing = (0, 0, 0, 0, "", none, none)
+    if not text:
+        return nothing
+    digest, held, n_a, n_b, n_groups, before = hashlib.sha256(), [], 0, 0, 0, ""
+    for part in tokenizers.parts(text):
+        ids = tokenizers.encode(part)
+        if ids is None:
             return nothing
-        digest, total, pairs, times = hashlib.sha256(), np.zeros(4, np.int64), [], []
-        segments = self.tokenizers.segments(text)
-        for begin in range(0, len(segments), AT_ONCE):
-            own = segments[begin : begin + AT_ONCE]
-            part = Counter(own)
-            here = self._merge(part)
-            known = self.known
-            results = {s: known[s] if s in known else here[s] for s in part}
-            if None in results.values():
-                return nothing
-            if begin:
-                digest.update(b";")
-            digest.update(";".join([results[s].text for s in own]).encode())
-            n = np.fromiter(part.values(), np.int64, len(part))
-            total += n @ np.array([m.counts for m in results.values()], np.int64)
-            pairs.append(np.concatenate([m.pairs for m in results.values()]))
-            times.append(np.concatenate([m.times for m in results.values()]) * np.repeat(n, [len(m.pairs) for m in results.values()]))
-        values, where = np.unique(np.concatenate(pairs), return_inverse=True)
-        out = np.zeros(len(values), np.int64)
-        np.add.at(out, where, np.concatenate(times))
-        return (*map(int, total), digest.hexdigest(), values, out)
+        a, b = (np.array(x, np.int64) for x in ids)
+        last_a, last_b = groups(np.cumsum(tokenizers.long_a[a]), np.cumsum(tokenizers.long_b[b]))
+        held.append(links(a, b, last_a, last_b))
+        n_a, n_b, n_groups = n_a + len(a), n_b + len(b), n_groups + len(last_a)
+        own = spelled(a, b, last_a, last_b, tokenizers.names, 2 * len(tokenizers.bytes_a))
+        digest.update(before.encode() + own[:-1].encode())
+        before = ";"
+    pairs, times = summed(held)
+    return n_a, n_b, n_groups, int(times.sum()), digest.hexdigest(), pairs, times
 
 
 def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
@@ -174,11 +174,11 @@ def aligned(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     models = spark.sparkContext.broadcast((read(BYTE_FILE, "r"), read(PIECE_FILE, "rb")))  # two files of fixed size
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        aligner = Aligner(Tokenizers(*models.value))
+        tokenizers = Tokenizers(*models.value)
         for frame in frames:
             for begin in range(0, len(frame), BATCH):
                 part = frame.iloc[begin : begin + BATCH]
-                rows = [aligner.align(text) for text in part["text"]]
+                rows = [align_text(text, tokenizers) for text in part["text"]]
                 yield pd.DataFrame(rows, columns=[*COUNTS, "groups_sha256", "pairs", "times"]).assign(id=part["id"].values)
         release()
 

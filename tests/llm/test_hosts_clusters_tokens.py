@@ -157,6 +157,7 @@ TEXTS = [
     "word " * 5000 + "\n" + "ab cd\n" * 3000,
     " \n \n x \n y",
     "tail\n",
+    " " * 3000 + "x" + "\n" * 2000 + "y",
 ]
 
 
@@ -204,8 +205,8 @@ def test_alignment_equals_whole_texts(spark, kind, monkeypatch):
     if kind == "joined":
         monkeypatch.setattr(token_align, "SHIPPED_PAIRS", 50)
     if kind == "parts":
-        monkeypatch.setattr(token_align, "AT_ONCE", 7)
-        monkeypatch.setattr(token_align, "REMEMBERED", 20)
+        monkeypatch.setattr(token_align, "PART", 7)
+        monkeypatch.setattr(token_align, "LAID_OUT", 1)
     docs = spark.createDataFrame([(i, t, 1, None) for i, t in enumerate(texts)], "doc_id long, text string, n_a int, pairs array<bigint>").repartition(3)
     out = {r.doc_id: tuple(r)[1:] for r in token_align.align(docs).collect()}
     want = whole_text(texts)
