@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Patterns that may travel to every executor.
-SHIPPED_PATTERNS = 50_000
+from .phrases import holders, numbered
+
 # Fixed lists.
 SKIPPED_DIRS = ("vendor", "node_modules", "dist", "build", ".git", "tests")
 LANGUAGES = {".py": "python", ".java": "java", ".go": "go", ".js": "javascript", ".ts": "typescript", ".md": "markdown"}
@@ -51,38 +51,14 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFra
     )
 
 
-#: Bytes at the start of a pattern that an index of texts is cut by.
-ANCHOR_WORDS = 3
-
-
-def text_joins(texts: DataFrame, patterns: DataFrame, text: str = "text", pattern: str = "needle") -> DataFrame:
-    """Texts that contain a pattern of a library of any size.
+def text_joins(texts: DataFrame, patterns: DataFrame, key: str, text: str = "text", pattern: str = "needle") -> DataFrame:
+    """(key, columns of the pattern) for each text and each pattern that stands in it, from a library of any size.
 
-    A pattern of several words holds three whole words in a row, its anchor: its
-    first word is passed over, which may be the end of a longer one. Texts are
-    cut into runs of three words, runs meet anchors by equality, and the pattern
-    is sought in those texts only. Patterns of fewer words are sought in every
-    text, each as one expression.
+    Texts are read once for each slice of the library and never shuffled; hits meet their patterns by number.
     """
-    words = lambda c: F.filter(F.split(c, r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    # the words of a text are cut once: a column of their own, not an expression inside the loop over them
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (ANCHOR_WORDS - 1), F.lit(1))), lambda k: F.xxhash64(F.array_join(F.slice(w, k, ANCHOR_WORDS), " ")))
-    library = patterns.withColumn("_w", words(F.col(pattern)))
-    long = library.where(F.size("_w") >= ANCHOR_WORDS + 2)
-    anchored = long.withColumn("_anchor", F.xxhash64(F.array_join(F.slice("_w", 2, ANCHOR_WORDS), " "))).drop("_w")
-    cut = texts.where(F.col(text).isNotNull()).select(F.struct(*texts.columns).alias("_row"), F.transform(F.array(words(F.col(text))), lambda w: F.array_distinct(runs(w)))[0].alias("_runs"))
-    keys = cut.select("_row", F.explode("_runs").alias("_anchor"))
-    small = anchored.count() <= SHIPPED_PATTERNS
-    met = keys.join(F.broadcast(anchored) if small else anchored, "_anchor").select("_row.*", *patterns.columns)
-    met = met.where(F.contains(F.col(text), F.col(pattern)))
-    short = library.where(F.size("_w") < ANCHOR_WORDS + 2).drop("_w")
-    if short.isEmpty():
-        return met
-    listed = short.agg(F.collect_list(F.struct(*patterns.columns)).alias("_list")) if short.count() <= SHIPPED_PATTERNS else None
-    if listed is None:
-        raise ValueError("too many patterns of under five words for one list")
-    found = texts.crossJoin(F.broadcast(listed)).select(*texts.columns, F.explode(F.filter("_list", lambda p: F.contains(F.col(text), p[pattern]))).alias("_p"))
-    return met.unionByName(found.select(*texts.columns, "_p.*"))
+    library = numbered(patterns, pattern)
+    named = patterns.join(library, pattern).select("phrase_id", *patterns.columns)
+    return holders(texts, library, key, text, pattern).join(named, "phrase_id").select(key, *patterns.columns)
 
 
 def project_structure(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

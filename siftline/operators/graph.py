@@ -28,7 +28,9 @@ def _cut(df: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     """(seed, node, depth) of every node within ``max_depth`` edges of a seed, the seed at depth 0.
 
-    ``edges`` has src and dst, ``seeds`` a column seed.
+    ``edges`` has src and dst, ``seeds`` a column seed. One row for each pair
+    of a seed and a node: for few seeds, or where all pairs are the answer; use
+    :func:`nearest` where only the nearest seed counts.
     """
     edges = edges.select("src", "dst").distinct()
     frontier = _cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
@@ -46,23 +48,31 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def nearest(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
-    """(node, depth, seed) of every node within ``max_depth`` edges of any seed, with its nearest seed, the least of equally near ones.
+def labels(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(node, label, depth, seed): for each label the least depth at which a seed of it reaches a node, and the least such seed.
 
-    One search from all seeds at once: a node is in the frontier once, however many seeds reach it.
+    ``seeds`` has label and seed. All labels pass over the edges together; a
+    label of a node is settled at its first depth and never sent again, so the
+    state has one row per node and label, however many seeds there are, and a
+    pass that settles nothing ends the search.
     """
     edges = edges.select("src", "dst").distinct()
-    frontier = _cut(seeds.select(F.col("seed").alias("node"), F.lit(0).alias("depth"), "seed").distinct())
+    frontier = _cut(seeds.select(F.col("seed").alias("node"), "label", F.lit(0).alias("depth"), "seed").distinct())
     seen = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("seed").alias("seed"))
-        frontier = _cut(step.select("node", F.lit(depth).alias("depth"), "seed").join(seen, "node", "left_anti"))
+        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy(F.col("dst").alias("node"), "label").agg(F.min("seed").alias("seed"))
+        frontier = _cut(step.select("node", "label", F.lit(depth).alias("depth"), "seed").join(seen, ["node", "label"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
+def nearest(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+    """(node, depth, seed) of every node within ``max_depth`` edges of any seed, with its nearest seed, the least of equally near ones."""
+    return labels(edges, seeds.withColumn("label", F.lit(0)), max_depth).select("node", "depth", "seed")
+
+
 def neighbours(edges: DataFrame) -> DataFrame:
     """(node, callees, callers): distinct nodes on either side of each."""
     ends = edges.select(F.col("src").alias("node"), F.col("dst").alias("callee"), F.lit(None).cast(edges.schema["src"].dataType).alias("caller"))
@@ -173,15 +183,18 @@ def taint(edges: DataFrame, entries: DataFrame, sinks: DataFrame, sanitizers: Da
     """Per sink: nearest entry backwards, its path length, whether a sanitizer stands nearer, and a confidence.
 
     ``entries`` has node and kind, ``sanitizers`` node and confidence; one of
-    0.6 or more among the nodes visited before the entry sanitizes the trace.
+    0.6 or more that reaches the sink in fewer edges than the entry sanitizes the
+    trace. Entries and sanitizers send their labels forward, so all sinks are
+    answered by one search whose state follows the nodes, not sinks times nodes.
     """
-    back = closure(reversed_edges(edges), sinks.select(F.col("sink").alias("seed")), max_depth)
-    hits = back.join(entries, "node").groupBy("seed").agg(F.min(F.struct("depth", "node", "kind")).alias("hit"))
-    guards = back.join(sanitizers.where("confidence >= 0.6"), "node").join(hits, "seed").where(F.col("depth") < F.col("hit.depth")).select("seed").distinct().withColumn("sanitized", F.lit(True))
-    out = sinks.select(F.col("sink").alias("seed")).distinct().join(hits, "seed", "left").join(guards, "seed", "left")
+    seeds = entries.select(F.lit("entry").alias("label"), F.col("node").alias("seed")).unionByName(sanitizers.where("confidence >= 0.6").select(F.lit("guard").alias("label"), F.col("node").alias("seed")))
+    found = labels(edges, seeds, max_depth)
+    kinds = entries.groupBy(F.col("node").alias("entry")).agg(F.min("kind").alias("kind"))
+    hits = found.where("label = 'entry'").select(F.col("node").alias("sink"), F.col("seed").alias("entry"), F.col("depth").alias("path_length")).join(kinds, "entry")
+    guards = found.where("label = 'guard'").select(F.col("node").alias("sink"), F.col("depth").alias("guard_depth"))
+    out = sinks.select("sink").distinct().join(hits, "sink", "left").join(guards, "sink", "left")
     from .dims import lookup
 
-    length = F.col("hit.depth")
-    return out.select(
-        F.col("seed").alias("sink"), F.col("hit.node").alias("entry"), length.alias("path_length"), F.coalesce("sanitized", F.lit(False)).alias("sanitized"), F.coalesce(taint_confidence(length, lookup(F.col("hit.kind"), ENTRY_BONUS, 0.0)), F.lit(0.0)).alias("confidence")
-    )
+    length = F.col("path_length")
+    guarded = F.coalesce(F.col("guard_depth") < length, F.lit(False))
+    return out.select("sink", "entry", "path_length", guarded.alias("sanitized"), F.coalesce(taint_confidence(length, lookup(F.col("kind"), ENTRY_BONUS, 0.0)), F.lit(0.0)).alias("confidence"))

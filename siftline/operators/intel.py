@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .phrases import holders, numbered
+
 from ..functions.text import terms
 
 
@@ -102,39 +104,37 @@ def per_dependency(cves: DataFrame, key: str) -> DataFrame:
 def relevant(deps: DataFrame, cves: DataFrame) -> DataFrame:
     """(input_seq, cve_id) of CVEs that concern a dependency.
 
-    ``deps`` has input_seq, ecosystem, name and version; ``cves`` cve_id,
+    ``deps`` has input_seq, ecosystem, name and version; ``cves`` its key cve_id,
     description, products, ranges and from_advisory. An advisory names its
     product, so that is an equality. Else the name must stand in the description
-    or a product: the words of both sides are cut, so candidates meet by a word of
-    the name, the longest, and the substring is checked on them only. Go modules
-    also count by their last part, Maven ones by their artifact. A version that is
-    known must lie in a range, if there are any.
+    or a product. Go modules also count by their last part, Maven ones by their
+    artifact. All names are sought at once, each distinct one once, by an
+    automaton over the texts. A version that is known must lie in a range, if
+    there are any.
     """
     from ..functions.versions import in_range
 
     own = F.lower("name")
     short = F.when(F.col("ecosystem") == "go", F.substring_index(own, "/", -1)).when(F.col("ecosystem") == "maven", F.substring_index(own, ":", -1))
     names = deps.select("input_seq", "version", F.explode(F.array_distinct(F.array_compact(F.array(own, short)))).alias("needle")).where("needle <> ''")
-    text = F.concat_ws(" ", F.lower("description"), F.lower(F.concat_ws(" ", "products")))
-    held = cves.select("cve_id", "ranges", "from_advisory", F.transform("products", lambda p: F.lower(p)).alias("products"), text.alias("text"))
-    # every run of letters and digits inside the name is a run, or part of one, of a text that holds it
-    parts = F.filter(F.split("needle", r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    inner = F.array_max(F.transform(parts, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    gram = names.withColumn("gram", F.left(F.coalesce(inner, F.col("needle")), F.lit(3)))
-    grams = held.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text"))), lambda k: F.substring("text", k, n)))))))
-    met = gram.join(grams, "gram")
-    named = F.when(F.col("from_advisory"), F.array_contains("products", F.col("needle"))).otherwise(F.contains("text", F.col("needle")))
+    met = mentions(cves, names.select("needle")).join(names, "needle").join(cves.select("cve_id", "ranges", "from_advisory", F.transform("products", lambda p: F.lower(p)).alias("products")), "cve_id")
+    named = ~F.col("from_advisory") | F.array_contains("products", F.col("needle"))
     fits = F.col("version").isNull() | (F.col("version") == "*") | (F.size("ranges") <= 0) | F.exists("ranges", lambda r: in_range(F.col("version"), r))
     return met.where(named & fits).select("input_seq", "cve_id").distinct()
 
 
-def framework_cves(frameworks: DataFrame, cves: DataFrame, gram: int = 3) -> DataFrame:
-    """(framework, cve_id) of CVEs whose description or products hold the framework's name."""
-    named = frameworks.select(F.monotonically_increasing_id().alias("input_seq"), F.col("name"), F.lit("").alias("ecosystem"), F.lit(None).cast("string").alias("version"))
-    from ..operators.graph import _cut
+def mentions(cves: DataFrame, names: DataFrame) -> DataFrame:
+    """(cve_id, needle): names, in lower case, that stand in the description or in one product, in any case."""
+    library = numbered(names, "needle")
+    # no name holds the character between the texts, so none is found across two
+    text = F.concat_ws("\x00", F.lower("description"), F.transform("products", lambda p: F.lower(p)))
+    return holders(cves.select("cve_id", text.alias("text")), library, "cve_id", "text", "needle").join(library, "phrase_id").select("cve_id", "needle")
 
-    named = _cut(named)
-    return relevant(named, cves.withColumn("from_advisory", F.lit(False))).join(named, "input_seq").select(F.col("name").alias("framework"), "cve_id").distinct()
+
+def framework_cves(frameworks: DataFrame, cves: DataFrame) -> DataFrame:
+    """(framework, cve_id) of CVEs whose description or products hold the framework's name."""
+    named = frameworks.select("name", F.lower("name").alias("needle")).distinct()
+    return mentions(cves, named).join(named, "needle").select(F.col("name").alias("framework"), "cve_id").distinct()
 
 
 def read_through(wanted: DataFrame, local: DataFrame, feed: DataFrame, key: str = "cve_id") -> DataFrame:

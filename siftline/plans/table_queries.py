@@ -368,7 +368,7 @@ def det3_page_links(t):
 
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def det16_pattern_library_join(t):
-    return dt.text_joins(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("needle"))).select("doc_id", "item_id")
+    return dt.text_joins(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("needle")), "doc_id").select("doc_id", "item_id")
 
 
 @query("SELECT doc_id, string_split(text, chr(10))[1] AS head, CAST(floor(length(text) / 4) AS BIGINT) AS tokens, array_to_string(list_slice(string_split(text, chr(10)), 1, 3), chr(10)) AS lines FROM documents")
