@@ -133,6 +133,17 @@ def assembled(findings: DataFrame, evidence: DataFrame, deep: DataFrame) -> Data
     return out.withColumn("weight", lookup(F.col("source"), SOURCE_WEIGHT, 0.5))
 
 
+def weighed(evidence: DataFrame) -> DataFrame:
+    """(candidate_id, n, weighted): pieces of evidence and their mean confidence by weight.
+
+    Confidences count in ten-thousandths and weights in hundredths, as integers,
+    so the sums are exact and no order of additions shows; they are divided once.
+    """
+    parts = F.round(F.col("confidence") * 10_000).cast("bigint")
+    weight = F.round(F.col("weight") * 100).cast("bigint")
+    return evidence.groupBy("candidate_id").agg(F.count("*").alias("n"), (F.sum(parts * weight).cast("double") / F.sum(weight).cast("double") / 10_000.0).alias("weighted"))
+
+
 def flow_facts(metadata: Column) -> Column:
     """(source, sink, sanitizers, length) that a finding's JSON metadata tells of its data flow."""
     flag = lambda name: F.coalesce(F.get_json_object(metadata, f"$.{name}").cast("boolean"), F.lit(False))

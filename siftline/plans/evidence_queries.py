@@ -99,13 +99,13 @@ def aux12_fourth_round(t):
 
 @query("""WITH a AS (SELECT id, source, CASE source WHEN 'semgrep' THEN 'pattern_match' WHEN 'codeql' THEN 'dataflow_path' ELSE 'agent_analysis' END AS evidence_type, CASE id % 3 WHEN 0 THEN 0.9e0 WHEN 1 THEN 0.6e0 ELSE 0.3e0 END AS confidence FROM findings
   UNION ALL SELECT candidate_id, source, evidence_type, confidence FROM evidence UNION ALL SELECT id, 'codeql', 'dataflow_path', CASE WHEN id % 4 = 0 THEN 0.8e0 ELSE 0.6e0 END FROM findings WHERE id % 2 = 0 UNION ALL SELECT id, 'agent', 'agent_analysis', 0.9e0 FROM findings WHERE id % 3 = 0 OR id % 5 = 0)
-  SELECT id AS candidate_id, count(*) AS n, round(sum(confidence * CASE source WHEN 'semgrep' THEN 0.6e0 WHEN 'codeql' THEN 0.9e0 ELSE 0.8e0 END) / sum(CASE source WHEN 'semgrep' THEN 0.6e0 WHEN 'codeql' THEN 0.9e0 ELSE 0.8e0 END), 6) AS weighted FROM a GROUP BY 1""")
+  SELECT id AS candidate_id, count(*) AS n, sum(CAST(round(confidence * 10000) AS BIGINT) * CASE source WHEN 'semgrep' THEN 60 WHEN 'codeql' THEN 90 ELSE 80 END) / CAST(sum(CASE source WHEN 'semgrep' THEN 60 WHEN 'codeql' THEN 90 ELSE 80 END) AS DOUBLE) / 10000.0e0 AS weighted FROM a GROUP BY 1""")
 def jon15_evidence_assembly(t):
     f = t("findings")
     own = f.select(F.col("id").alias("candidate_id"), "source", pick(F.col("id"), "high", "medium", "low").alias("band"))
     deep = f.select(F.col("id").alias("candidate_id"), every("id", 2).alias("has_path"), every("id", 4).alias("whole_path"), every("id", 3).alias("confirmed"), every("id", 5).alias("false_positive"))
     all_ = ev.assembled(own, t("evidence").select("candidate_id", "source", "evidence_type", "confidence"), deep)
-    return all_.groupBy("candidate_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("confidence") * F.col("weight")) / F.sum("weight"), 6).alias("weighted"))
+    return ev.weighed(all_)
 
 
 @query("SELECT id, id % 2 = 0 AS source, id % 3 = 0 AS sink, CAST(id % 4 AS INT) AS sanitizers, CAST(id % 5 AS INT) AS length FROM findings")

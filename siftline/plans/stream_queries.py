@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
+from ..sources import paged
 from ..streaming import keyed
 from . import table_queries
 
@@ -64,3 +68,46 @@ def snk5_str9_cache_stream(t):
     events = t("events").withColumn("put", F.col("event_type").isin("signup", "purchase"))
     out = keyed.run_steps(keyed.in_order(events, "ts", 4), lambda s: keyed.cache_stream(s, 6 * 3600, "user_id", "ts", "event_id", "put"))
     return out.where("outcome <> 'expired'")
+
+
+WINDOW, PAGE = 120, 500
+PAGED = f"""WITH w AS (SELECT *, min(published) OVER () AS lo FROM cves), k AS (SELECT *, CAST(floor((published - lo) / {WINDOW}) AS INT) AS k FROM w)
+  SELECT cve_id, CAST(lo + k * {WINDOW} + {WINDOW - 1} AS DATE) AS window_end, CAST(floor((row_number() OVER (PARTITION BY k ORDER BY published, cve_id) - 1) / {PAGE}) * {PAGE} AS BIGINT) AS start_index, description, severity FROM k"""
+
+
+def _feed(t, parts: int, read):
+    """Publish the store as a feed in ``parts`` lots of windows below the shared folder; after each lot ``read`` is called."""
+    cves = t("cves")
+    folder = f"{shared_folder(cves.sparkSession)}/siftline-feed-{uuid.uuid4().hex}"
+    first, last = cves.agg(F.min("published"), F.max("published")).first()
+    document = F.to_json(F.struct(F.concat(F.lit("CVE-"), F.col("cve_id").cast("string")).alias("id"), "description", "severity"))
+    records = cves.select("published", "cve_id", document.alias("document"))
+    # whole windows to a lot
+    windows = (last - first).days // WINDOW + 1
+    lot = F.floor(F.floor(F.datediff("published", F.lit(first)) / WINDOW) * parts / windows)
+    for k in range(parts):
+        paged.publish(records.where(lot == k), folder, "published", "cve_id", "document", first, WINDOW, PAGE)
+        out = read(folder)
+    value = F.from_json("document", "id string, description string, severity string")
+    cve = F.col("v.id").substr(5, 20).cast("bigint").alias("cve_id")
+    return out.select("window_end", "start_index", value.alias("v")).select(cve, "window_end", "start_index", "v.description", "v.severity")
+
+
+@query(PAGED)
+def src13_paged_feed(t):
+    """Every page of every window as a partition of one table."""
+    spark = t("cves").sparkSession
+    return _feed(t, 1, lambda folder: paged.feed(spark, folder))
+
+
+@query(PAGED)
+def str2_feed_stream(t):
+    """The same feed published in three lots; after each a stream starts from its checkpoint and reads the new windows only."""
+    spark = t("cves").sparkSession
+
+    def read(folder: str):
+        query = paged.feed(spark, folder, streaming=True).writeStream.format("parquet").option("path", f"{folder}-out").option("checkpointLocation", f"{folder}-state").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return spark.read.parquet(f"{folder}-out")
+
+    return _feed(t, 3, read)
