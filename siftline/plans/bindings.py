@@ -61,6 +61,18 @@ VIEWS = {
         SELECT doc_id AS input_seq, concat('/repo/', source, '/', CASE doc_id % 6 WHEN 0 THEN 'vendor/' WHEN 1 THEN 'tests/' ELSE '' END, 'f', CAST(doc_id AS STRING),
           CASE doc_id % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.java' WHEN 2 THEN '.go' WHEN 3 THEN '.min.js' ELSE '.md' END) AS path,
           text, CAST(length(text) AS BIGINT) AS size FROM {documents}""",
+    "programs": """
+        SELECT p_partkey AS k, CASE p_partkey % 2 WHEN 0 THEN concat('src/p', CAST(p_partkey % 7 AS STRING), '/C', CAST(p_partkey AS STRING), '.java') ELSE concat('cmd/g', CAST(p_partkey AS STRING), '/main.go') END AS path,
+          translate(CASE p_partkey % 2 WHEN 0 THEN concat('package p', CAST(p_partkey % 7 AS STRING), ';', chr(10), 'import p', CAST((p_partkey * 3 % 100 * 2 + 2) % 7 AS STRING), '.C', CAST(p_partkey * 3 % 100 * 2 + 2 AS STRING), ';', chr(10),
+            CASE p_partkey % 3 WHEN 0 THEN '// void ghost() < C2.m1(); >' WHEN 1 THEN '/* class Ghost < @GetMapping("/ghost") void m0() < */' ELSE '' END, chr(10), '@RequestMapping("/c', CAST(p_partkey AS STRING), '")', chr(10), 'public class C', CAST(p_partkey AS STRING), ' <', chr(10),
+            CASE WHEN p_partkey % 4 > 0 THEN concat('  @GetMapping("/a', CAST(p_partkey % 5 AS STRING), '") public void m0(String s) < C', CAST(p_partkey * 3 % 100 * 2 + 2 AS STRING), '.m1("x < y"); >') ELSE '' END, chr(10),
+            CASE WHEN p_partkey % 5 > 0 THEN '  static int m1(String s) < return s.length(); >' ELSE '  interface Inner < int m3(String s); >' END, chr(10),
+            CASE WHEN p_partkey % 3 = 1 THEN concat('  @KafkaListener(topics = "t', CAST(p_partkey % 9 AS STRING), '") void m2(String s) < m0(s); >') ELSE '' END, chr(10), '>', chr(10))
+          ELSE concat('package main', chr(10), 'import "h.org/x/q', CAST(p_partkey % 5 AS STRING), '"', chr(10),
+            CASE p_partkey % 3 WHEN 0 THEN '// func ghost() <' WHEN 1 THEN '/* r.GET("/ghost", g) < */' ELSE 'var s = `func fake() < r.GET("/fake", f)`' END, chr(10), 'func setup(r *gin.Engine) <', chr(10), '  v := r.Group("/v', CAST(p_partkey % 4 AS STRING), '")', chr(10),
+            CASE WHEN p_partkey % 4 = 1 THEN concat('  v.POST("/p', CAST(p_partkey AS STRING), '", h', CAST(p_partkey % 3 AS STRING), ')') ELSE concat('  r.GET("/g', CAST(p_partkey AS STRING), '", h', CAST(p_partkey % 3 AS STRING), ')') END, chr(10),
+            CASE WHEN p_partkey % 7 = 3 THEN '  c.AddFunc("@daily", clean)' ELSE '' END, chr(10), '>', chr(10), 'func (s *Srv) h', CAST(p_partkey % 3 AS STRING), '() < s.run() >', chr(10)) END, '<>', concat(chr(123), chr(125))) AS content
+        FROM {part}""",
     "targets": """
         SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'http' WHEN 1 THEN 'rpc' WHEN 2 THEN 'mq' WHEN 3 THEN 'cron' WHEN 4 THEN 'smtp' END AS entry_point_type,
           CASE event_id % 4 WHEN 0 THEN 'post' WHEN 1 THEN 'GET' WHEN 2 THEN 'TRACE' END AS http_method, event_id % 3 = 0 AS auth_required, CAST(event_id % 8 AS INT) AS n_params,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import route_path, running_total
+from ..operators.graph import _cut
 
 _Q = "[\"'`]"
 _NAME = "[^\"'`]+"
@@ -145,7 +146,7 @@ def entry_points(files: DataFrame, detectors: tuple[Detector, ...] = DETECTORS)
 
 def cascade(files: DataFrame, parsed: DataFrame) -> DataFrame:
     """Entry points by the best means for each file: ``parsed`` ones of a syntax tree, else those of patterns, else the file itself if its name is an entry's."""
-    first = parsed.select("path", "line", "kind", "framework", "method", "route", "handler").withColumn("tier", F.lit("syntax"))
+    first = _cut(parsed.select("path", "line", "kind", "framework", "method", "route", "handler").withColumn("tier", F.lit("syntax")))
     rest = files.join(first.select("path").distinct(), "path", "left_anti")
     second = entry_points(rest).withColumn("tier", F.lit("pattern"))
     rest = rest.join(second.select("path").distinct(), "path", "left_anti")
