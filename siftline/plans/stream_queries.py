@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import text_index
 from ..operators.graph import shared_folder
 from ..sources import paged
-from ..streaming import keyed
+from ..streaming import keyed, merge
 from . import table_queries
 
 QUERIES: dict = {}
@@ -111,3 +112,31 @@ def str2_feed_stream(t):
         return spark.read.parquet(f"{folder}-out")
 
     return _feed(t, 3, read)
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def snk1_snk2_merge_stream(t):
+    """A store of the last event of each user, merged by buckets from a stream in three steps that are not in order."""
+    events = t("events").select("user_id", "event_id", "event_type", "value")
+    spark = events.sparkSession
+    root = f"{shared_folder(spark)}/siftline-merge-{uuid.uuid4().hex}"
+    table = merge.MergedTable(spark, f"{root}/table", "user_id", "event_id")
+    for k in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == k).write.parquet(f"{root}/in/step{k}")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in/step*")
+        stream.writeStream.foreachBatch(table.sink()).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read().select("user_id", "event_id", "event_type", "value")
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, regexp_split_to_array(lower(CASE WHEN doc_id % 10 = 3 THEN concat('That of ', text) ELSE text END), '[^\p{L}\p{N}]+') AS words FROM documents)
+  SELECT doc_id, CAST(len(list_filter(words, lambda x: x = 'that')) + len(list_filter(words, lambda x: x = 'of')) AS BIGINT) AS score FROM d WHERE list_contains(words, 'that') AND list_contains(words, 'of')"""
+)
+def flt7_stored_index(t):
+    """All documents indexed, a tenth of them again with a new text, then searched for two words."""
+    docs = t("documents").select("doc_id", "text")
+    spark = docs.sparkSession
+    index = text_index.TextIndex(spark, f"{shared_folder(spark)}/siftline-index-{uuid.uuid4().hex}", "doc_id", "text")
+    index.add(docs, 0)
+    index.add(docs.where("doc_id % 10 = 3").withColumn("text", F.concat(F.lit("That of "), "text")), 1)
+    return index.search("of That").select("doc_id", "score")
