@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_code, normalize_function, normalize_path
 from .dims import ENGINE_MERGE_WEIGHT, EXPLOITABILITY_LEVEL, lookup
 from .findings import near_lines
+from .rounds import numbered
 
 
 def semantic_hash() -> Column:
@@ -56,11 +57,23 @@ def budget_mode(df: DataFrame, per_rule: int = PER_RULE, melt_rule: int = MELT_R
     return both.select("total", "max_rule", "max_file", "rules_over", mode.alias("mode"))
 
 
+#: Ranks up to this are cut before the shuffle.
+WINDOW_LIMIT = 1000
+
+
 def apply_budget(df: DataFrame, per_rule: int = PER_RULE, per_file: int = PER_FILE, total: int = TOTAL, seq: str = "input_seq") -> DataFrame:
-    """The first ``per_rule`` findings of a rule, then ``per_file`` of a file, then ``total``; rules in order of first sight."""
-    by_rule = Window.partitionBy("rule_id").orderBy(seq)
-    kept = df.withColumn("_rule_rank", F.row_number().over(by_rule)).where(F.col("_rule_rank") <= per_rule)
-    kept = kept.withColumn("_rule_seq", F.min(seq).over(Window.partitionBy("rule_id")))
+    """The first ``per_rule`` findings of a rule, then ``per_file`` of a file, then ``total``; rules in order of first sight.
+
+    Small limits are taken before rows are shuffled; a limit that large rules
+    would pass is taken from numbers that no task counts alone.
+    """
+    if per_rule <= WINDOW_LIMIT:
+        kept = df.withColumn("_rule_rank", F.row_number().over(Window.partitionBy("rule_id").orderBy(seq)))
+    else:
+        kept = numbered(df, [F.col(seq)], "rule_id", "_rule_rank")
+    kept = kept.where(F.col("_rule_rank") <= per_rule)
+    first = df.groupBy(F.col("rule_id").alias("_rule")).agg(F.min(seq).alias("_rule_seq"))
+    kept = kept.join(first, F.col("rule_id").eqNullSafe(F.col("_rule"))).drop("_rule")
     kept = kept.withColumn("_file_rank", F.row_number().over(Window.partitionBy("file").orderBy("_rule_seq", seq))).where(F.col("_file_rank") <= per_file)
     return kept.orderBy("_rule_seq", seq).limit(total).drop("_rule_rank", "_rule_seq", "_file_rank")
 

@@ -31,9 +31,11 @@ def risk_counts(findings: DataFrame, risk: str = "risk") -> DataFrame:
 
 def surface_markdown(entries: DataFrame, most: int = 20) -> DataFrame:
     """(kind, value): a Markdown section for each kind of entry point, with its number and the first ones by path and line."""
-    first = entries.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("path", "line")))
-    line = F.when(F.col("_n") <= most, F.struct("_n", F.concat(F.lit("- `"), F.concat_ws(" ", "method", "route"), F.lit("` "), F.concat_ws(":", "path", F.col("line").cast("string"))).alias("t")))
-    g = first.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("body"))
+    # the rank is cut to ``most`` before the shuffle; the numbers are counted apart
+    first = entries.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("path", "line"))).where(F.col("_n") <= most)
+    line = F.struct("_n", F.concat(F.lit("- `"), F.concat_ws(" ", "method", "route"), F.lit("` "), F.concat_ws(":", "path", F.col("line").cast("string"))).alias("t"))
+    body = first.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), "\n").alias("body"))
+    g = entries.groupBy("kind").agg(F.count("*").alias("n")).join(body, "kind")
     return g.select("kind", F.concat(F.lit("## "), "kind", F.lit(" ("), F.col("n").cast("string"), F.lit(")\n"), "body").alias("value"))
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import _cut
+
 
 def trend(df: DataFrame, key: str, order: str, value: str, span: int = 3) -> DataFrame:
     """increasing, decreasing or stable, from the last ``span`` rounds of every key."""
@@ -41,10 +44,30 @@ def since_new(df: DataFrame, key: str, order: str, item: str) -> DataFrame:
     return fresh.withColumn("stable_rounds", F.col("_n") - last).drop("_fresh", "_n")
 
 
+def numbered(df: DataFrame, order: list[Column], group: str | None = None, name: str = "n") -> DataFrame:
+    """``df`` with the number, from 1, of each row in ``order``, by ``group`` if one is given.
+
+    Rows are cut by a global range sort; a row's number is its place in its range
+    after the rows of the ranges before, so neither one order nor one large group
+    is one task. ``order`` should leave no ties: rows of a tie stay in one range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(group)] if group else []
+    laid = _cut(df.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()))
+    names = [*([group] if group else []), "_range"]
+    place = F.row_number().over(Window.partitionBy(*names).orderBy(*order))
+    # one row for each range of a group; nulls are a group
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = laid.groupBy(*names).count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    counts = counts.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(names)], "_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(names)])
+    rows = laid.withColumn("_place", place).join(counts, same)
+    return rows.withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint")).select(*df.columns, name)
+
+
 def batches(df: DataFrame, kind: str, order: list[Column], size: int = 5) -> DataFrame:
     """Batch number of every task: chunks of ``size`` within a kind, in priority order."""
-    rank = F.row_number().over(Window.partitionBy(kind).orderBy(*order))
-    return df.withColumn("batch", F.floor((rank - 1) / size).cast("bigint"))
+    return numbered(df, order, kind, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("bigint")).drop("_n")
 
 
 def ordered_scan(df: DataFrame, key: str, order: list[str], columns: list[str], fresh: Callable[[], Any], step: Callable[[Any, tuple], tuple[Any, tuple]], schema: str) -> DataFrame:

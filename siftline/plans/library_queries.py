@@ -172,40 +172,40 @@ def src20_src21_udf9_search_union(t):
     return feeds.search_union({"a": hits(7), "b": hits(11)}).select("engine", "page_id", "relevance")
 
 
-@query("SELECT CAST(input_seq % 20 AS VARCHAR) AS path, concat('n', CAST(input_seq AS VARCHAR)) AS name, concat('^', CAST(input_seq % 9 AS VARCHAR)) AS version, input_seq % 4 = 1 AS is_dev, input_seq % 4 = 3 AS is_optional FROM deps")
+@query("SELECT CAST(CAST(floor(input_seq / 20) AS BIGINT) AS VARCHAR) AS path, concat('n', CAST(input_seq AS VARCHAR)) AS name, concat('^', CAST(input_seq % 9 AS VARCHAR)) AS version, input_seq % 4 = 1 AS is_dev, input_seq % 4 = 3 AS is_optional FROM deps")
 def src22_npm_manifests(t):
     k = F.col("input_seq")
     entry = F.struct(F.concat(F.lit("n"), text("input_seq")).alias("key"), F.concat(F.lit("^"), (k % 9).cast("string")).alias("value"))
     parts = [F.map_from_entries(F.collect_list(F.when(k % 4 == n, entry))).alias(name) for n, name in enumerate(("dependencies", "devDependencies", "peerDependencies", "optionalDependencies"))]
-    docs = t("deps").groupBy((k % 20).cast("string").alias("path")).agg(*parts)
+    docs = t("deps").groupBy(F.floor(k / 20).cast("bigint").cast("string").alias("path")).agg(*parts)
     return manifests.npm_manifest(docs.select("path", F.to_json(F.struct(*[c for c in docs.columns if c != "path"])).alias("content")))
 
 
-@query("SELECT CAST(input_seq % 20 AS VARCHAR) AS path, concat('host.org/m', CAST(input_seq AS VARCHAR)) AS name, CASE WHEN input_seq % 3 = 0 THEN 'v2.0.0' ELSE 'v1.0.0' END AS version, input_seq % 2 = 0 AS is_direct, CASE WHEN input_seq % 3 = 0 THEN 1.0e0 ELSE 0.5e0 END AS confidence FROM deps")
+@query("SELECT CAST(CAST(floor(input_seq / 20) AS BIGINT) AS VARCHAR) AS path, concat('host.org/m', CAST(input_seq AS VARCHAR)) AS name, CASE WHEN input_seq % 3 = 0 THEN 'v2.0.0' ELSE 'v1.0.0' END AS version, input_seq % 2 = 0 AS is_direct, CASE WHEN input_seq % 3 = 0 THEN 1.0e0 ELSE 0.5e0 END AS confidence FROM deps")
 def src24_jon19_go_modules(t):
     k = F.col("input_seq")
     name = F.concat(F.lit("host.org/m"), text("input_seq"))
     line = F.concat(F.lit("\t"), name, F.lit(" v1.0.0"), F.when(k % 2 == 0, "").otherwise(" // indirect"))
-    files = t("deps").groupBy((k % 20).cast("string").alias("path")).agg(F.concat(F.lit("module m\nrequire (\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n)")).alias("content"))
+    files = t("deps").groupBy(F.floor(k / 20).cast("bigint").cast("string").alias("path")).agg(F.concat(F.lit("module m\nrequire (\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n)")).alias("content"))
     sums = t("deps").where("input_seq % 3 = 0").select(name.alias("name"), F.lit("v2.0.0").alias("version"))
     return manifests.go_modules(files, sums).select("path", "name", "version", "is_direct", "confidence")
 
 
-@query("SELECT CAST(input_seq % 20 AS VARCHAR) AS path, concat('g:a', CAST(input_seq AS VARCHAR)) AS name, CASE input_seq % 3 WHEN 0 THEN '3.2' WHEN 1 THEN '${unknown}' ELSE '1.0' END AS version FROM deps")
+@query("SELECT CAST(CAST(floor(input_seq / 20) AS BIGINT) AS VARCHAR) AS path, concat('g:a', CAST(input_seq AS VARCHAR)) AS name, CASE input_seq % 3 WHEN 0 THEN '3.2' WHEN 1 THEN '${unknown}' ELSE '1.0' END AS version FROM deps")
 def src25_jon20_maven(t):
     k = F.col("input_seq")
     dep = F.concat(F.lit("<dependency><groupId>g</groupId><artifactId>a"), text("input_seq"), F.lit("</artifactId><version>"), pick(k, "${lib.version}", "${unknown}", "1.0"), F.lit("</version></dependency>"))
-    files = t("deps").groupBy((k % 20).cast("string").alias("path")).agg(F.concat(F.lit("<project><properties><lib.version>3.2</lib.version></properties>"), F.array_join(F.collect_list(dep), ""), F.lit("</project>")).alias("content"))
+    files = t("deps").groupBy(F.floor(k / 20).cast("bigint").cast("string").alias("path")).agg(F.concat(F.lit("<project><properties><lib.version>3.2</lib.version></properties>"), F.array_join(F.collect_list(dep), ""), F.lit("</project>")).alias("content"))
     return manifests.maven(files)
 
 
-@query("SELECT CAST(input_seq % 20 AS VARCHAR) AS path, CASE WHEN input_seq % 2 = 0 THEN 'implementation' ELSE 'testImplementation' END AS scope, concat('g:a', CAST(input_seq AS VARCHAR)) AS name, CASE WHEN input_seq % 3 < 2 THEN concat('1.', CAST(input_seq % 9 AS VARCHAR)) END AS version FROM deps")
+@query("SELECT CAST(CAST(floor(input_seq / 20) AS BIGINT) AS VARCHAR) AS path, CASE WHEN input_seq % 2 = 0 THEN 'implementation' ELSE 'testImplementation' END AS scope, concat('g:a', CAST(input_seq AS VARCHAR)) AS name, CASE WHEN input_seq % 3 < 2 THEN concat('1.', CAST(input_seq % 9 AS VARCHAR)) END AS version FROM deps")
 def aux23_gradle_lines(t):
     k = F.col("input_seq")
     scope = F.when(k % 2 == 0, "implementation").otherwise("testImplementation")
     coordinate = F.concat(F.lit("g:a"), text("input_seq"), F.when(k % 3 < 2, F.concat(F.lit(":1."), (k % 9).cast("string"))).otherwise(""))
     line = F.when(k % 3 == 0, F.concat(F.lit("    "), scope, F.lit(" '"), coordinate, F.lit("'"))).otherwise(F.concat(F.lit("    "), scope, F.lit('("'), coordinate, F.lit('")')))
-    files = t("deps").groupBy((k % 20).cast("string").alias("path")).agg(F.concat(F.lit("dependencies {\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n}")).alias("content"))
+    files = t("deps").groupBy(F.floor(k / 20).cast("bigint").cast("string").alias("path")).agg(F.concat(F.lit("dependencies {\n"), F.array_join(F.collect_list(line), "\n"), F.lit("\n}")).alias("content"))
     return manifests.gradle(files)
 
 
@@ -511,8 +511,5 @@ def udf5_scheduled_jobs(t):
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n, max(p_partkey) AS last FROM part")
 def str3_row_iteration(t):
-    """Rows one partition at a time, as a reader that keeps none would take them."""
-    n, last = 0, 0
-    for row in t("part").select("p_partkey").sortWithinPartitions("p_partkey").toLocalIterator(prefetchPartitions=True):
-        n, last = n + 1, max(last, row[0])
-    return t("part").sparkSession.createDataFrame([(n, last)], "n bigint, last bigint")
+    """Rows go one batch after the other through a generator that keeps none, a partition each; only its totals go on."""
+    return pl.streamed_totals(t("part"), "p_partkey").select("n", "last")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,3 +113,17 @@ def due_jobs(times: DataFrame, jobs: dict[str, Column], column: str = "at") -> D
     """(at, job) of the jobs, the caller's own among them, whose condition holds at a time."""
     due = F.array_compact(F.array(*[F.when(when, F.lit(name)) for name, when in jobs.items()]))
     return times.select(column, F.explode(due).alias("job"))
+
+
+def streamed_totals(df: DataFrame, column: str) -> DataFrame:
+    """One row (n, last): rows and greatest value of a whole-number column, from one generator over the batches of each partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, last = 0, None
+        for batch in batches:
+            n += batch.num_rows
+            top = pc.max(batch.column(0)).as_py()
+            last = top if last is None or (top is not None and top > last) else last
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([last], pa.int64())], names=["n", "last"])
+
+    return df.select(F.col(column).cast("bigint")).mapInArrow(run, "n bigint, last bigint").agg(F.sum("n").alias("n"), F.max("last").alias("last"))

@@ -63,7 +63,7 @@ def aux3_targets_to_tasks(t):
 @query("SELECT printf('entry-%04d', CAST(row_number() OVER (ORDER BY id) - 1 AS INT)) AS target, id FROM targets WHERE entry_point_type = 'cron'")
 def aux1_entry_ids(t):
     rows = t("targets").where("entry_point_type = 'cron'")
-    return rows.select(F.format_string("entry-%04d", (F.row_number().over(Window.orderBy("id")) - 1)).alias("target"), "id")
+    return rd.numbered(rows.select("id"), [F.col("id")]).select(F.format_string("entry-%04d", F.col("n") - 1).alias("target"), "id")
 
 
 @query("SELECT id, coalesce(CASE WHEN contains(lower(rule_id), 'xss') THEN 'xss' WHEN contains(cwe, '79') THEN 'xss' WHEN contains(cwe, '89') THEN 'sqli' END, 'generic') AS vuln_type FROM findings")
