@@ -52,9 +52,11 @@ SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow'
 def _secrets() -> str:
     parts = []
     for rank, rule in enumerate(SECRET_RULES):
-        p = _quoted(rule.pattern)
-        long = f"length(regexp_extract(hit, {p}, {rule.group}))" if rule.group else "length(hit)"
-        parts.append(f"""SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, start, start + length(hit) AS stop FROM (
+        # no lookbehind here: the character before the edge is part of the hit, and cut off again
+        own, p = _quoted(rule.pattern), _quoted(f"(?:^|[^{rule.edge[1:]}){rule.pattern}" if rule.edge else rule.pattern)
+        long = f"length(regexp_extract(hit, {own}, {rule.group}))"
+        lead = f"length(hit) - length(regexp_extract(hit, {own}))" if rule.edge else "0"
+        parts.append(f"""SELECT rid, {rank} AS rank, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, start + {lead} AS start, start + length(hit) AS stop FROM (
   SELECT rid, hit, CAST(coalesce(sum(length(gap) + coalesce(length(hit), 0)) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gap) AS BIGINT) AS start FROM (
   SELECT rid, unnest(generate_series(1, len(gaps))) AS i, unnest(gaps) AS gap, unnest(hits) AS hit FROM (SELECT rid, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS hits FROM d WHERE regexp_matches(text, {p})))) WHERE hit IS NOT NULL AND {long} >= {rule.least}""")
     text = "kind || ':' || CAST(start AS VARCHAR) || ':' || CAST(stop AS VARCHAR)"

@@ -33,6 +33,13 @@ class Rule:
     least: int = 0
     group: int = 0
     base: bool = True
+    #: Characters that must not stand before a match: a match begins where a run of them does, so no run is tried from within.
+    edge: str = ""
+
+    @property
+    def regex(self) -> str:
+        """The pattern with its edge, for Java and Python."""
+        return f"(?<!{self.edge}){self.pattern}" if self.edge else self.pattern
 
 
 #: Fixed rules; kinds in the order of ties.
@@ -43,7 +50,7 @@ RULES = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", base=False),
     Rule("repo", r"ghp_[A-Za-z0-9]+", 40, base=False),
     Rule("chat", r"xoxb-[A-Za-z0-9-]+", 20, base=False),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, base=False),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 40, base=False, edge="[A-Za-z0-9_-]"),
 )
 #: Candidates that may travel to every executor; more are joined by id and text hash.
 SHIPPED_ROWS = 50_000
@@ -205,7 +212,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = docs.select(F.col(id_col).alias("_siftline_id"), _tag(text).alias("_siftline_tag"), text.alias("_siftline_text"))
     same = texts["_siftline_id"].eqNullSafe(chosen["id"]) & (texts["_siftline_tag"] == chosen["tag"])
     fetched = texts.join(F.broadcast(chosen) if few else chosen, same).select("id", "tag", "rules", "_siftline_text")
-    found = [F.when(F.array_contains("rules", k), match_spans(F.col("_siftline_text"), r.pattern, r.kind, k, _accept(r))).otherwise(none()) for k, r in enumerate(rules)]
+    found = [F.when(F.array_contains("rules", k), match_spans(F.col("_siftline_text"), r.regex, r.kind, k, _accept(r))).otherwise(none()) for k, r in enumerate(rules)]
     base = [c for c, r in zip(found, rules) if r.base]
     extra = [c for c, r in zip(found, rules) if not r.base]
     verified = fetched.select("id", "tag", F.array_sort(F.concat(none(), *base)).alias("base"), F.concat(none(), *extra).alias("extra")).where((F.size("base") > 0) | (F.size("extra") > 0))
