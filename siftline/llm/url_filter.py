@@ -96,6 +96,10 @@ class DigestArray:
         return out
 
 
+#: Rows of a batch of hosts with what they could be listed as.
+EXPANDED = 1 << 12
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host, ASCII lower-cased, and path after the first ``://``; both empty without it."""
     rest = F.substring_index(url, "://", 1)
@@ -105,9 +109,11 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.when(known, host).otherwise(""), F.when(known, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> Iterator[str]:
-    """The host and its parent domains, each with the prefixes of the path that have one of ``lengths``."""
-    labels = host.split(".")
+def candidates(host: str, path: str, lengths: list[int], most: int = 1 << 20) -> Iterator[str]:
+    """The host and its parent domains of at most ``most`` labels, each with the prefixes of the path that have one of ``lengths``."""
+    labels = host.rsplit(".", most)
+    # what is left of the labels asked for has dots of its own and is no label
+    labels = labels[1:] if len(labels) > most else labels
     for k in range(len(labels)):
         name = ".".join(labels[k:])
         for n in lengths:
@@ -145,6 +151,12 @@ def path_lengths(listed: DataFrame, rules: tuple[Rule, ...] = ()) -> list[int]:
     return sorted({r["n"] for r in found.collect()} | {len(r.path) for r in rules})
 
 
+def most_labels(listed: DataFrame, rules: tuple[Rule, ...] = ()) -> int:
+    """Labels of the longest host among entries and rules; longer suffixes of a host meet nothing."""
+    found = listed.select(F.size(F.split(F.regexp_extract("entry", "^([^/]*)", 1), r"\.")).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+    return max([found or 1, *(r.host.count(".") + 1 for r in rules)])
+
+
 def _file(listed: DataFrame, rules: tuple[Rule, ...]) -> str:
     """Name of a shipped file of all entries and rules; sorted by Spark, it is written as its rows come."""
     spark = listed.sparkSession
@@ -162,7 +174,7 @@ def _file(listed: DataFrame, rules: tuple[Rule, ...]) -> str:
 
 def _probed(rows: DataFrame, listed: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """``rows`` with rule, ruled (its verdict) and listed."""
-    name, lengths = _file(listed, rules), path_lengths(listed, rules)
+    name, lengths, most = _file(listed, rules), path_lengths(listed, rules), most_labels(listed, rules)
     kind = rows.schema["id"].dataType.simpleString()
     rank = {k: (len(r.host + r.path), -k) for k, r in enumerate(rules)}
 
@@ -175,7 +187,7 @@ def _probed(rows: DataFrame, listed: DataFrame, rules: tuple[Rule, ...]) -> Data
             whole: list[bool] = []
             for i, (h, p) in enumerate(zip(hosts, paths)):
                 if h:
-                    for key in candidates(h, p, lengths):
+                    for key in candidates(h, p, lengths, most):
                         keys.append(key.encode())
                         owner.append(i)
                         # a list entry ends with its host, at a slash, or with the path
@@ -197,15 +209,19 @@ def _probed(rows: DataFrame, listed: DataFrame, rules: tuple[Rule, ...]) -> Data
 
 def _joined(rows: DataFrame, listed: DataFrame, rules: tuple[Rule, ...], id_col: str) -> DataFrame:
     """The same verdicts for a list of any size: rules are probed, and distinct hosts and paths without one meet the list by digest and string."""
-    lengths = path_lengths(listed)
+    lengths, most = path_lengths(listed), most_labels(listed)
     ruled = _probed(rows, listed.where(F.lit(False)), rules).drop("listed")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: list[tuple[str, str, str]] = []
             for h, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = [k for k in candidates(h, p, lengths) if "/" not in k or k.endswith("/") or k.endswith(p)]
-                if own:
-                    yield pa.RecordBatch.from_arrays([pa.array([x] * len(own), pa.string()) for x in (h, p)] + [pa.array(own, pa.string())], names=["host", "path", "entry"])
+                out += [(h, p, k) for k in candidates(h, p, lengths, most) if "/" not in k or k.endswith("/") or k.endswith(p)]
+                if len(out) >= EXPANDED:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["host", "path", "entry"])
+                    out = []
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], names=["host", "path", "entry"])
 
     keys = ruled.where("ruled is null and host <> ''").select("host", "path").distinct().mapInArrow(expand, "host string, path string, entry string")
     hit = keys.withColumn("digest", F.xxhash64("entry")).join(listed.withColumn("digest", F.xxhash64("entry")), ["digest", "entry"], "left_semi").select("host", "path").distinct()
