@@ -19,6 +19,12 @@ def version_key(version: Column, parts: int = 4) -> Column:
     return F.when(~F.exists(padded, lambda x: x.isNull()), padded)
 
 
+def version_place(key: Column, parts: int = 4) -> Column:
+    """A double that never falls as the version key rises; keys that differ late may share one."""
+    # a sum beyond 53 bits is rounded to steps that no later part reaches, so order is kept
+    return F.aggregate(key, F.lit(0.0), lambda total, n: total * 2.0**31 + n)
+
+
 def range_bounds(spec: Column) -> Column:
     """struct(min, min_in, max, max_in, exact) of a comma list of >=, >, <=, <, = constraints."""
     grab = lambda op: F.nullif(F.regexp_extract(F.regexp_replace(spec, r"\s+", ""), rf"(?:^|,){op}v?(\d+\.\d+(?:\.\d+)?)(?=,|$)", 1), F.lit(""))

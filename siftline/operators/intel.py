@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +46,72 @@ def staleness(last_sync: Column, as_of: Column, days: int = 7) -> Column:
 
 
 def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
-    """(input_seq, cve_id) of dependencies inside an advisory's range: equi-join on name, range as residual."""
-    from ..functions.versions import in_range
+    """(input_seq, cve_id) of dependencies inside an advisory's range.
+
+    Versions and ranges meet once per distinct pair of a package, by
+    :func:`versions_in_ranges`; rows of a dependency or an advisory meet the
+    pairs afterwards. Versions or ranges that do not parse meet nothing; rows
+    without a package neither; repeated rows are listed each.
+    """
+    pairs = versions_in_ranges(deps.select(*PACKAGE, "version"), advisories.select(*PACKAGE, "spec"))
+    return deps.join(pairs, [*PACKAGE, "version"]).join(advisories, [*PACKAGE, "spec"]).select("input_seq", "cve_id")
+
 
-    return deps.join(advisories, ["ecosystem", "name"]).where(in_range(F.col("version"), F.col("spec"))).select("input_seq", "cve_id")
+PACKAGE = ["ecosystem", "name"]
+#: Bins of one node of the grid, and nodes: versions fall into GRID * GRID bins.
+GRID = 16
+
+
+def versions_in_ranges(versions: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Distinct (ecosystem, name, version, spec) of versions inside a range of their package.
+
+    Versions are cut into bins at quantiles of all distinct ones. A version has
+    two keys, its bin and the bin's node; a range has a key for every node and
+    every bin that it covers whole, some 46 at most, where all versions are in
+    it, and one for the bins of its ends, where versions are compared. So a
+    package of many versions and many ranges is no product: what meets and is
+    not kept shares the bin of an end.
+    """
+    from ..functions.versions import in_range, range_bounds, version_key, version_place
+
+    seen = versions.distinct().withColumn("_place", version_place(version_key(F.col("version")))).where("_place is not null")
+    steps = [k / GRID**2 for k in range(1, GRID**2)]
+    cuts = seen.agg(F.percentile_approx("_place", _doubles(steps), 10_000).alias("cuts")).first()["cuts"] or []
+    inner, outer = _doubles(cuts), _doubles(cuts[GRID - 1 :: GRID])
+
+    def bin_of(place: Column) -> Column:
+        # a value bound by a lambda is computed once, not at every cut
+        node = lambda p: F.size(F.filter(outer, lambda c: c <= p))
+        inside = lambda p, n: n * GRID + F.size(F.filter(F.slice(inner, n * GRID + 1, GRID - 1), lambda c: c <= p))
+        return _bound(place, lambda p: _bound(node(p), lambda n: inside(p, n)))
+
+    def node_of(index: Column) -> Column:
+        return F.floor(index / GRID).cast("int")
+
+    def keys_of(first: Column, last: Column) -> Column:
+        begin, end = F.coalesce(first + 1, F.lit(0)), F.coalesce(last - 1, F.lit(GRID**2 - 1))
+        covered = lambda n: (n * GRID >= begin) & (n * GRID + GRID - 1 <= end)
+        nodes = F.transform(F.filter(F.sequence(F.lit(0), F.lit(GRID - 1)), covered), lambda n: F.struct((-1 - n).alias("node"), F.lit(True).alias("sure")))
+        loose = F.filter(F.sequence(F.lit(0), F.lit(GRID**2 - 1)), lambda b: (b >= begin) & (b <= end) & ~covered(node_of(b)))
+        tested = F.array_distinct(F.array_compact(F.array(first, last)))
+        return F.concat(nodes, F.transform(loose, lambda b: F.struct(b.alias("node"), F.lit(True).alias("sure"))), F.transform(tested, lambda b: F.struct(b.alias("node"), F.lit(False).alias("sure"))))
+
+    placed = seen.select(*PACKAGE, "version", F.explode(_bound(bin_of(F.col("_place")), lambda b: F.array(b, -1 - node_of(b)))).alias("_node"))
+    place = lambda end: version_place(F.coalesce(F.col("_r.exact"), F.col(f"_r.{end}")))
+    ends = ranges.distinct().withColumn("_r", range_bounds(F.col("spec"))).select(*PACKAGE, "spec", place("min").alias("_low"), place("max").alias("_high")).where("_low is not null or _high is not null")
+    bins = F.struct(bin_of(F.col("_low")).alias("first"), bin_of(F.col("_high")).alias("last"))
+    keyed = ends.select(*PACKAGE, "spec", F.explode(_bound(bins, lambda r: keys_of(r["first"], r["last"]))).alias("_key")).select(*PACKAGE, "spec", F.col("_key.node").alias("_node"), F.col("_key.sure").alias("_sure"))
+    met = placed.join(keyed, [*PACKAGE, "_node"])
+    return met.where(F.col("_sure") | in_range(F.col("version"), F.col("spec"))).select(*PACKAGE, "version", "spec")
+
+
+def _doubles(values: list[float]) -> Column:
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>") if values else F.array().cast("array<double>")
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once; null where it is null."""
+    return F.get(F.transform(F.array(value), lambda v: F.when(v.isNotNull(), use(v))), F.lit(0))
 
 
 def recent(df: DataFrame, days: int, column: str = "published") -> DataFrame:

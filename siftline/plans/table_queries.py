@@ -180,6 +180,22 @@ def jon2_vulnerable(t):
     return it.vulnerable(deps.where("version like 'v%'"), advisories)
 
 
+@query(f"""WITH p AS (SELECT event_id, event_type, {VKEY.replace('version', "concat('v', CAST(event_id % 40 AS STRING), '.', CAST(event_id % 23 AS STRING), '.', CAST(event_id % 3 AS STRING))")} AS v FROM events),
+  r AS (SELECT DISTINCT event_type, user_id % 200 AS cve_id, [CAST(user_id % 35 AS INT), CAST(user_id % 20 AS INT), 0] AS lo, [CAST(user_id % 35 AS INT), CAST(user_id % 20 + user_id % 4 AS INT), 0] AS hi FROM events)
+  SELECT r.cve_id, r.event_type, count(*) AS versions, min(event_id) AS first FROM p JOIN r ON r.event_type = p.event_type AND p.v >= r.lo AND (p.v < r.hi OR cve_id % 5 = 0) GROUP BY 1, 2""")
+def jon2_ranges_of_hot_packages(t):
+    """Five packages hold all versions: every range is open above, or closed and narrow."""
+    e = F.col("event_id")
+    u = F.col("user_id")
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    deps = t("events").select(e.alias("input_seq"), F.col("event_type").alias("ecosystem"), F.lit("core").alias("name"), text("v", e % 40, ".", e % 23, ".", e % 3).alias("version"))
+    low = text(">=", u % 35, ".", u % 20, ".0")
+    spec = F.when(u % 200 % 5 == 0, low).otherwise(F.concat(low, F.lit(",<"), text(u % 35, ".", u % 20 + u % 4, ".0")))
+    advisories = t("events").select((u % 200).alias("cve_id"), F.col("event_type").alias("ecosystem"), F.lit("core").alias("name"), spec.alias("spec")).distinct()
+    found = it.vulnerable(deps, advisories).withColumnRenamed("input_seq", "event_id")
+    return found.join(t("events").select("event_id", "event_type"), "event_id").groupBy("cve_id", "event_type").agg(F.count("*").alias("versions"), F.min("event_id").alias("first"))
+
+
 @query("SELECT ecosystem, name, version FROM (SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY input_seq) AS rn FROM deps) WHERE rn = 1")
 def win2_unique_packages(t):
     return fd.first_of_key(t("deps"), ["ecosystem", "name"]).select("ecosystem", "name", "version")
