@@ -65,6 +65,16 @@ def numbered(df: DataFrame, order: list[Column], group: str | None = None, name:
     return rows.withColumn(name, (F.col("_place") + F.col("_before")).cast("bigint")).select(*df.columns, name)
 
 
+def running_total(df: DataFrame, order: list[Column], value: str, name: str = "total") -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each one in ``order``, cut as in :func:`numbered`."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = _cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = laid.groupBy("_range").agg(F.sum(value).alias("_sum")).select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return laid.withColumn("_own", own).join(F.broadcast(sums), "_range").withColumn(name, (F.col("_own") + F.col("_before")).cast("bigint")).select(*df.columns, name)
+
+
 def batches(df: DataFrame, kind: str, order: list[Column], size: int = 5) -> DataFrame:
     """Batch number of every task: chunks of ``size`` within a kind, in priority order."""
     return numbered(df, order, kind, "_n").withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("bigint")).drop("_n")

@@ -15,6 +15,7 @@ from ..operators import files as fl
 from ..operators import findings as fd
 from ..operators import graph as gr
 from ..operators import intel as it
+from ..operators import packing as pk
 from ..operators import rounds as rd
 from ..streaming import events as ev
 from .bindings import VIEWS, table, twin, view
@@ -331,6 +332,17 @@ def win13_win15_greedy_fit(t):
     return rd.fit_summary(rd.greedy_fit(df, "o_custkey", ["o_orderpriority", "o_orderkey"], "cost", 300000, "o_orderkey"), "o_custkey", "o_orderkey")
 
 
+@query("""WITH RECURSIVE o AS (SELECT doc_id, path_key, least(chars, 20001) AS cost, CAST(sum(least(chars, 20001)) OVER (ORDER BY path_key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total
+    FROM (SELECT doc_id, concat(coalesce(source, ''), '/', doc_id) AS path_key, CAST(length(coalesce(text, '')) AS BIGINT) AS chars FROM documents)),
+  b(n, pos) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL SELECT n + 1, (SELECT min(total - cost) FROM o WHERE total > b.pos + 20000 AND total - cost > b.pos AND cost > 0) FROM b WHERE pos IS NOT NULL)
+  SELECT batch, count(*) AS files, CAST(sum(cost) AS BIGINT) AS chars, min(path_key) AS first FROM (SELECT o.*, b.n AS batch FROM o ASOF JOIN (SELECT * FROM b WHERE pos IS NOT NULL) b ON o.total - o.cost >= b.pos) GROUP BY 1""")
+def win15_packed_batches(t):
+    """All files in the order of their paths, whole files to a batch of at most 20,000 characters."""
+    files = t("documents").select("doc_id", F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias("path_key"), F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("chars"))
+    out = pk.packed(files, [F.col("path_key")], "chars", 20_000)
+    return out.groupBy("batch").agg(F.count("*").alias("files"), F.sum(F.least("chars", F.lit(20_001))).alias("chars"), F.min("path_key").alias("first"))
+
+
 @query("SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) <= 20 AS allowed FROM events")
 def str8_daily_quota(t):
     return rd.daily_quota(t("events"), "ts", "event_id", 20, "event_type").select("event_id", "allowed")
