@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence as ev
 from ..operators import outputs as op
-from ..sources import structure, surface
+from ..sources import rule_yaml, structure, surface
 from . import table_queries
 from .library_queries import _programs, pick
 
@@ -221,6 +221,24 @@ def src27_rule_files(t):
     return surface.rule_files(t("supplier").select(F.concat(F.lit("r"), n, F.lit(".yaml")).alias("path"), text.alias("content")))
 
 
+@query("""WITH s AS (SELECT *, s_suppkey AS k FROM supplier WHERE s_suppkey % 11 <> 0)
+  SELECT concat('r', k, '.yml') AS path, '/rules/0' AS place, concat('r: ', k) AS rule_id, CASE WHEN k % 5 = 0 THEN 'WARNING' ELSE 'ERROR' END AS severity, array_to_string(['python', 'go', 'java'][1:CAST(k % 3 + 1 AS INT)], ',') AS languages,
+    CASE k % 4 WHEN 2 THEN k % 3 + 2 ELSE 1 END AS n_patterns, CASE WHEN k % 2 = 0 THEN 'valid' ELSE 'literal_only' END AS validity FROM s
+  UNION ALL SELECT concat('r', k, '.yml'), '/rules/1', CASE WHEN k % 7 <> 0 THEN concat('n', s_nationkey, '/', k) END, 'INFO', '', 1, CASE WHEN k % 7 = 0 THEN 'invalid_structure' ELSE 'valid' END FROM s""")
+def src27_flt26_det17_rules(t):
+    """Files of two rules in several styles of YAML; one in eleven holds an anchor and is refused."""
+    k = F.col("s_suppkey")
+    n = k.cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    languages = F.slice(F.array(*map(F.lit, ("python", "go", "java"))), 1, (k % 3 + 1).cast("int"))
+    listed = F.when(k % 2 == 0, text("[", F.array_join(F.transform(languages, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ",\n      "), "] # all")).otherwise(text("\n    - ", F.array_join(languages, "\n    # next\n    - ")))
+    either = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 3 + 1), lambda i: text("      - pattern: g", i.cast("string"), "($X)\n")), "")
+    pattern = F.when(k % 4 == 0, "    pattern: |\n      if a:\n        f($X, ...)\n\n").when(k % 4 == 1, '    pattern: "eval # (x)"\n').when(k % 4 == 2, text("    pattern-either:\n", either)).otherwise("    pattern-regex: >-\n      abc\n      def\n")
+    first = text("rules:\n  # one\n  - id: ", F.when(k % 2 == 0, text('"r: ', n, '"')).otherwise(text("'r: ", n, "'")), "\n    languages: ", listed, "\n    severity: ", F.when(k % 5 == 0, "WARNING").otherwise("ERROR"), "\n", pattern, "    message: several\n      lines of\n\n      text\n")
+    second = text(F.when(k % 7 != 0, text("  - id:   n", F.col("s_nationkey").cast("string"), "/", n, "  # two\n    severity: INFO\n")).otherwise("  -\n    severity: INFO\n"), "    patterns:\n    - pattern-inside: def $F(...)\n", F.when(k % 11 == 0, "    metadata: &shared x\n").otherwise("    metadata:\n      cwe: ~\n"))
+    return rule_yaml.rules(rule_yaml.yaml_values(t("supplier").select(text("r", n, ".yml").alias("path"), F.concat(first, second).alias("content"))))
+
+
 @query("SELECT id, marker, name FROM (SELECT id, 'source' AS marker, CASE id % 3 WHEN 0 THEN 'user' WHEN 1 THEN 'config' END AS name FROM findings UNION ALL SELECT id, 'sink', CASE WHEN id % 2 = 0 THEN 'exec' END FROM findings) WHERE name IS NOT NULL")
 def det10_flow_markers(t):
     body = F.concat(F.when(every("id", 3), "request.args['x']; os.environ['y'];").when(every("id", 3, 1), "os.environ['y'];").otherwise("z = 1;"), F.when(every("id", 2), " os.system(x)").otherwise(""))

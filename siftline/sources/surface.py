@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import route_path, running_total
 from ..operators.graph import _cut
+from . import rule_yaml
 
 _Q = "[\"'`]"
 _NAME = "[^\"'`]+"
@@ -190,12 +191,9 @@ def build_risks(files: DataFrame) -> DataFrame:
 
 
 def rule_files(files: DataFrame) -> DataFrame:
-    """(path, rule_id, severity, languages) of YAML rule files: items of ``rules`` begin with a dash and their id."""
-    head = r"(?m)^\s*-\s+id:\s*(\S+)\s*$"
-    ids, bodies = F.regexp_extract_all("content", F.lit(head), F.lit(1)), F.slice(F.split("content", head, -1), 2, 1 << 30)
-    rows = files.select("path", F.explode(F.arrays_zip(ids.alias("id"), bodies.alias("body"))).alias("r"))
-    langs = F.transform(F.split(F.regexp_extract("r.body", r"(?m)^\s*languages:\s*\[([^\]]*)\]", 1), ","), lambda x: F.trim(x))
-    return rows.select("path", F.col("r.id").alias("rule_id"), F.regexp_extract("r.body", r"(?m)^\s*severity:\s*(\S+)", 1).alias("severity"), F.array_join(langs, ",").alias("languages"))
+    """(path, rule_id, severity, languages) of the rules with an id in YAML files; files that are refused have none."""
+    found = rule_yaml.rules(rule_yaml.yaml_values(files)).where("rule_id is not null")
+    return found.select("path", "rule_id", F.coalesce("severity", F.lit("")).alias("severity"), "languages")
 
 
 def flow_markers(bodies: DataFrame, patterns: dict[str, tuple[tuple[str, str], ...]]) -> DataFrame:
