@@ -157,24 +157,37 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     texts and items match nothing; repeated rows are searched, and listed, each
     for itself; an empty table on either side gives an empty result. Other
     columns are not read. Items travel to the executors in passes of bounded
-    size, so a benchmark of any size is searched whole.
+    size, equal ones once, so a benchmark of any size and any repeats is
+    searched whole; so are documents of any length.
+    """
+    known = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("_item"), F.sha2(F.col(item_text).cast("string"), 256).alias("_key"))
+    found = _found(docs, items, id_col, text_col, item_text, threshold)
+    return found.join(known, "_key").select(F.col("_id").alias(id_col), F.col("_item").alias(item_col), "similarity", "first_word", "n_words")
+
+
+def _found(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_text: str, threshold: float) -> DataFrame:
+    """(_id, _key, similarity, first_word, n_words): as :func:`find_leaks`, by the digest of an item's text.
+
+    Equal texts are one item, so a pass holds each once, however often it is repeated.
     """
     spark = docs.sparkSession
-    size = items.where(F.col(item_text).isNotNull()).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0)).alias("bytes")).first()
+    texts = items.where(F.col(item_text).isNotNull()).select(F.col(item_text).cast("string").alias("text")).distinct()
+    size = texts.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     passes = max(-(-size["n"] // ITEMS_A_PASS), -(-size["bytes"] // BYTES_A_PASS), 1)
-    texts = items.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("id"), F.col(item_text).cast("string").alias("text"))
+    if passes > 1:
+        texts = Scratch(spark).table(texts, "items")
     out = None
     for k in range(passes):
-        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).orderBy("id", "text").collect()
-        shared = spark.sparkContext.broadcast(Pass([r["id"] for r in part], [r["text"] for r in part]))
-        found = _search(docs, shared, id_col, text_col, items.schema[item_col].dataType.simpleString(), item_col, threshold)
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k).select(F.sha2("text", 256).alias("key"), "text").orderBy("key").collect()
+        shared = spark.sparkContext.broadcast(Pass([r["key"] for r in part], [r["text"] for r in part]))
+        found = _search(docs, shared, id_col, text_col, threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(docs: DataFrame, shared, id_col: str, text_col: str, item_kind: str, item_col: str, threshold: float) -> DataFrame:
+def _search(docs: DataFrame, shared, id_col: str, text_col: str, threshold: float) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
-    names = [id_col, item_col, "similarity", "first_word", "n_words"]
+    names = ["_id", "_key", "similarity", "first_word", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,12 +207,17 @@ def _search(docs: DataFrame, shared, id_col: str, text_col: str, item_kind: str,
                         [batch.column(0).take(pa.array(where)), pa.array([items.ids[i] for i in which]), pa.array(similarity), pa.array(first, pa.int64()), pa.array(size, pa.int64())], names=names
                     )
 
-    schema = f"`{id_col}` {kind}, `{item_col}` {item_kind}, similarity double, first_word bigint, n_words bigint"
+    schema = f"_id {kind}, _key string, similarity double, first_word bigint, n_words bigint"
     return docs.select(id_col, F.col(text_col).cast("string").alias("_siftline_text")).mapInArrow(tidy(run), schema)
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose id and text hold an item; rows with a null id are judged by their text."""
+    """``docs`` without the rows whose id and text hold an item; rows with a null id are judged by their text.
+
+    Null and empty texts stay; repeated rows go or stay together; an empty table
+    gives an empty one, and without items all stay. Other columns do not count,
+    whatever their names; texts of any length are searched whole.
+    """
     row = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("tag")).alias("own"), F.col(text_col).alias("text"))
-    leaks = Scratch(docs.sparkSession).table(find_leaks(row, items, "own", "text").select("own").distinct(), "leaks")
+    leaks = Scratch(docs.sparkSession).table(_found(row, items, "own", "text", "text", THRESHOLD).select(F.col("_id").alias("own")).distinct(), "leaks")
     return row.join(F.broadcast(leaks) if leaks.count() <= SHIPPED_ROWS else leaks, "own", "left_anti").select("row.*")

@@ -134,6 +134,22 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.find_leaks(df.limit(0), bench).count() == 0 and decontaminate.find_leaks(df, bench.limit(0)).count() == 0
 
 
+def test_repeated_items_are_searched_once(spark, monkeypatch):
+    one, two = (" ".join(f"{w}{k}" for k in range(12)) for w in "ab")
+    rows = spark.range(25_000).selectExpr("id as item_id", f"'{one}' as text")
+    more = spark.createDataFrame([(None, one), (30_000, two), (30_001, two.upper()), (30_002, "c d e f g h")], "item_id long, text string")
+    bench, docs = rows.unionByName(more), spark.createDataFrame([(1, "x " + one), (2, two), (2, two), (3, "z"), (None, one)], "doc_id long, text string")
+    shipped = []
+    real = decontaminate.Pass.__init__
+    monkeypatch.setattr(decontaminate.Pass, "__init__", lambda self, ids, texts: (shipped.append(len(texts)), real(self, ids, texts))[1])
+    for size in (decontaminate.ITEMS_A_PASS, 2):
+        monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", size)
+        found = {(r.doc_id, r.item_id is None): r["count"] for r in decontaminate.find_leaks(docs, bench).groupBy("doc_id", F.expr("if(item_id is null, null, 1)").alias("item_id")).count().collect()}
+        assert found == {(1, False): 25_000, (1, True): 1, (2, False): 4, (None, False): 25_000, (None, True): 1}
+        assert [r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()] == [3]
+    assert sum(shipped) == 4 * 4 and len(shipped) == 2 + 4
+
+
 def test_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     items = decontaminate.Items(list(range(50)), [" ".join(f"t{rng.integers(10**6)}" for _ in range(30)) for _ in range(50)])
