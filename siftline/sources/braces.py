@@ -10,10 +10,9 @@ file that ends too early gives what was read. Rows are those of
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,15 +36,17 @@ class Tokens:
     """Tokens of a source text, comments dropped; marks of one character are their own kind."""
 
     def __init__(self, source: str):
-        self.breaks = [m.start() for m in re.finditer("\n", source)]
         self.kinds: list[str] = []
         self.texts: list[str] = []
         self.lines: list[int] = []
+        line = 1
         for m in _TOKENS.finditer(source):
-            if m.lastgroup != "skip":
-                self.kinds.append(m.lastgroup)
-                self.texts.append(m.group())
-                self.lines.append(bisect_right(self.breaks, m.start() - 1) + 1 if m.start() else 1)
+            kind, text = m.lastgroup, m.group()
+            if kind != "skip":
+                self.kinds.append(kind)
+                self.texts.append(text)
+                self.lines.append(line)
+            line += text.count("\n")
 
     def __len__(self) -> int:
         return len(self.texts)
@@ -230,19 +231,36 @@ def go(source: str) -> Iterator[tuple]:
 LANGUAGES = {".java": java, ".go": go}
 
 
+#: Rows in a batch that a parser gives back, about.
+ROWS = 1 << 14
+
+
 def brace_structure(files: DataFrame) -> DataFrame:
-    """(path, kind, name, owner, line, detail) of the Java and Go files among ``files`` (path, content); null contents have no rows."""
+    """(path, kind, name, owner, line, detail) of the Java and Go files among ``files`` (path, content); null contents have no rows.
+
+    Files are dealt to as many tasks as a shuffle has, since a small table of many
+    files is read by one; rows go back in batches, not file by file.
+    """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                parse = next((f for ending, f in LANGUAGES.items() if path.endswith(ending)), None)
-                rows = [(path, *row) for row in parse(content or "")] if parse else []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["path", "kind", "name", "owner", "line", "detail"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["path", "kind", "name", "owner", "line", "detail"]
+        types = pa.schema([(n, pa.int32() if n == "line" else pa.string()) for n in names])
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), types, strict=True)], schema=types)
+        rows: list[tuple] = []
+        for batch in batches:
+            for path, content in zip(*(batch.column(j).to_pylist() for j in range(2)), strict=True):
+                parse = next(f for ending, f in LANGUAGES.items() if path.endswith(ending))
+                for row in parse(content or ""):
+                    rows.append((path, *row))
+                    if len(rows) == ROWS:
+                        yield made(rows)
+                        rows = []
+        if rows:
+            yield made(rows)
 
     wanted = F.endswith("path", F.lit(".java")) | F.endswith("path", F.lit(".go"))
-    return files.where(wanted).select("path", "content").mapInPandas(run, SCHEMA)
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.where(wanted).select("path", "content").repartition(tasks, "path", "content").mapInArrow(run, SCHEMA)
 
 
 _STRING = r"\"([^\"]*)\""
@@ -258,7 +276,9 @@ def brace_entry_points(structure: DataFrame) -> DataFrame:
     those of its routes.
     """
     null = F.lit(None).cast("string")
-    structure = _cut(structure)
+    # only rows that the rules below look at are kept
+    routed = F.endswith("path", F.lit(".go")) & F.startswith("detail", F.lit('"'))
+    structure = _cut(structure.where((F.col("kind").isin("class", "group")) | ((F.col("kind") == "function") & (F.col("detail") != "")) | ((F.col("kind") == "call") & routed)))
     classes = structure.where("kind = 'class'").select("path", F.col("name").alias("owner"), F.regexp_extract("detail", rf"@RequestMapping\([^)]*?{_STRING}", 1).alias("prefix"), F.regexp_like("detail", F.lit("@DubboService|@Service\\(")).alias("dubbo"), "line")
     methods = structure.where("kind = 'function' and detail <> ''").join(classes.drop("line"), ["path", "owner"])
     handler = F.substring_index("name", ".", -1).alias("handler")

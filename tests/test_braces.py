@@ -117,3 +117,16 @@ def test_long_deep_and_broken_files(spark):
     assert sum(r[0] == "function" for r in braces.go(long)) == 20_000
     for broken in ("class A { void f( {", 'class A { String s = "x', "/* never", "func (", "func f(", "import (", "type X [", "}}}}", "@A(", "class", "func (r *T) M() {"):
         list(braces.java(broken)), list(braces.go(broken))
+
+
+def test_many_small_files_of_one_split_are_parsed_by_many_tasks_in_few_batches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    files = spark.range(200).select(F.concat(F.lit("p/C"), "id", F.lit(".java")).alias("path"), F.concat(F.lit("class C"), "id", F.lit(" {\n void a() { b(); } }")).alias("content")).coalesce(1)
+    rows = braces.brace_structure(files).withColumn("task", F.spark_partition_id())
+    assert rows.select("task").distinct().count() > 1
+    found = rows.groupBy("kind", "line").count().collect()
+    assert {(r["kind"], r["line"], r["count"]) for r in found} == {("class", 1, 200), ("function", 2, 200), ("call", 2, 200)}
+    # batches that end inside a file lose nothing
+    monkeypatch.setattr(braces, "ROWS", 7)
+    assert braces.brace_structure(files).count() == 600
