@@ -2,7 +2,7 @@
 
 A frontier is joined with the edges level by level; a node is kept at its
 first depth. Lineage is cut per level, depth is always bounded, and edges are
-partitioned by source once.
+computed and partitioned by source once.
 """
 
 from __future__ import annotations
@@ -31,23 +31,43 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Seeds that share a row of a search: the bits of a whole number.
+SEEDS = 64
+
+
 def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
     """(seed, node, depth) of every node within ``max_depth`` edges of a seed, the seed at depth 0.
 
     ``edges`` has src and dst, ``seeds`` a column seed. One row for each pair
     of a seed and a node: for few seeds, or where all pairs are the answer; use
     :func:`nearest` where only the nearest seed counts.
+
+    Seeds are numbered in order and pass over the edges 64 at a time, as the bits
+    of one number, so an edge is one row for all of a block's seeds. Edges are
+    computed once; one without an end is none.
     """
-    edges = edges.select("src", "dst").distinct()
-    frontier = _cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
+    from .rounds import numbered
+
+    edges = _cut(edges.select("src", "dst").where("src is not null and dst is not null").repartition("src").distinct())
+    place = numbered(seeds.select("seed").distinct(), [F.col("seed")], name="_n")
+    place = _cut(place.select("seed", F.floor((F.col("_n") - 1) / SEEDS).cast("int").alias("block"), ((F.col("_n") - 1) % SEEDS).cast("int").alias("bit")))
+    frontier = _cut(place.select("block", F.col("seed").alias("node"), F.expr("shiftleft(1L, bit)").alias("mask")))
+    found = frontier.withColumn("depth", F.lit(0))
     seen = frontier
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select("seed", F.col("dst").alias("node"), F.lit(depth).alias("depth")).distinct()
-        frontier = _cut(step.join(seen, ["seed", "node"], "left_anti"))
+        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        # a node's bits are settled at their first depth
+        both = step.join(seen.select("block", "node", F.col("mask").alias("old")), ["block", "node"], "full")
+        old, got = F.coalesce("old", F.lit(0).cast("bigint")), F.coalesce("mask", F.lit(0).cast("bigint"))
+        both = _cut(both.select("block", "node", got.bitwiseAND(F.bitwise_not(old)).alias("new"), old.bitwiseOR(got).alias("mask")))
+        frontier = both.where("new <> 0").select("block", "node", F.col("new").alias("mask"))
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        found = found.unionByName(frontier.withColumn("depth", F.lit(depth)))
+        seen = both.select("block", "node", "mask")
+    names = place.groupBy("block").agg(F.collect_list(F.struct("bit", "seed")).alias("seeds"))
+    own = F.filter("seeds", lambda x: F.call_function("getbit", F.col("mask"), x["bit"]) == 1)
+    return found.join(names, "block").select(F.explode(F.transform(own, lambda x: x["seed"])).alias("seed"), "node", "depth")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
@@ -62,7 +82,7 @@ def labels(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame
     state has one row per node and label, however many seeds there are, and a
     pass that settles nothing ends the search.
     """
-    edges = edges.select("src", "dst").distinct()
+    edges = _cut(edges.select("src", "dst").repartition("src").distinct())
     frontier = _cut(seeds.select(F.col("seed").alias("node"), "label", F.lit(0).alias("depth"), "seed").distinct())
     seen = frontier
     for depth in range(1, max_depth + 1):
