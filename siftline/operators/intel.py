@@ -53,8 +53,23 @@ def vulnerable(deps: DataFrame, advisories: DataFrame) -> DataFrame:
     pairs afterwards. Versions or ranges that do not parse meet nothing; rows
     without a package neither; repeated rows are listed each.
     """
+    return deps.join(_advised(deps, advisories), [*PACKAGE, "version"]).select("input_seq", "cve_id")
+
+
+def exposure(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(ecosystem, name, cve_id, versions, first): how many rows :func:`vulnerable` has of an advisory in a package, and the least input_seq.
+
+    Dependencies of one version are counted before they meet advisories, so no row of a pair is made.
+    """
+    counted = deps.groupBy(*PACKAGE, "version").agg(F.count("*").alias("n"), F.min("input_seq").alias("first"))
+    met = counted.join(_advised(counted, advisories), [*PACKAGE, "version"])
+    return met.groupBy(*PACKAGE, "cve_id").agg(F.sum("n").alias("versions"), F.min("first").alias("first"))
+
+
+def _advised(deps: DataFrame, advisories: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, cve_id): advisories of each distinct version; they meet before rows of dependencies do, which so are shuffled once."""
     pairs = versions_in_ranges(deps.select(*PACKAGE, "version"), advisories.select(*PACKAGE, "spec"))
-    return deps.join(pairs, [*PACKAGE, "version"]).join(advisories, [*PACKAGE, "spec"]).select("input_seq", "cve_id")
+    return pairs.join(advisories, [*PACKAGE, "spec"]).select(*PACKAGE, "version", "cve_id")
 
 
 PACKAGE = ["ecosystem", "name"]

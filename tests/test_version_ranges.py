@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions.versions import in_range, version_key, version_place
-from siftline.operators.intel import versions_in_ranges, vulnerable
+from siftline.operators.intel import exposure, versions_in_ranges, vulnerable
 
 V = "ecosystem string, name string, version string"
 R = "ecosystem string, name string, spec string"
@@ -45,3 +45,11 @@ def test_place_never_falls(spark):
     texts = spark.createDataFrame([(i, ".".join(map(str, r))) for i, r in enumerate(rows)], "i int, v string")
     places = [r.p for r in texts.select("i", version_place(version_key(F.col("v"))).alias("p")).orderBy("i").collect()]
     assert places == sorted(places)
+
+
+def test_dependencies_of_one_version_are_counted_before_they_meet_advisories(spark):
+    deps = spark.createDataFrame([(k, "pip" if k % 3 else None, "core", f"v{k % 7}.{k % 2}") for k in range(400)], "input_seq long, ecosystem string, name string, version string")
+    advisories = spark.createDataFrame([(k, "pip", "core", f">={k % 5}.0,<{k % 5 + 2}.1") for k in range(40)] + [(1, "pip", "core", ">=0.1"), (1, "pip", "core", ">=0.1")], "cve_id long, ecosystem string, name string, spec string")
+    rows = vulnerable(deps, advisories)
+    met = rows.join(deps.select("input_seq", "ecosystem", "name"), "input_seq").groupBy("ecosystem", "name", "cve_id").agg(F.count("*").alias("versions"), F.min("input_seq").alias("first"))
+    assert sorted(exposure(deps, advisories).collect()) == sorted(met.collect())
