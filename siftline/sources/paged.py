@@ -2,9 +2,10 @@
 
 A feed is a folder of windows of days, named by their last day, and of pages in
 them, named by the index of their first record: what a paged web interface
-answers, one JSON document a page. Every page is one partition, so pages are
-read in parallel and a lost task reads its page again. On a stream the offset is
-the last day of a window; a trigger reads the windows published since.
+answers, one JSON document a page. A page is one partition, or of a feed of many
+pages up to LOT of them are, so pages are read in parallel and a lost task reads
+its pages again. On a stream the offset is the last day of a window; a trigger
+reads the windows published since.
 """
 
 from __future__ import annotations
@@ -32,6 +33,23 @@ class Page(InputPartition):
     path: str
 
 
+@dataclass
+class Lot(InputPartition):
+    """Pages that one task reads."""
+
+    pages: list[Page]
+
+
+#: Pages of a task at most, and tasks that a feed has before one takes two pages.
+LOT = 64
+
+
+def lots(pages: list[Page]) -> list[Lot]:
+    """Pages dealt to tasks: one each while they are few, else runs of up to LOT."""
+    size = min(LOT, max(1, len(pages) // LOT))
+    return [Lot(pages[k : k + size]) for k in range(0, len(pages), size)]
+
+
 class Feed:
     """Windows and pages of a folder on any file system that Arrow opens."""
 
@@ -65,13 +83,13 @@ class Feed:
         files = [f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("part-")]
         return "".join(system.open_input_stream(f).read().decode() for f in sorted(files))
 
-    def read(self, page: Page | None) -> Iterator[tuple]:
-        """Records of a page; a feed without pages is read as none."""
-        if page is None:
-            return
+    def read(self, lot: Lot | None) -> Iterator[tuple]:
+        """Records of some pages, one page held at a time; a feed without pages is read as none."""
         system, _ = self._open()
-        for record in json.loads(self._text(system, page.path))["vulnerabilities"]:
-            yield dt.date.fromisoformat(page.window_end), page.start_index, json.dumps(record["cve"])
+        for page in lot.pages if lot else []:
+            end = dt.date.fromisoformat(page.window_end)
+            for record in json.loads(self._text(system, page.path))["vulnerabilities"]:
+                yield end, page.start_index, json.dumps(record["cve"])
 
 
 class FeedReader(DataSourceReader):
@@ -80,10 +98,10 @@ class FeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.feed, self.after, self.through = Feed(options["path"]), options.get("after"), options.get("through")
 
-    def partitions(self) -> list[Page]:
-        return self.feed.pages(self.after, self.through)
+    def partitions(self) -> list[Lot]:
+        return lots(self.feed.pages(self.after, self.through))
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Lot) -> Iterator[tuple]:
         return self.feed.read(partition)
 
 
@@ -99,10 +117,10 @@ class FeedStream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"window_end": max([self.after, *self.feed.windows()])}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return self.feed.pages(start["window_end"] or None, end["window_end"])
+    def partitions(self, start: dict, end: dict) -> list[Lot]:
+        return lots(self.feed.pages(start["window_end"] or None, end["window_end"]))
 
-    def read(self, partition: Page) -> Iterator[tuple]:
+    def read(self, partition: Lot) -> Iterator[tuple]:
         return self.feed.read(partition)
 
     def commit(self, end: dict) -> None:

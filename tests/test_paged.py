@@ -44,3 +44,12 @@ def test_a_stream_reads_each_window_once_over_restarts(spark, tmp_path):
         paged.publish(part, folder, "day", "key", "document", FIRST, 30, 25)
         paged.feed(spark, folder, streaming=True).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     assert rows(spark.read.parquet(out)) == rows(paged.feed(spark, folder)) == want(0, 200, 30, 25)
+
+
+def test_many_pages_share_tasks_and_none_is_lost(spark, tmp_path):
+    folder = str(tmp_path / "feed")
+    paged.publish(records(spark, 0, 400), folder, "day", "key", "document", FIRST, 30, 2)
+    df = paged.feed(spark, folder)
+    pages = len({(w, s) for w, s, _ in want(0, 400, 30, 2)})
+    assert pages > 190 and df.rdd.getNumPartitions() == -(-pages // 3)
+    assert rows(df) == want(0, 400, 30, 2)
