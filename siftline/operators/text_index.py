@@ -1,7 +1,7 @@
 """A stored inverted index over texts: postings by term, kept up to date by batches.
 
 A batch of new or changed texts becomes a segment: rows of (term, chunk) with
-delta-coded document ids and term frequencies, dealt to folders by a hash of the
+sorted document ids and term frequencies, dealt to folders by a hash of the
 term and sorted by it. A chunk holds a bounded number of documents, so a frequent
 term is many rows. A search opens the folders of its terms only, begins with the
 rarest, and reads of every other term the chunks where candidates are left. The
@@ -22,17 +22,6 @@ SEPARATORS = r"[^\p{L}\p{N}]+"
 CHUNK = 1 << 14
 
 
-def _gaps(ids: Column) -> Column:
-    """Sorted ids as the first one and the differences to the one before."""
-    return F.transform(ids, lambda x, i: x - F.coalesce(F.get(ids, i - 1), F.lit(0)))
-
-
-def _ids(gaps: Column) -> Column:
-    """Ids from their differences; a chunk is short, so the fold that appends is too."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    return F.aggregate(gaps, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out")), lambda acc: acc["out"])
-
-
 class TextIndex:
     """Index below ``path`` of the texts of documents with a whole number as ``key``."""
 
@@ -51,7 +40,7 @@ class TextIndex:
         counted = words.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf")).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)))
         posted = counted.groupBy("term", "chunk").agg(F.sort_array(F.collect_list(F.struct("id", "tf"))).alias("p"))
         ids = F.transform("p", lambda x: x["id"])
-        rows = posted.select("term", "chunk", F.size("p").alias("n"), _gaps(ids).alias("gaps"), F.transform("p", lambda x: x["tf"]).alias("tfs"), self._bucket(F.col("term")).alias("_bucket"))
+        rows = posted.select("term", "chunk", F.size("p").alias("n"), ids.alias("ids"), F.transform("p", lambda x: x["tf"]).alias("tfs"), self._bucket(F.col("term")).alias("_bucket"))
         rows.repartition("_bucket").sortWithinPartitions("_bucket", "term", "chunk").write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.path}/postings/_segment={number}")
         self.documents.merge(docs, number)
 
@@ -75,7 +64,7 @@ class TextIndex:
             rows = postings.where(F.col("term") == term)
             if out is not None:
                 rows = rows.join(out.select("_segment", "chunk").distinct(), ["_segment", "chunk"], "left_semi")
-            rows = rows.select("_segment", "chunk", F.explode(F.arrays_zip(_ids(F.col("gaps")).alias("id"), F.col("tfs").alias("tf"))).alias("d")).select("_segment", "chunk", F.col("d.id").alias("id"), F.col("d.tf").cast("bigint").alias("tf"))
+            rows = rows.select("_segment", "chunk", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"))).alias("d")).select("_segment", "chunk", F.col("d.id").alias("id"), F.col("d.tf").cast("bigint").alias("tf"))
             if out is None:
                 out = rows.withColumnRenamed("tf", "score")
             else:

@@ -36,3 +36,11 @@ def test_a_search_reads_only_the_folders_of_its_terms(spark, tmp_path):
     read = {f.split("_bucket=")[1].split("/")[0] for f in index._postings(["word7"]).inputFiles()}
     plan = index._postings(["word7"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [" in plan and "_bucket" in plan.split("PartitionFilters:")[1].split("]")[0] and len(read) > 1
+
+
+def test_a_chunk_is_read_without_a_fold_over_its_ids(spark, tmp_path):
+    index = text_index.TextIndex(spark, str(tmp_path / "index"), "id", "body", buckets=2)
+    index.add(spark.range(12_000).selectExpr("id * 3 as id", "'alpha beta' as body"), 0)
+    found = index.holders("alpha beta")
+    assert "aggregate" not in found._jdf.queryExecution().optimizedPlan().toString().replace("Aggregate", "")
+    assert found.agg({"id": "sum", "score": "sum"}).first().asDict() == {"sum(id)": 3 * 11_999 * 6_000, "sum(score)": 24_000}
