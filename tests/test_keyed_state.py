@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,60 @@ def test_entries_expire_and_late_rows_are_dropped(spark):
     out = keyed.run_steps([spark.createDataFrame(s, schema) for s in steps], lambda s: keyed.cache_stream(s, 3600, "k", "ts", "seq", "put"))
     got = sorted((r.seq, r.outcome, r.source) for r in out.where(F.col("seq") > 0).collect())
     assert got == [(1, "expired", 1), (1, "put", 1), (2, "hit", 1), (3, "miss", None), (4, "hit", 1), (5, "miss", None), (6, "put", 6), (8, "put", 8), (9, "hit", 8)]
+
+
+class FakeState(list):
+    """List state and timers of one group, with the calls counted."""
+
+    def __init__(self):
+        self.puts, self.timers = 0, set()
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return iter(list(self))
+
+    def put(self, rows):
+        self.puts += 1
+        self[:] = rows
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+
+class At(int):
+    getCurrentWatermarkInMs = int.__int__  # noqa: N815
+
+
+@pytest.mark.parametrize("made", [lambda: keyed.Cache("string", 30_000)])
+def test_keys_of_a_group_share_one_call_and_one_timer(made):
+    op, state = made(), FakeState()
+    op.init(state)
+    frame = pd.DataFrame({"key": [f"k{i}" for i in range(500)], "at": range(1_000_000, 1_500_000, 1000), "seq": range(500), "put": True})
+    assert sum(map(len, op.handleInputRows((0,), iter([frame[:300], frame[300:]]), At(900)))) == 500
+    assert (len(state), state.puts, len(state.timers)) == (500, 1, 1)
+    # a timer drops every key that is due and stands at the next one
+    now = min(state.timers)
+    state.timers.remove(now)
+    list(op.handleExpiredTimer((0,), At(now + 99), None))
+    assert len(state) == 400 and state.timers == {min(row[3] for row in state)} and min(state.timers) > now + 99
+    # rows of one key leave the others as they are, but for those that are due
+    (out,) = op.handleInputRows((0,), iter([frame[499:].assign(at=1_500_000)]), At(now + 199))
+    assert len(state) == 300 and len(state.timers) == 1 and out["seq"].tolist()[0] == 499
+    assert len(out) == (101 if isinstance(op, keyed.Cache) else 1)
+
+
+def test_keys_stay_exact_beside_a_null_key(spark):
+    big = 2**53 + 1
+    zero = dt.datetime(2024, 1, 1)
+    rows = [(i, [big, big + 1, None][i % 3], zero + dt.timedelta(minutes=i), i < 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "seq long, k long, ts timestamp_ntz, put boolean")
+    cache = keyed.run_steps(keyed.in_order(df, "ts", 2), lambda s: keyed.cache_stream(s, 300, "k", "ts", "seq", "put", groups=2)).where("outcome <> 'expired'")
+    assert sorted(tuple(r) for r in cache.select("seq", "k", "outcome", "source").collect()) == [(i, rows[i][1], *(("put", i) if i < 3 else ("hit", i % 3) if i < 6 else ("miss", None))) for i in range(12)]
