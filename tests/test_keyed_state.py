@@ -105,7 +105,7 @@ class At(int):
     getCurrentWatermarkInMs = int.__int__  # noqa: N815
 
 
-@pytest.mark.parametrize("made", [lambda: keyed.Cache("string", 30_000)])
+@pytest.mark.parametrize("made", [lambda: keyed.Bucket("string", 10_000, 3), lambda: keyed.Cache("string", 30_000)])
 def test_keys_of_a_group_share_one_call_and_one_timer(made):
     op, state = made(), FakeState()
     op.init(state)
@@ -130,3 +130,5 @@ def test_keys_stay_exact_beside_a_null_key(spark):
     df = spark.createDataFrame(rows, "seq long, k long, ts timestamp_ntz, put boolean")
     cache = keyed.run_steps(keyed.in_order(df, "ts", 2), lambda s: keyed.cache_stream(s, 300, "k", "ts", "seq", "put", groups=2)).where("outcome <> 'expired'")
     assert sorted(tuple(r) for r in cache.select("seq", "k", "outcome", "source").collect()) == [(i, rows[i][1], *(("put", i) if i < 3 else ("hit", i % 3) if i < 6 else ("miss", None))) for i in range(12)]
+    bucket = keyed.run_steps([df], lambda s: keyed.token_bucket_stream(s, 1 / 3600, 2, "k", "ts", "seq", groups=1))
+    assert sorted(tuple(r) for r in bucket.select("seq", "k", "allowed", "left").collect()) == [(i, rows[i][1], i < 6, max(0, 1 - i // 3)) for i in range(12)]
