@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -103,11 +104,37 @@ def valid(text: Column) -> Column:
     return F.try_parse_json(text).isNotNull()
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tried(done: Column | None, text: Column, fenced: Column | None) -> Column:
+    none = F.lit(None).cast("string")
+    return F.struct((none if done is None else done).alias("done"), text.alias("opened"), (none if fenced is None else fenced).alias("fenced"))
+
+
+def attempts(text: Column) -> Column:
+    """(done, opened, ...): the first of the native repairs, in order, that parses, or else what the character scan is to read.
+
+    Each repair is a step of its own over the one before; functions of functions would hide a variable from a Python function over the result.
+    """
+
+    def step(so_far: Column, rest: Callable[[Column], Column]) -> Column:
+        return once(so_far, lambda s: F.when(s["done"].isNotNull(), s).when(valid(s["opened"]), _tried(s["opened"], F.lit(None).cast("string"), None)).otherwise(rest(s)))
+
+    out = step(_tried(None, text, None), lambda s: _tried(None, F.trim(unfenced(s["opened"])), None))
+    out = step(out, lambda s: _tried(None, first_object(s["opened"]), s["opened"]))
+    for repair in (punctuated, without_commas):
+        out = step(out, lambda s, repair=repair: _tried(None, repair(s["opened"]), s["fenced"]))
+    return step(out, lambda s: _tried(None, F.regexp_extract(punctuated(s["fenced"]), r"(?s)([\{\[].*)", 1), None))
+
+
+def finished(tried: Column) -> Column:
+    """What ``attempts`` found, or what the scan makes of the rest if that parses; where ``tried`` is a column of a table, only the rest is sent to Python."""
+    return F.coalesce(tried["done"], once(_scanned(tried["opened"]), lambda last: F.when(valid(last), last)))
+
+
 def repaired(text: Column) -> Column:
     """The first of the repairs, in order, that parses; null if none does."""
-    fenced = F.trim(unfenced(text))
-    steps = [text, fenced, first_object(fenced), punctuated(first_object(fenced)), without_commas(punctuated(first_object(fenced)))]
-    native = F.coalesce(*[F.when(valid(s), s) for s in steps])
-    opened = F.regexp_extract(punctuated(fenced), r"(?s)([\{\[].*)", 1)
-    last = _scanned(F.when(native.isNull(), opened))
-    return F.coalesce(native, F.when(valid(last), last))
+    return finished(attempts(text))

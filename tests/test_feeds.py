@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from siftline.functions.jsonfix import repaired
 from siftline.operators import files as fl
 from siftline.sources import feeds
 
@@ -47,6 +48,20 @@ def test_model_replies(spark):
     assert sorted((r.file, r.line, r.severity) for r in rows) == [("a.py", 7, "high"), ("b.py", 9, "low")]
 
 
+def test_a_reply_is_parsed_once(spark):
+    replies = ['{"findings": [null, {"title": "t"}], "suspicious_code": [{"location": "b.py", "why_suspicious": "w", "confidence": 0.5}]}', "so: {'suspicious_code': [{'location': 'b.py:9'", "[1]", "sorry", None]
+    df = spark.createDataFrame([(f"{k}.py", r) for k, r in enumerate(replies)], "file string, reply string")
+    out = feeds.model_findings(df)
+    rows = sorted(map(tuple, out.collect()), key=str)
+    assert rows == sorted([("0.py", 1, "medium", None, None, None), ("0.py", 1, "medium", "t", None, None), ("0.py", 1, "low", "w", None, 0.5), ("b.py", 9, "low", None, None, None)], key=str)
+    plan = out.where("line = 9")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("_scanned(") == 1 and plan.count("parseJson(") <= 6
+    assert [tuple(r)[:2] for r in out.where("line = 9").collect()] == [("b.py", 9)]
+    # a filter on a repaired text is one on what Python makes of it
+    fixed = df.select("file", repaired(F.col("reply")).alias("json")).where("json is not null and file < '3'")
+    assert sorted(r.file for r in fixed.collect()) == ["0.py", "1.py", "2.py"]
+
+
 def test_files(spark):
     df = spark.createDataFrame([("a/app.py", 1, 10, "python", 0), ("a/z.py", 1, 10, "python", 1), ("tests/t.py", 1, 5, "python", 2), ("static/s.js", 1, 5, "javascript", 3)], "path string, mtime int, size int, language string, input_seq int")
     one, two = fl.source_hash(df).first(), fl.source_hash(df.repartition(3).orderBy("size")).first()
