@@ -8,8 +8,12 @@ computed and partitioned by source once.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,43 +35,119 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Seeds that share a row of a search: the bits of a whole number.
-SEEDS = 64
-
-
-def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 10) -> DataFrame:
+#: Words of 64 bits in a mask, and the seeds that share a row of a search: its bits.
+WORDS = 16
+SEEDS = 64 * WORDS
+#: Edges whose masks are held at once, about.
+EDGES = 1 << 17
+
+
+def _masks(column: pa.ChunkedArray) -> np.ndarray:
+    """Masks as rows of words."""
+    return pc.list_flatten(column).to_numpy().reshape(-1, WORDS)
+
+
+def _passed(adjacency: pa.Table, frontier: pa.Table) -> pa.Table:
+    """(block, node, mask) of the ends of a cell's edges, with the bits of their begins in ``frontier``."""
+    names = {"block": pa.int32(), "node": frontier.schema.field("node").type, "mask": pa.list_(pa.int64())}
+    out = [pa.table({n: pa.array([], t) for n, t in names.items()})]
+    place = pc.index_in(frontier["node"], adjacency["src"])
+    frontier, place = frontier.filter(place.is_valid()), place.drop_null().to_numpy()
+    if len(place):
+        ends = pc.list_flatten(adjacency["dst"]).combine_chunks().dictionary_encode()
+        to = ends.indices.to_numpy()
+        order = np.argsort(to, kind="stable")
+        src = np.repeat(np.arange(len(adjacency), dtype=np.int32), pc.list_value_length(adjacency["dst"]).to_numpy())[order]
+        to, masks, block = to[order], _masks(frontier["mask"]), frontier["block"].to_numpy()
+        for b in np.unique(block):
+            mine = block == b
+            # the row of the block's masks that an edge sends, or none
+            row = np.full(len(adjacency), -1, np.int32)
+            row[place[mine]] = np.arange(mine.sum(), dtype=np.int32)
+            sent = row[src]
+            live = sent >= 0
+            sent, end, own = sent[live], to[live], masks[mine]
+            begins = np.flatnonzero(np.diff(end, prepend=-1))
+            cuts = np.unique(np.searchsorted(begins, np.arange(0, len(end), EDGES)))
+            for i, j in zip(cuts, [*cuts[1:], len(begins)], strict=True):
+                if i < j:
+                    lo, hi = begins[i], begins[j] if j < len(begins) else len(end)
+                    got = np.bitwise_or.reduceat(own[sent[lo:hi]], begins[i:j] - lo, axis=0)
+                    mask = pa.ListArray.from_arrays(np.arange(0, got.size + 1, WORDS, dtype=np.int32), got.ravel())
+                    out.append(pa.table({"block": pa.array(np.full(j - i, b), pa.int32()), "node": ends.dictionary.take(pa.array(end[begins[i:j]])), "mask": mask}))
+    return pa.concat_tables(out)
+
+
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed, node, depth) of rows (node, depth, mask, seeds): a row for each bit."""
+    for batch in batches:
+        offsets, seeds = batch["seeds"].offsets.to_numpy(), batch["seeds"].values
+        bits = _masks(pa.chunked_array([batch["mask"]])).view(np.uint8)
+        for at in range(0, len(bits), 256):
+            row, bit = np.nonzero(np.unpackbits(bits[at : at + 256], axis=1, bitorder="little"))
+            row += at
+            index = pa.array(row)
+            yield pa.RecordBatch.from_arrays([seeds.take(pa.array(offsets[row] + bit)), batch["node"].take(index), batch["depth"].take(index)], ["seed", "node", "depth"])
+
+
+def closure(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, wanted: Column | None = None) -> DataFrame:
     """(seed, node, depth) of every node within ``max_depth`` edges of a seed, the seed at depth 0.
 
-    ``edges`` has src and dst, ``seeds`` a column seed. One row for each pair
-    of a seed and a node: for few seeds, or where all pairs are the answer; use
-    :func:`nearest` where only the nearest seed counts.
+    ``edges`` has src and dst, ``seeds`` a column seed; ``wanted``, a condition
+    on node, keeps its nodes only. One row for each pair of a seed and a node:
+    for few seeds, or where all pairs are the answer; use :func:`nearest` where
+    only the nearest seed counts.
 
-    Seeds are numbered in order and pass over the edges 64 at a time, as the bits
-    of one number, so an edge is one row for all of a block's seeds. Edges are
-    computed once; one without an end is none.
+    Seeds are numbered in order and pass over the edges :data:`SEEDS` at a time,
+    as the bits of one row. Edges are computed once and lie in cells by the hashes
+    of both ends: a level sends a node's bits to the cells that it begins, and a
+    cell sends one row for each end, so what is shuffled follows nodes and seeds,
+    not edges. One without an end is none.
     """
     from .rounds import numbered
 
-    edges = _cut(edges.select("src", "dst").where("src is not null and dst is not null").repartition("src").distinct())
+    spark = edges.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    across = max(1, min(4, tasks // 8))
+    down = max(1, min(8, tasks // across))
+    cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    edges = edges.select(cell("src", down).alias("p"), cell("dst", across).alias("q"), "src", "dst").where("src is not null and dst is not null")
+    edges = edges.repartition(down * across, "p", "q").distinct()
+    edges = _cut(edges.groupBy("p", "q", "src").agg(F.collect_list("dst").alias("dst")))
     place = numbered(seeds.select("seed").distinct(), [F.col("seed")], name="_n")
     place = _cut(place.select("seed", F.floor((F.col("_n") - 1) / SEEDS).cast("int").alias("block"), ((F.col("_n") - 1) % SEEDS).cast("int").alias("bit")))
-    frontier = _cut(place.select("block", F.col("seed").alias("node"), F.expr("shiftleft(1L, bit)").alias("mask")))
+    words = F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.when(i == F.floor(F.col("bit") / 64), F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("bigint")))
+    node = edges.schema["src"].dataType
+    frontier = _cut(place.select("block", F.col("seed").cast(node).alias("node"), words.alias("mask")))
     found = frontier.withColumn("depth", F.lit(0))
     seen = frontier
+    kinds = {"seed": place.schema["seed"].dataType.simpleString(), "node": node.simpleString()}
     for depth in range(1, max_depth + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        sent = frontier.select(cell("node", down).alias("p"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("q"), "block", "node", "mask")
+        ways = edges
+        if wanted is not None and depth == max_depth:
+            # nothing follows the last level, so only ends that are wanted count
+            ends = edges.select("p", "q", "src", F.explode("dst").alias("node")).where(wanted)
+            ways = ends.groupBy("p", "q", "src").agg(F.collect_list("node").alias("dst"))
+        step = ways.groupBy("p", "q").cogroup(sent.groupBy("p", "q")).applyInArrow(_passed, f"block int, node {kinds['node']}, mask array<bigint>")
+        step = step.groupBy("block", "node").agg(F.array(*[F.bit_or(F.col("mask")[i]) for i in range(WORDS)]).alias("mask"))
         # a node's bits are settled at their first depth
         both = step.join(seen.select("block", "node", F.col("mask").alias("old")), ["block", "node"], "full")
-        old, got = F.coalesce("old", F.lit(0).cast("bigint")), F.coalesce("mask", F.lit(0).cast("bigint"))
-        both = _cut(both.select("block", "node", got.bitwiseAND(F.bitwise_not(old)).alias("new"), old.bitwiseOR(got).alias("mask")))
-        frontier = both.where("new <> 0").select("block", "node", F.col("new").alias("mask"))
+        none = F.array_repeat(F.lit(0).cast("bigint"), WORDS)
+        old, got = F.coalesce("old", none), F.coalesce("mask", none)
+        new = F.zip_with(got, old, lambda g, o: g.bitwiseAND(F.bitwise_not(o)))
+        both = _cut(both.select("block", "node", new.alias("new"), F.zip_with(got, old, lambda g, o: g.bitwiseOR(o)).alias("mask")))
+        frontier = both.where(F.exists("new", lambda x: x != 0)).select("block", "node", F.col("new").alias("mask"))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier.withColumn("depth", F.lit(depth)))
         seen = both.select("block", "node", "mask")
-    names = place.groupBy("block").agg(F.collect_list(F.struct("bit", "seed")).alias("seeds"))
-    own = F.filter("seeds", lambda x: F.call_function("getbit", F.col("mask"), x["bit"]) == 1)
-    return found.join(names, "block").select(F.explode(F.transform(own, lambda x: x["seed"])).alias("seed"), "node", "depth")
+    found = found if wanted is None else found.where(wanted)
+    # a block's names lie once for each of its slices, so that no block is one task
+    names = place.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bit", "seed"))).getField("seed").alias("seeds"))
+    names = names.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    rows = found.withColumn("slice", cell("node", tasks)).join(names, ["block", "slice"])
+    return rows.select("node", "depth", "mask", "seeds").mapInArrow(_named, f"seed {kinds['seed']}, node {kinds['node']}, depth int")
 
 
 def reversed_edges(edges: DataFrame) -> DataFrame:

@@ -43,3 +43,24 @@ def test_edges_are_computed_once_and_are_one_row_for_many_seeds(spark, monkeypat
     seen.value = 0
     assert gr.nearest(edges, seeds.where("seed = 1"), 3).count() == 60
     assert seen.value <= 3600
+
+
+def test_hundreds_of_seeds_share_a_row_and_only_wanted_nodes_are_kept(spark, monkeypatch):
+    widths, cut = [], gr._cut
+    monkeypatch.setattr(gr, "_cut", lambda df: widths.append((df.columns, (out := cut(df)).count())) or out)
+    n = 200
+    ends = spark.range(n).select(F.col("id").alias("src")).crossJoin(spark.range(n).select(F.col("id").alias("dst"))).where("src <> dst")
+    found = gr.closure(ends, spark.range(n).select(F.col("id").alias("seed")), 2, F.col("node") % 10 == 4).collect()
+    assert sorted((r.seed, r.node, r.depth) for r in found) == [(s, k, int(s != k)) for s in range(n) for k in range(4, n, 10)]
+    assert max(rows for columns, rows in widths if "mask" in columns) <= n
+
+
+def test_more_seeds_than_a_row_holds(spark):
+    rng = random.Random(6)
+    n = 2 * gr.SEEDS + 100
+    edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(2 * n)]
+    found = gr.closure(spark.createDataFrame(edges, "src bigint, dst bigint"), spark.range(n).select(F.col("id").cast("int").alias("seed")), 2)
+    assert dict(found.dtypes)["seed"] == "int"
+    rows = found.collect()
+    assert len(rows) == len({(r.seed, r.node) for r in rows})
+    assert {(r.seed, r.node): r.depth for r in rows} == brute(edges, range(n), 2)
