@@ -21,6 +21,11 @@ ROUTES = (
 )
 
 
+#: Join of sides that both grow with the files. What a parser gives is larger than Spark's estimate, which follows the size of the table it
+#: reads, so without a hint a side of millions of rows may be taken for a small one and go through the driver; a sort spills, a hash map does not.
+SPREAD = "merge"
+
+
 def python_structure(files: DataFrame) -> DataFrame:
     """(path, kind, name, owner, line, detail) of Python sources: functions, classes, calls, imports.
 
@@ -63,7 +68,7 @@ def python_structure(files: DataFrame) -> DataFrame:
 
 def symbols(structure: DataFrame) -> DataFrame:
     """(id, path, name, short, full, is_entry) of functions; ``full`` is qualified by the module: a Python file's path, a Java package, a Go folder."""
-    packages = structure.where("kind = 'package'").groupBy("path").agg(F.min("name").alias("package"))
+    packages = structure.where("kind = 'package'").groupBy("path").agg(F.min("name").alias("package")).hint(SPREAD)
     rows = structure.where("kind = 'function'").join(packages, "path", "left")
     entry = F.regexp_like("detail", F.lit(r"route|\.(get|post|put|delete|patch)\(|command|Mapping\("))
     return rows.select(F.concat_ws(":", "path", "name").alias("id"), "path", "name", F.substring_index("name", ".", -1).alias("short"), F.concat_ws(".", F.nullif(_module(), F.lit("")), "name").alias("full"), entry.alias("is_entry")).distinct()
@@ -80,7 +85,7 @@ def bindings(structure: DataFrame) -> DataFrame:
 
     Leading dots climb from the file's own package; a Java or Go file sees its whole package.
     """
-    packages = structure.where("kind = 'package'").groupBy("path").agg(F.min("name").alias("package"))
+    packages = structure.where("kind = 'package'").groupBy("path").agg(F.min("name").alias("package")).hint(SPREAD)
     rows = structure.where("kind = 'import'").join(packages, "path", "left").withColumn("module", _module())
     dots = F.length(F.regexp_extract("name", r"^(\.*)", 1))
     parts = F.split("module", r"\.")
@@ -110,10 +115,10 @@ def resolved_names(names: DataFrame, functions: DataFrame, aliases: DataFrame, m
     seen, found = frontier, None
     heads = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.struct(F.array_join(F.slice("parts", F.lit(1), k), ".").alias("alias"), F.array_join(F.slice("parts", k + 1, F.size("parts")), ".").alias("rest")))
     for _ in range(max_depth):
-        hits = frontier.join(functions.select(F.col("full").alias("now"), F.col("id").alias("dst")), "now").select(F.col("origin").alias("full"), "dst")
+        hits = frontier.join(functions.select(F.col("full").alias("now"), F.col("id").alias("dst")).hint(SPREAD), "now").select(F.col("origin").alias("full"), "dst")
         found = hits if found is None else found.unionByName(hits)
         left = frontier.join(hits.select(F.col("full").alias("origin")).distinct(), "origin", "left_anti")
-        step = left.withColumn("parts", F.split("now", r"\.")).select("origin", F.explode(heads).alias("h")).select("origin", "h.*").join(aliases, "alias")
+        step = left.withColumn("parts", F.split("now", r"\.")).select("origin", F.explode(heads).alias("h")).select("origin", "h.*").join(aliases.hint(SPREAD), "alias")
         step = step.select("origin", F.concat_ws(".", "target", F.nullif("rest", F.lit(""))).alias("now")).distinct()
         frontier = _cut(step.join(seen, ["origin", "now"], "left_anti"))
         if frontier.isEmpty():
@@ -135,27 +140,29 @@ def call_graph(structure: DataFrame) -> tuple[DataFrame, DataFrame]:
     functions = _cut(symbols(structure))
     bound = _cut(bindings(structure))
     calls = structure.where("kind = 'call' and owner <> ''").select("path", F.concat_ws(":", "path", "owner").alias("src"), F.col("name").alias("callee")).distinct()
-    calls = calls.join(functions.select(F.col("id").alias("src")), "src", "left_semi").withColumn("short", F.substring_index("callee", ".", -1))
+    calls = calls.join(functions.select(F.col("id").alias("src")).hint(SPREAD), "src", "left_semi").withColumn("short", F.substring_index("callee", ".", -1))
+    calls = _cut(calls)
     dotted = F.contains("callee", F.lit("."))
     named = calls.where(dotted & ~F.col("callee").rlike(r"^(self|this|cls)\.[^.]*$"))
     parts = F.split("callee", r"\.")
     heads = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), ".").alias("local"), F.array_join(F.slice(parts, k + 1, F.size(parts)), ".").alias("rest")))
     by_head = named.select("src", "callee", "path", F.explode(heads).alias("h")).select("src", "callee", "path", "h.*")
     plain = calls.where(~dotted)
-    wildcard = bound.where("local = '*'").select("path", "target")
+    wildcard = bound.where("local = '*'").select("path", "target").hint(SPREAD)
     tried = named.select("src", "callee", F.lit(1).alias("rank"), F.col("callee").alias("full"))
-    tried = tried.unionByName(by_head.join(bound, ["path", "local"]).select("src", "callee", F.lit(1).alias("rank"), F.concat_ws(".", "target", "rest").alias("full")))
+    tried = tried.unionByName(by_head.join(bound.hint(SPREAD), ["path", "local"]).select("src", "callee", F.lit(1).alias("rank"), F.concat_ws(".", "target", "rest").alias("full")))
     tried = tried.unionByName(named.join(wildcard, "path").select("src", "callee", F.lit(1).alias("rank"), F.concat_ws(".", "target", "callee").alias("full")))
-    tried = tried.unionByName(plain.join(bound, (plain["path"] == bound["path"]) & (plain["short"] == bound["local"])).select("src", "callee", F.lit(3).alias("rank"), F.col("target").alias("full")))
+    tried = tried.unionByName(plain.join(bound.hint(SPREAD), (plain["path"] == bound["path"]) & (plain["short"] == bound["local"])).select("src", "callee", F.lit(3).alias("rank"), F.col("target").alias("full")))
     tried = tried.unionByName(plain.join(wildcard, "path").select("src", "callee", F.lit(3).alias("rank"), F.concat_ws(".", "target", "short").alias("full")))
     passed = bound.select(F.when(F.col("local") == "*", F.col("module")).otherwise(F.concat_ws(".", F.nullif("module", F.lit("")), "local")).alias("alias"), "target").where("alias <> target").distinct()
     found = tried.join(resolved_names(tried.select("full"), functions, passed), "full").select("src", "callee", "rank", "dst")
-    own = calls.join(functions.select("path", "short", F.col("id").alias("dst")), ["path", "short"]).where(~F.contains("callee", F.lit(".")) | F.col("callee").rlike(r"^(self|this|cls)\.[^.]*$"))
+    own = calls.join(functions.select("path", "short", F.col("id").alias("dst")).hint(SPREAD), ["path", "short"]).where(~F.contains("callee", F.lit(".")) | F.col("callee").rlike(r"^(self|this|cls)\.[^.]*$"))
     found = found.unionByName(own.select("src", "callee", F.lit(2).alias("rank"), "dst"))
-    unique = functions.groupBy("short").agg(F.min("id").alias("dst"), F.count("*").alias("n")).where("n = 1").drop("n")
+    unique = functions.groupBy("short").agg(F.min("id").alias("dst"), F.count("*").alias("n")).where("n = 1").drop("n").hint(SPREAD)
     found = found.unionByName(calls.join(unique, "short").select("src", "callee", F.lit(4).alias("rank"), "dst"))
+    found = _cut(found)
     best = found.groupBy("src", "callee").agg(F.min("rank").alias("rank"))
-    edges = found.join(best, ["src", "callee", "rank"]).select("src", "dst").distinct()
+    edges = found.join(best.hint(SPREAD), ["src", "callee", "rank"]).select("src", "dst").distinct()
     return functions.select("id", "path", "name", "is_entry"), edges
 
 

@@ -1,4 +1,6 @@
-from siftline.sources import braces, surface
+from pyspark.sql import functions as F
+
+from siftline.sources import braces, structure, surface
 
 JAVA = '''package com.acme.web;
 import java.util.List;
@@ -130,3 +132,17 @@ def test_many_small_files_of_one_split_are_parsed_by_many_tasks_in_few_batches(s
     # batches that end inside a file lose nothing
     monkeypatch.setattr(braces, "ROWS", 7)
     assert braces.brace_structure(files).count() == 600
+
+
+def test_no_side_that_grows_with_files_is_broadcast(spark, monkeypatch):
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    cut = structure._cut
+    monkeypatch.setattr(structure, "_cut", lambda df: plan(df) or cut(df))
+    k = F.col("id").cast("string")
+    text = F.concat(F.lit("package p; import p.A0; class A"), k, F.lit(" { void m0() { m1(); A0.m1(); } void m1() { } }"))
+    files = spark.range(500).select(F.concat(F.lit("src/p/A"), k, F.lit(".java")).alias("path"), text.alias("content"))
+    edges = structure.call_graph(braces.brace_structure(files))[1]
+    plan(edges)
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert edges.count() == 999
