@@ -175,7 +175,7 @@ def set7_baseline_update(t):
 
 @query("WITH RECURSIVE w(entry, node, depth) AS (SELECT s, s, 0 FROM (SELECT DISTINCT src AS s FROM edges WHERE src % 25 = 1) UNION SELECT w.entry, e.dst, w.depth + 1 FROM w JOIN edges e ON e.src = w.node WHERE w.depth < 3) SELECT entry, node AS changed, CAST(min(depth) AS INT) AS depth FROM w WHERE node % 10 = 4 GROUP BY 1, 2")
 def grf16_critical_paths(t):
-    e = t("edges")
+    e = gr._cut(t("edges"))  # seeds and edges are both read from it
     found = gr.closure(e, e.where("src % 25 = 1").select(F.col("src").alias("seed")).distinct(), 3, F.col("node") % 10 == 4)
     return found.select(F.col("seed").alias("entry"), F.col("node").alias("changed"), "depth")
 

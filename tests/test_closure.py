@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from siftline.operators import graph as gr
+from siftline.plans import source_queries, table_queries
 
 
 def brute(edges, seeds, depth):
@@ -64,3 +65,19 @@ def test_more_seeds_than_a_row_holds(spark):
     rows = found.collect()
     assert len(rows) == len({(r.seed, r.node) for r in rows})
     assert {(r.seed, r.node): r.depth for r in rows} == brute(edges, range(n), 2)
+
+
+def test_queries_compute_their_edges_once_for_seeds_and_search(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    edges = spark.range(600).select((F.col("id") % 60).alias("src"), counted(F.col("id") * 7 % 60).alias("dst"))
+    monkeypatch.setattr(table_queries, "view", lambda *_: edges)
+    for part, name in ((table_queries, "grf7_backward_closure"), (table_queries, "grf6_grf12_forward_closure"), (source_queries, "grf16_critical_paths")):
+        seen.value = 0
+        assert part.QUERIES[name](spark, "").count() > 0
+        assert seen.value <= 600
